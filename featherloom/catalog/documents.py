@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from featherloom.catalog.registry import SOFTMAXED, TERMS, query, r6, table
 from featherloom.operators import documents, joins, metrics, pairs, scaling
-from featherloom.session import scratch_path
+from featherloom.session import scratch_path, seal
 from featherloom.sources import tables
 
 
@@ -89,7 +89,7 @@ def row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SOFTMAXED} SELECT doc, col, round(value, 6) + 0.0 AS value FROM soft")
 def doc_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scaling.document_softmax(terms(spark, sf_dir)).withColumn("value", r6("value"))
+    return scaling.document_softmax(seal(terms(spark, sf_dir), "terms")).withColumn("value", r6("value"))
 
 
 @query(
@@ -99,7 +99,7 @@ shifted AS (SELECT t.doc, t.col, exp(t.value - m.top) AS e FROM terms t JOIN top
 SELECT doc, col, round(e / sum(e) OVER (PARTITION BY doc), 6) + 0.0 AS value FROM shifted"""
 )
 def doc_softmax_stable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scaling.document_softmax(terms(spark, sf_dir), stable=True).withColumn("value", r6("value"))
+    return scaling.document_softmax(seal(terms(spark, sf_dir), "terms"), stable=True).withColumn("value", r6("value"))
 
 
 @query(

@@ -12,6 +12,7 @@ from featherloom.functions import seeded
 from featherloom.operators import metrics, scaling, splits
 from featherloom.plans import classifiers, experiments, sparse_ae, svm
 from featherloom.plans.settings import SparseAutoencoderSettings, SvmSettings
+from featherloom.session import seal
 
 FIXED = np.array([((k * 31) % 101 - 50) / 500.0 for k in range(64)])
 
@@ -104,7 +105,7 @@ def svm_train_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_unrolled(1))
 def svm_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = quality(spark, sf_dir)
-    kept = terms(spark, sf_dir).join(labels.select("doc"), "doc", "left_semi")
+    kept = seal(terms(spark, sf_dir).join(labels.select("doc"), "doc", "left_semi"), "terms")
     moved = svm.sparse_step(sparse_ae.Spread.of(kept), labels, svm.zero_weights(kept), 1.0, 0.01)
     return moved.select("col", r6("w").alias("w"))
 
@@ -146,7 +147,8 @@ FROM scored"""
 def words_score_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents -> word counts -> softmax -> labels -> fixed linear score -> accuracy."""
     labels = quality(spark, sf_dir)
-    triples = scaling.document_softmax(terms(spark, sf_dir).join(labels.select("doc"), "doc", "left_semi"))
+    kept = seal(terms(spark, sf_dir).join(labels.select("doc"), "doc", "left_semi"), "terms")
+    triples = scaling.document_softmax(kept)
     key = F.length("col") * 31 + F.ascii("col")
     weights = triples.select("col").distinct().select("col", ((key * 17 % 101 - 40) / 500.0).alias("w"))
     found = metrics.error_rate(svm.predict_sparse(triples, weights).join(labels, "doc"))

@@ -2,73 +2,93 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A key is hot when it holds more than 1/HOT_PIECES of all rows, so there are
-#: fewer than HOT_PIECES hot keys whatever the data: a proven broadcast bound.
+#: A key can only be hot when it holds more than 1/HOT_PIECES of all rows, so there
+#: are fewer than HOT_PIECES hot keys whatever the data: a proven bound for the list.
 HOT_PIECES = 4096
 
+#: Keys with fewer rows than this fit one task comfortably and are never split.
+HOT_FLOOR = 1_000_000
+
 
-def hot_keys(counts: DataFrame, key: str, n: str = "n", pieces: int = HOT_PIECES) -> DataFrame:
-    """(key, salts) for the keys of ``counts`` above 1/pieces of the total.
+@dataclass(frozen=True)
+class HotKeys:
+    """The hot keys of a join column with the number of salts each is split into.
 
-    ``salts`` is proportional to the key's share, so every salted piece ends up
-    with about 1/pieces of the rows.  At most ``pieces`` rows.
+    ``table`` is (key, salts) with fewer than ``HOT_PIECES`` rows, or None when no
+    key is hot; the joins then stay plain.
     """
-    whole = counts.agg(F.sum(n).cast("double").alias("whole")).scalar()
-    share = F.col(n).cast("double") * pieces / whole
-    return counts.where(share > 1.0).select(key, F.ceil(share).cast("int").alias("salts"))
-
-
-def salt_rows(rows: DataFrame, hot: DataFrame, key: str, spread: list[str], name: str = "_salt") -> DataFrame:
-    """Add the salt of each row: a hash of ``spread`` for hot keys, 0 for the others."""
-    by_hash = F.pmod(F.xxhash64(*spread), F.col("salts")).cast("int")
-    return (
-        rows.join(F.broadcast(hot), key, "left")
-        .withColumn(name, F.when(F.col("salts").isNull(), 0).otherwise(by_hash))
-        .drop("salts")
-    )
-
-
-def repeat_per_salt(per_key: DataFrame, hot: DataFrame, key: str, name: str = "_salt") -> DataFrame:
-    """Repeat the row of each hot key once per salt."""
-    return (
-        per_key.join(F.broadcast(hot), key, "left")
-        .withColumn(name, F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
-        .drop("salts")
-    )
-
-
-def join_per_key(
-    rows: DataFrame,
-    per_key: DataFrame,
-    key: str,
-    spread: list[str],
-    n: str = "n",
-    pieces: int = HOT_PIECES,
-) -> DataFrame:
-    """Join ``rows`` to a table with one row per key, splitting hot keys.
 
-    ``per_key`` carries the number of rows per key in column ``n`` (which is
-    dropped from the result).  The rows of a hot key are spread by a hash of
-    ``spread`` over its salts and its single ``per_key`` row is repeated once per
-    salt; other keys join once.  Spark broadcasts ``per_key`` by itself when its
-    measured size allows.
+    key: str
+    table: DataFrame | None = None
+
+    def salt(self, rows: DataFrame, spread: list[str], name: str) -> DataFrame:
+        """Add each row's salt: a hash of ``spread`` for hot keys, 0 for the others."""
+        if self.table is None:
+            return rows
+        by_hash = F.pmod(F.xxhash64(*spread), F.col("salts")).cast("int")
+        return (
+            rows.join(F.broadcast(self.table), self.key, "left")
+            .withColumn(name, F.when(F.col("salts").isNull(), 0).otherwise(by_hash))
+            .drop("salts")
+        )
+
+    def repeat(self, per_key: DataFrame, name: str) -> DataFrame:
+        """Repeat the row of each hot key once per salt."""
+        if self.table is None:
+            return per_key
+        last = F.coalesce("salts", F.lit(1)) - 1
+        return (
+            per_key.join(F.broadcast(self.table), self.key, "left")
+            .withColumn(name, F.explode(F.sequence(F.lit(0), last)))
+            .drop("salts")
+        )
+
+    def on(self, name: str) -> list[str]:
+        """Join columns of a salted join."""
+        return [self.key] if self.table is None else [self.key, name]
+
+    def join(self, rows: DataFrame, per_key: DataFrame, spread: list[str], how: str = "inner") -> DataFrame:
+        """``rows`` joined to a table with one row per key, hot keys split."""
+        salted = self.salt(rows, spread, "_salt")
+        return salted.join(self.repeat(per_key, "_salt"), self.on("_salt"), how).drop("_salt")
+
+
+def find_hot(
+    counts: DataFrame, key: str, n: str = "n", pieces: int = HOT_PIECES, floor: int = HOT_FLOOR
+) -> HotKeys:
+    """Hot keys from a table of row counts per key.
+
+    Salts are proportional to the key's share, so each piece of a hot key ends up
+    with about 1/pieces of all rows.
     """
-    hot = hot_keys(per_key, key, n, pieces)
-    left = salt_rows(rows, hot, key, spread)
-    return left.join(repeat_per_salt(per_key.drop(n), hot, key), [key, "_salt"]).drop("_salt")
+    whole, largest = counts.agg(F.sum(n), F.max(n)).first()
+    if not whole or largest <= floor or largest * pieces <= whole:
+        return HotKeys(key)
+    share = F.col(n).cast("double") * pieces / float(whole)
+    hot = counts.where((F.col(n) > floor) & (share > 1.0)).select(key, F.ceil(share).cast("int").alias("salts"))
+    listed = counts.sparkSession.createDataFrame(hot.collect(), hot.schema)
+    return HotKeys(key, listed)
+
+
+def count_keys(rows: DataFrame, key: str) -> DataFrame:
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
 
 
 def join_skewed(
-    rows: DataFrame, per_key: DataFrame, key: str, spread: list[str], pieces: int = HOT_PIECES
+    rows: DataFrame, per_key: DataFrame, key: str, spread: list[str], pieces: int = HOT_PIECES, floor: int = HOT_FLOOR
 ) -> DataFrame:
-    """As :func:`join_per_key`, with the row counts taken from ``rows`` first."""
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    hot = hot_keys(counts, key, "n", pieces)
-    left = salt_rows(rows, hot, key, spread)
-    return left.join(repeat_per_salt(per_key, hot, key), [key, "_salt"]).drop("_salt")
+    """Inner join of ``rows`` to a table with one row per key, hot keys split.
+
+    Rows of a hot key are spread by a hash of ``spread``; the key's row is repeated
+    once per salt.  Spark broadcasts ``per_key`` by itself when its measured size
+    allows.
+    """
+    return find_hot(count_keys(rows, key), key, "n", pieces, floor).join(rows, per_key, spread)
 
 
 def broadcast_if_small(df: DataFrame, n_values: int | None, limit_bytes: int = 64 * 1024 * 1024) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featherloom.functions.vectors import doubles
-from featherloom.operators.joins import join_per_key
+from featherloom.operators.joins import find_hot
+from featherloom.session import seal
 
 # Fixed value: largest argument whose exponential still fits a double.
 EXP_LIMIT = 709.0
@@ -20,18 +21,25 @@ def document_softmax(triples: DataFrame, stable: bool = False) -> DataFrame:
     A document with any value above ``EXP_LIMIT`` becomes empty and disappears.
     ``stable`` shifts by the document's maximum instead, so none is lost.
 
-    The denominators are partial aggregates per document, joined back with hot
-    documents split; a window over the document would put all its words in one task.
+    The denominators are partial aggregates per document, written out and joined
+    back with hot documents split; a window over the document would put all its
+    words in one task.
     """
+    n = F.count(F.lit(1)).alias("n")
     if stable:
-        top = triples.groupBy("doc").agg(F.max("value").alias("top"), F.count(F.lit(1)).alias("n"))
-        triples = join_per_key(triples, top, "doc", ["col"]).withColumn("value", F.col("value") - F.col("top"))
-        triples = triples.select("doc", "col", "value")
-    sums = triples.groupBy("doc").agg(
-        F.sum(F.exp("value")).alias("denominator"), F.max("value").alias("top"), F.count(F.lit(1)).alias("n")
-    )
-    usable = sums.where(F.col("top") <= EXP_LIMIT).drop("top")
-    joined = join_per_key(triples, usable, "doc", ["col"])
+        tops = seal(triples.groupBy("doc").agg(F.max("value").alias("top"), n), "tops")
+        hot = find_hot(tops, "doc")
+        shifted = hot.join(triples, tops.drop("n"), ["col"])
+        triples = shifted.select("doc", "col", (F.col("value") - F.col("top")).alias("value"))
+        sums = triples.groupBy("doc").agg(F.sum(F.exp("value")).alias("denominator"))
+    else:
+        sums = seal(
+            triples.groupBy("doc").agg(F.sum(F.exp("value")).alias("denominator"), F.max("value").alias("top"), n),
+            "sums",
+        )
+        hot = find_hot(sums, "doc")
+        sums = sums.where(F.col("top") <= EXP_LIMIT).select("doc", "denominator")
+    joined = hot.join(triples, sums, ["col"])
     return joined.select("doc", "col", (F.exp("value") / F.col("denominator")).alias("value"))
 
 

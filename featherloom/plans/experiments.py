@@ -31,7 +31,8 @@ def encoded_accuracy(
     encoded by the trained model.
     """
     train_labels, test_labels = random_split(labels, "doc", list(weights), hashed(seed))
-    words = document_softmax(triples.join(labels.select("doc"), "doc", "left_semi"))
+    counts = seal(triples.join(labels.select("doc"), "doc", "left_semi"), "terms")
+    words = seal(document_softmax(counts), "words")
     train_words = words.join(train_labels.select("doc"), "doc", "left_semi")
     model = sparse_ae.train(train_words, encoder)
     encoded = seal(label_rows(model.encode(words), labels), "encoded")
@@ -51,10 +52,9 @@ def words_accuracy(
 ) -> DataFrame:
     """Words, softmaxed or raw, straight into the SVM; error rate of the held-out documents."""
     train_labels, test_labels = random_split(labels, "doc", list(weights), hashed(seed))
-    words = triples.join(labels.select("doc"), "doc", "left_semi")
+    words = seal(triples.join(labels.select("doc"), "doc", "left_semi"), "terms")
     if softmaxed:
-        words = document_softmax(words)
-    words = seal(words, "words")
+        words = seal(document_softmax(words), "words")
     learned = svm.train_sparse(words.join(train_labels.select("doc"), "doc", "left_semi"), train_labels, classifier)
     held_out = words.join(test_labels.select("doc"), "doc", "left_semi")
     return error_rate(svm.predict_sparse(held_out, learned).join(test_labels, "doc"))

@@ -11,6 +11,7 @@ aggregate, and both joins (on the column, on the document) split hot keys.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -18,12 +19,12 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featherloom.functions.activations import sigmoid, sigmoid_slope
+from featherloom.functions.activations import sigmoid, sigmoid_all, sigmoid_slope
 from featherloom.functions.seeded import hashed, uniform, uniform_array
-from featherloom.functions.vectors import dot
-from featherloom.operators.joins import broadcast_if_small, hot_keys, repeat_per_salt, salt_rows
+from featherloom.functions.vectors import dot, scale
+from featherloom.operators.joins import HOT_FLOOR, HOT_PIECES, HotKeys, broadcast_if_small, count_keys, find_hot
 from featherloom.plans.settings import SparseAutoencoderSettings
-from featherloom.session import seal
+from featherloom.session import seal, sealed
 
 #: Up to this many array slots are summed as separate columns in generated code.
 MAX_SUM_COLUMNS = 128
@@ -72,129 +73,151 @@ def replicas(
     )
 
 
-@dataclass
+@dataclass(frozen=True)
 class Spread:
-    """Triples with salts for both joins, and the hot keys the salts belong to."""
+    """Triples written once, placed by document, with the hot keys known.
+
+    Every branch of a pass starts from the same exchange on the document, which
+    Spark plans once and reuses; sums and joins per document then need no further
+    shuffle of the triples, only the thin (doc, col, value) rows ever move.  Where a
+    key is hot its rows carry a salt for the join on that key.
+    """
 
     rows: DataFrame
-    hot_cols: DataFrame
-    hot_docs: DataFrame
+    hot_cols: HotKeys
+    hot_docs: HotKeys
 
     @classmethod
-    def of(cls, triples: DataFrame, staged: bool = False) -> Spread:
-        """``staged`` writes everything once for iterative use."""
-        base = seal(triples.select("doc", "col", "value"), "triples") if staged else triples.select("doc", "col", "value")
-        n = F.count(F.lit(1)).alias("n")
-        hot_cols = hot_keys(base.groupBy("col").agg(n), "col")
-        hot_docs = hot_keys(base.groupBy("doc").agg(n), "doc")
-        if staged:
-            hot_cols, hot_docs = seal(hot_cols, "hot"), seal(hot_docs, "hot")
-        rows = salt_rows(base, hot_cols, "col", ["doc"], "_cs")
-        rows = salt_rows(rows, hot_docs, "doc", ["col"], "_ds")
-        if staged:
-            rows = seal(rows, "spread")
-        return cls(rows, hot_cols, hot_docs)
-
-    def with_weights(self, table: DataFrame, table_values: int | None = None) -> DataFrame:
+    def of(cls, triples: DataFrame, pieces: int = HOT_PIECES, floor: int = HOT_FLOOR) -> Spread:
+        base = sealed(triples, "triples").select("doc", "col", "value")
+        hot_cols = find_hot(count_keys(base, "col"), "col", "n", pieces, floor)
+        hot_docs = find_hot(count_keys(base, "doc"), "doc", "n", pieces, floor)
+        salted = hot_docs.salt(hot_cols.salt(base, ["doc"], "_cs"), ["col"], "_ds")
+        return cls(salted.repartition(*hot_docs.on("_ds")), hot_cols, hot_docs)
+
+    def where(self, condition: Column) -> Spread:
+        return Spread(self.rows.where(condition), self.hot_cols, self.hot_docs)
+
+    def with_weights(self, table: DataFrame, table_values: int | None = None, how: str = "inner") -> DataFrame:
         """Triples joined to their column's weights; broadcast when known to be small."""
         if table_values is not None:
             small = broadcast_if_small(table, table_values)
             if small is not table:
-                return self.rows.join(small, "col")
-        return self.rows.join(repeat_per_salt(table, self.hot_cols, "col", "_cs"), ["col", "_cs"])
+                return self.rows.join(small, "col", how)
+        return self.rows.join(self.hot_cols.repeat(table, "_cs"), self.hot_cols.on("_cs"), how)
 
     def with_documents(self, rows: DataFrame, per_doc: DataFrame) -> DataFrame:
-        return rows.join(repeat_per_salt(per_doc, self.hot_docs, "doc", "_ds"), ["doc", "_ds"])
+        """Join to a table with one row per document; its share of a partition is hashed, not sorted."""
+        repeated = self.hot_docs.repeat(per_doc, "_ds")
+        return rows.join(repeated.hint("shuffle_hash"), self.hot_docs.on("_ds"))
 
 
-def summed_arrays(rows: DataFrame, keys: list[str], arrays: dict[str, Column], width: int, *scalars: Column) -> DataFrame:
-    """Element-wise sums of array columns per key.
+def summed_arrays(
+    rows: DataFrame, keys: list[str], arrays: dict[str, tuple[str, str | None]], width: int, *scalars: Column
+) -> DataFrame:
+    """Sums of ``array * factor`` per key, slot by slot: name -> (array column, factor column).
 
-    Narrow arrays are summed slot by slot in generated code, wide ones by the
-    vector summarizer; both combine partially before the shuffle.
+    Narrow arrays are summed as separate columns in generated code, wide ones by
+    the vector summarizer; both combine partially before a shuffle.
     """
     if width * len(arrays) <= MAX_SUM_COLUMNS:
-        staged = rows.withColumns({f"_{name}": c for name, c in arrays.items()})
-        sums = [F.sum(F.col(f"_{n}")[k]).alias(f"_{n}{k}") for n in arrays for k in range(width)]
-        grouped = staged.groupBy(*keys).agg(*sums, *scalars)
+
+        def slot(array: str, factor: str | None, k: int) -> Column:
+            return F.col(array)[k] if factor is None else F.col(array)[k] * F.col(factor)
+
+        sums = [
+            F.sum(slot(array, factor, k)).alias(f"_{name}{k}")
+            for name, (array, factor) in arrays.items()
+            for k in range(width)
+        ]
+        grouped = rows.groupBy(*keys).agg(*sums, *scalars)
         packed = {n: F.array(*[F.col(f"_{n}{k}") for k in range(width)]) for n in arrays}
         return grouped.withColumns(packed).drop(*[f"_{n}{k}" for n in arrays for k in range(width)])
-    sums = [Summarizer.sum(array_to_vector(c)).alias(f"_{n}") for n, c in arrays.items()]
+    sums = [
+        Summarizer.sum(array_to_vector(F.col(array) if factor is None else scale(array, factor))).alias(f"_{name}")
+        for name, (array, factor) in arrays.items()
+    ]
     grouped = rows.groupBy(*keys).agg(*sums, *scalars)
     return grouped.withColumns({n: vector_to_array(f"_{n}") for n in arrays}).drop(*[f"_{n}" for n in arrays])
 
 
-def _times(array: str, factor: str) -> Column:
-    return F.transform(array, lambda w: w * F.col(factor))
+def _dot(a: str, b: str, width: int) -> Column:
+    """Inner product; unrolled for narrow arrays, because lambdas leave generated code."""
+    if width > MAX_SUM_COLUMNS:
+        return dot(a, b)
+    terms = [F.col(a)[k] * F.col(b)[k] for k in range(width)]
+    return reduce(lambda x, y: x + y, terms)
 
 
 def _literal(values: np.ndarray) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
-def encode_rows(joined: DataFrame, hidden_bias: np.ndarray) -> DataFrame:
-    """(doc, hidden) = sigmoid(sum over present columns of w_in * value + bias)."""
-    width = len(hidden_bias)
-    sums = summed_arrays(joined, ["doc"], {"z": _times("w_in", "value")}, width)
-    activated = F.zip_with("z", _literal(hidden_bias), lambda z, b: sigmoid(z + b))
-    return sums.select("doc", activated.alias("hidden"))
+def project_rows(joined: DataFrame, hidden_bias: np.ndarray) -> DataFrame:
+    """(doc, z) = sum over present columns of w_in * value, plus bias."""
+    sums = summed_arrays(joined, ["doc"], {"z": ("w_in", "value")}, len(hidden_bias))
+    return sums.select("doc", F.zip_with("z", _literal(hidden_bias), lambda z, b: z + b).alias("z"))
 
 
-def encode(triples: DataFrame, table: DataFrame, hidden_bias: np.ndarray, table_values: int | None = None) -> DataFrame:
-    """(doc, hidden) for every document."""
-    return encode_rows(Spread.of(triples).with_weights(table, table_values), hidden_bias)
+def encode_rows(joined: DataFrame, hidden_bias: np.ndarray) -> DataFrame:
+    """(doc, hidden) = sigmoid of :func:`project_rows`."""
+    return project_rows(joined, hidden_bias).select("doc", sigmoid_all("z").alias("hidden"))
 
 
 def project(triples: DataFrame, table: DataFrame, hidden_bias: np.ndarray) -> DataFrame:
     """(doc, z): the sparse row times weight matrix product, before the activation."""
-    joined = Spread.of(triples).with_weights(table)
-    sums = summed_arrays(joined, ["doc"], {"z": _times("w_in", "value")}, len(hidden_bias))
-    return sums.select("doc", F.zip_with("z", _literal(hidden_bias), lambda z, b: z + b).alias("z"))
+    return project_rows(Spread.of(triples).with_weights(table), hidden_bias)
 
 
-@dataclass
-class Pass:
-    """Lazy pieces of one forward and backward pass."""
+def encode(triples: DataFrame, table: DataFrame, hidden_bias: np.ndarray, table_values: int | None = None) -> DataFrame:
+    """(doc, hidden) for every document."""
+    return encode_rows(Spread.of(triples).with_weights(table, table_values), hidden_bias)
 
-    hidden: DataFrame
-    cells: DataFrame
-    hidden_error: DataFrame
-    spread: Spread
 
+def reconstructed(
+    spread: Spread, table: DataFrame, per_doc: DataFrame, width: int, table_values: int | None = None
+) -> DataFrame:
+    """Cells (doc, col, value, w_out, ..., out, error) from hidden vectors per document.
 
-def run_pass(
+    out = sigmoid(W_out hidden + b_out) on the present columns only;
+    error = (out - value) * out * (1 - out).
+    """
+    cells = spread.with_documents(spread.with_weights(table.drop("w_in"), table_values), per_doc)
+    cells = cells.withColumn("out", sigmoid(_dot("w_out", "hidden", width) + F.col("b_out")))
+    return cells.withColumn("error", (F.col("out") - F.col("value")) * sigmoid_slope("out"))
+
+
+def document_pass(
     spread: Spread, table: DataFrame, hidden_bias: np.ndarray, table_values: int | None = None
-) -> Pass:
-    """``cells``: (doc, col, value, out, error, hidden); ``hidden_error``: (doc, hidden_error).
+) -> DataFrame:
+    """(doc, hidden, hidden_error, loss): forward and backward pass of every document.
 
-    error = (out - value) * out * (1 - out); hidden_error = (W_out' error) * h * (1 - h).
+    hidden_error = (W_out' error) * h * (1 - h); loss is the mean squared difference
+    over the document's words.
     """
     width = len(hidden_bias)
-    joined = spread.with_weights(table, table_values)
-    hidden = encode_rows(joined, hidden_bias)
-    cells = spread.with_documents(joined.drop("w_in"), hidden)
-    cells = cells.withColumn("out", sigmoid(dot("w_out", "hidden") + F.col("b_out")))
-    cells = cells.withColumn("error", (F.col("out") - F.col("value")) * sigmoid_slope("out"))
-    back = summed_arrays(
-        cells, ["doc"], {"back": _times("w_out", "error")}, width, F.any_value("hidden").alias("hidden")
-    )
-    hidden_error = back.select(
-        "doc", F.zip_with("back", "hidden", lambda b, h: b * h * (1.0 - h)).alias("hidden_error")
-    )
-    return Pass(hidden, cells, hidden_error, spread)
+    hidden = encode_rows(spread.with_weights(table.drop("w_out", "b_out"), table_values), hidden_bias)
+    cells = reconstructed(spread, table, hidden, width, table_values)
+    diff = F.col("out") - F.col("value")
+    # Every row of a document carries the same hidden vector; max of each slot keeps it
+    # in a fixed-width aggregation buffer.
+    same = [F.max(F.col("hidden")[k]).alias(f"_h{k}") for k in range(width)]
+    back = summed_arrays(cells, ["doc"], {"back": ("w_out", "error")}, width, F.avg(diff * diff).alias("loss"), *same)
+    back = back.withColumn("hidden", F.array(*[F.col(f"_h{k}") for k in range(width)]))
+    error = F.zip_with("back", "hidden", lambda b, h: b * h * (1.0 - h))
+    return back.select("doc", "hidden", error.alias("hidden_error"), "loss")
 
 
 def decode(triples: DataFrame, table: DataFrame, hidden_bias: np.ndarray) -> DataFrame:
     """(doc, col, value, out): reconstruction of the columns present in each document."""
-    return run_pass(Spread.of(triples), table, hidden_bias).cells.select("doc", "col", "value", "out")
+    spread = Spread.of(triples)
+    hidden = encode_rows(spread.with_weights(table.drop("w_out", "b_out")), hidden_bias)
+    return reconstructed(spread, table, hidden, len(hidden_bias)).select("doc", "col", "value", "out")
 
 
-def decode_hidden(hidden: DataFrame, triples: DataFrame, table: DataFrame) -> DataFrame:
+def decode_hidden(hidden: DataFrame, triples: DataFrame, table: DataFrame, width: int) -> DataFrame:
     """As :func:`decode`, from given hidden vectors (doc, hidden)."""
-    spread = Spread.of(triples)
-    cells = spread.with_documents(spread.with_weights(table), hidden)
-    out = sigmoid(dot("w_out", "hidden") + F.col("b_out"))
-    return cells.select("doc", "col", "value", out.alias("out"))
+    return reconstructed(Spread.of(triples), table, hidden, width).select("doc", "col", "value", "out")
 
 
 def output_error(pairs: DataFrame, ascending: bool = False) -> DataFrame:
@@ -203,22 +226,28 @@ def output_error(pairs: DataFrame, ascending: bool = False) -> DataFrame:
     return pairs.select("doc", "col", (diff * sigmoid_slope("out")).alias("error"))
 
 
-def column_gradients(state: Pass, width: int) -> DataFrame:
-    """(col, g_in, g_out, g_bias): gradients summed over all documents."""
-    cells = state.spread.with_documents(state.cells, state.hidden_error)
+def column_gradients(
+    spread: Spread, table: DataFrame, per_doc: DataFrame, width: int, table_values: int | None = None
+) -> DataFrame:
+    """(col, g_in, g_out, g_bias): gradients summed over all documents of ``per_doc``."""
     return summed_arrays(
-        cells,
+        reconstructed(spread, table, per_doc, width, table_values),
         ["col"],
-        {"g_in": _times("hidden_error", "value"), "g_out": _times("hidden", "error")},
+        {"g_in": ("hidden_error", "value"), "g_out": ("hidden", "error")},
         width,
         F.sum("error").alias("g_bias"),
     )
 
 
-def bias_gradient(state: Pass, width: int) -> DataFrame:
-    """One row: hidden bias gradient summed over all documents, document count."""
+def bias_gradient(per_doc: DataFrame, width: int) -> DataFrame:
+    """One row: summed hidden bias gradient, number of documents, mean document loss."""
     return summed_arrays(
-        state.hidden_error, [], {"g": F.col("hidden_error")}, width, F.count(F.lit(1)).alias("docs")
+        per_doc,
+        [],
+        {"g": ("hidden_error", None)},
+        width,
+        F.count(F.lit(1)).alias("docs"),
+        F.avg("loss").alias("loss"),
     )
 
 
@@ -249,18 +278,37 @@ def updated_bias(
     return bias - settings.learning_rate * (gradient / docs + 2.0 * settings.decay_bias * bias)
 
 
+@dataclass(frozen=True)
+class Step:
+    """State after one update, and the loss before it."""
+
+    table: DataFrame
+    hidden_bias: np.ndarray
+    loss: float
+
+
 def step(
-    triples: DataFrame, table: DataFrame, hidden_bias: np.ndarray, settings: SparseAutoencoderSettings
-) -> tuple[DataFrame, DataFrame]:
-    """One lazy update over all documents: (new weight table, one row with the new hidden bias)."""
+    spread: Spread,
+    table: DataFrame,
+    hidden_bias: np.ndarray,
+    settings: SparseAutoencoderSettings,
+    table_values: int | None = None,
+) -> Step | None:
+    """One update over all documents of ``spread``; None when there are none.
+
+    Two jobs: the pass per document, written out, and the gradients per column
+    joined into the new weight table.  Only the hidden bias visits the driver.
+    """
     width = len(hidden_bias)
-    state = run_pass(Spread.of(triples), table, hidden_bias)
-    bias_row = bias_gradient(state, width)
-    docs = bias_row.select("docs").scalar()
-    new_table = updated_table(table, column_gradients(state, width), docs, settings)
-    rate, decay = settings.learning_rate, 2.0 * settings.decay_bias
-    moved = F.zip_with("g", _literal(hidden_bias), lambda g, b: b - rate * (g / F.col("docs") + decay * b))
-    return new_table, bias_row.select(moved.alias("b_hidden"))
+    per_doc = seal(document_pass(spread, table, hidden_bias, table_values), "pass")
+    measured = bias_gradient(per_doc, width).first()
+    if not measured["docs"]:
+        return None
+    docs = float(measured["docs"])
+    gradients = column_gradients(spread, table, per_doc, width, table_values)
+    moved = updated_table(table, gradients, F.lit(docs), settings)
+    bias = updated_bias(hidden_bias, np.array(measured["g"]), docs, settings)
+    return Step(moved, bias, float(measured["loss"]))
 
 
 @dataclass
@@ -283,38 +331,26 @@ def train(
 ) -> SparseAutoencoderModel:
     """``iterations`` passes of ``batches`` updates each.
 
-    The triples, their salts and their batch numbers are written once; each new
-    weight table is written too, so the plan of a step never grows.  Updates use
-    the mean gradient of a batch of documents; the result differs from a strictly
-    serial document-by-document descent.
+    The triples are written once; each new weight table is written too, so the plan
+    of a step never grows.  Updates use the mean gradient of a batch of documents;
+    the result differs from a strictly serial document-by-document descent.
+    ``losses`` holds, per pass, the mean document loss met before each update.
     """
-    width = settings.hidden
-    whole = Spread.of(triples, staged=True)
+    whole = Spread.of(triples)
     table = seal(initial_weight_table(whole.rows, settings), "weights")
-    table_values = table.count() * (2 * width + 2)
+    table_values = table.count() * (2 * settings.hidden + 2)
     bias = initial_hidden_bias(settings)
     model = SparseAutoencoderModel(settings, table, bias, [], table_values)
     number = F.pmod(F.xxhash64("doc", F.lit(settings.seed)), F.lit(batches))
     for _ in range(settings.iterations):
+        losses = []
         for batch in range(batches):
-            part = whole
-            if batches > 1:
-                part = Spread(whole.rows.where(number == batch), whole.hot_cols, whole.hot_docs)
-            state = run_pass(part, table, bias, table_values)
-            gradients = seal(column_gradients(state, width), "gradients")
-            measured = bias_gradient(state, width).first()
-            if not measured["docs"]:
-                continue
-            docs = float(measured["docs"])
-            table = seal(updated_table(table, gradients, F.lit(docs), settings), "weights")
-            bias = updated_bias(bias, np.array(measured["g"]), docs, settings)
-        model.losses.append(mean_document_loss(whole, table, bias, table_values))
+            part = whole if batches == 1 else whole.where(number == batch)
+            done = step(part, table, bias, settings, table_values)
+            if done is not None:
+                table, bias = seal(done.table, "weights"), done.hidden_bias
+                losses.append(done.loss)
+        if losses:
+            model.losses.append(sum(losses) / len(losses))
     model.table, model.hidden_bias = table, bias
     return model
-
-
-def mean_document_loss(spread: Spread, table: DataFrame, bias: np.ndarray, table_values: int | None) -> float:
-    """Mean over documents of the mean squared difference on their words."""
-    diff = F.col("out") - F.col("value")
-    per_doc = run_pass(spread, table, bias, table_values).cells.groupBy("doc").agg(F.avg(diff * diff).alias("loss"))
-    return float(per_doc.agg(F.avg("loss")).first()[0])

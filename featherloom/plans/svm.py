@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featherloom.functions.vectors import margin
-from featherloom.operators.joins import repeat_per_salt
 from featherloom.plans import blocks
 from featherloom.plans.settings import SvmSettings
 from featherloom.plans.sparse_ae import Spread
@@ -166,7 +165,7 @@ def train_sparse(triples: DataFrame, labels: DataFrame, settings: SvmSettings) -
     if settings.fraction != 1.0:
         raise ValueError("the sparse layout trains on all labelled documents")
     known = seal(labels.select("doc", "label"), "labels")
-    spread = Spread.of(triples.join(known.select("doc"), "doc", "left_semi"), staged=True)
+    spread = Spread.of(triples.join(known.select("doc"), "doc", "left_semi"))
     weights = seal(zero_weights(spread.rows), "svm")
     columns = weights.count() * 2
     for t in range(1, settings.iterations + 1):
@@ -188,7 +187,7 @@ def train_sparse(triples: DataFrame, labels: DataFrame, settings: SvmSettings) -
 def predict_sparse(triples: DataFrame, weights: DataFrame, threshold: float | None = 0.0) -> DataFrame:
     """(doc, margin, predicted); words without a weight count as 0."""
     spread = Spread.of(triples)
-    joined = spread.rows.join(repeat_per_salt(weights, spread.hot_cols, "col", "_cs"), ["col", "_cs"], "left")
+    joined = spread.with_weights(weights, how="left")
     margins = joined.groupBy("doc").agg(F.sum(F.col("value") * F.coalesce("w", F.lit(0.0))).alias("margin"))
     return margins.withColumn("predicted", classify(F.col("margin"), threshold))
 

@@ -45,7 +45,14 @@ def seal(df: DataFrame, label: str = "table", partition_by: list[str] | None = N
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(_reordered(df, partition_by)).parquet(path).select(df.columns)
+    table = spark.read.schema(_reordered(df, partition_by)).parquet(path).select(df.columns)
+    table._sealed_at = path
+    return table
+
+
+def sealed(df: DataFrame, label: str = "table") -> DataFrame:
+    """``df`` itself when it already is a sealed table, otherwise :func:`seal` of it."""
+    return df if getattr(df, "_sealed_at", None) else seal(df, label)
 
 
 def _reordered(df: DataFrame, partition_by: list[str] | None):
