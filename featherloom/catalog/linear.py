@@ -6,10 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featherloom.catalog.documents import terms
 from featherloom.catalog.registry import CELLS, SOFTMAXED, TERMS, query, r6, table, vectors
 from featherloom.functions import seeded
-from featherloom.operators import metrics, scaling, splits
+from featherloom.operators import documents, metrics, scaling, splits
 from featherloom.plans import classifiers, experiments, sparse_ae, svm
 from featherloom.plans.settings import SparseAutoencoderSettings, SvmSettings
 from featherloom.session import seal
@@ -21,6 +20,12 @@ def binary_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors(spark, sf_dir).withColumn("label", (F.col("label") > 4).cast("double"))
 
 
+def labelled_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word counts of the labelled documents; documents are chosen before they are split into words."""
+    labels = table(spark, sf_dir, "labels").select("doc_id")
+    return seal(documents.term_triples(table(spark, sf_dir, "documents").join(labels, "doc_id", "left_semi")), "terms")
+
+
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("doc"), F.col("quality").alias("label"))
 
@@ -98,14 +103,14 @@ w{t} AS (SELECT w.col, w.w * (1 - 0.01 / sqrt({t})) - g.g / sqrt({t}) AS w FROM
 def svm_train_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three full-batch steps from zero over the word counts."""
     settings = SvmSettings(iterations=3, tolerance=0.0)
-    weights = svm.train_sparse(terms(spark, sf_dir), quality(spark, sf_dir), settings)
+    weights = svm.train_sparse(labelled_terms(spark, sf_dir), quality(spark, sf_dir), settings)
     return weights.select("col", r6("w").alias("w"))
 
 
 @query(_unrolled(1))
 def svm_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = quality(spark, sf_dir)
-    kept = seal(terms(spark, sf_dir).join(labels.select("doc"), "doc", "left_semi"), "terms")
+    kept = labelled_terms(spark, sf_dir)
     moved = svm.sparse_step(sparse_ae.Spread.of(kept), labels, svm.zero_weights(kept), 1.0, 0.01)
     return moved.select("col", r6("w").alias("w"))
 
@@ -147,7 +152,7 @@ FROM scored"""
 def words_score_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents -> word counts -> softmax -> labels -> fixed linear score -> accuracy."""
     labels = quality(spark, sf_dir)
-    kept = seal(terms(spark, sf_dir).join(labels.select("doc"), "doc", "left_semi"), "terms")
+    kept = labelled_terms(spark, sf_dir)
     triples = scaling.document_softmax(kept)
     key = F.length("col") * 31 + F.ascii("col")
     weights = triples.select("col").distinct().select("col", ((key * 17 % 101 - 40) / 500.0).alias("w"))
@@ -157,14 +162,14 @@ def words_score_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def words_svm_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = experiments.words_accuracy(terms(spark, sf_dir), quality(spark, sf_dir), SvmSettings(iterations=4))
+    found = experiments.words_accuracy(labelled_terms(spark, sf_dir), quality(spark, sf_dir), SvmSettings(iterations=4))
     return found
 
 
 @query()
 def raw_words_svm_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return experiments.words_accuracy(
-        terms(spark, sf_dir), quality(spark, sf_dir), SvmSettings(iterations=4), softmaxed=False
+        labelled_terms(spark, sf_dir), quality(spark, sf_dir), SvmSettings(iterations=4), softmaxed=False
     )
 
 
@@ -172,7 +177,7 @@ def raw_words_svm_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def encoded_svm_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoder = SparseAutoencoderSettings(hidden=8, learning_rate=0.1, iterations=2, decay_in=0.01, decay_out=0.01)
     return experiments.encoded_accuracy(
-        terms(spark, sf_dir), quality(spark, sf_dir), encoder, SvmSettings(iterations=5)
+        labelled_terms(spark, sf_dir), quality(spark, sf_dir), encoder, SvmSettings(iterations=5)
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from featherloom.catalog.registry import CELLS, draw_sql, long_form, query, r6, table, vectors
 from featherloom.functions import activations, seeded, surfaces
 from featherloom.functions import vectors as V
-from featherloom.operators import documents, masks, metrics, scaling
+from featherloom.operators import documents, joins, masks, metrics, scaling
 from featherloom.sources import samples
 
 MASK_SEED, NOISE_SEED, DROP_SEED, SAMPLE_SEED = 11, 23, 37, 53
@@ -262,7 +262,8 @@ def squared_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
     centres = metrics.mean_vector(rows, "features", "centre", ["label"])
     centres = centres.withColumn("centre_norm", F.sqrt(V.squared_norm("centre")))
-    paired = rows.withColumn("norm", F.sqrt(V.squared_norm("features"))).join(centres, "label")
+    with_norm = rows.withColumn("norm", F.sqrt(V.squared_norm("features")))
+    paired = joins.join_skewed(with_norm, centres, "label", ["id"])
     return paired.select(
         "id",
         r6(V.squared_distance("features", "centre")).alias("exact"),

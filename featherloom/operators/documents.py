@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from featherloom.session import spread_out
+
 # Separators of the text formats.
 TAB = "\t"
 WHITESPACE = "[ \\t\\n\\r]+"
@@ -23,7 +25,7 @@ def tokens(lines: DataFrame, text: str = "value", separator: str = TAB, keep: li
 
 def word_count(lines: DataFrame, text: str = "value", separator: str = TAB) -> DataFrame:
     """(word, n) over all lines; partial counts are combined before the shuffle."""
-    return tokens(lines, text, separator).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return tokens(spread_out(lines.select(text), text), text, separator).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def term_triples(
@@ -33,7 +35,8 @@ def term_triples(
 
     The word itself is the column key, so no vocabulary has to be numbered.
     """
-    words = tokens(documents, text, separator, keep=[F.col(doc).alias("doc")])
+    source = spread_out(documents.select(doc, text), doc)
+    words = tokens(source, text, separator, keep=[F.col(doc).alias("doc")])
     return (
         words.where(F.col("word") != "")
         .groupBy("doc", F.col("word").alias("col"))

@@ -91,6 +91,12 @@ def join_skewed(
     return find_hot(count_keys(rows, key), key, "n", pieces, floor).join(rows, per_key, spread)
 
 
+def keep_keys(rows: DataFrame, keys: DataFrame, key: str, spread: list[str], floor: int = HOT_FLOOR) -> DataFrame:
+    """Rows whose key occurs in ``keys`` (semi join), hot keys split."""
+    wanted = keys.select(key).distinct()
+    return find_hot(count_keys(rows, key), key, "n", HOT_PIECES, floor).join(rows, wanted, spread, "left_semi")
+
+
 def broadcast_if_small(df: DataFrame, n_values: int | None, limit_bytes: int = 64 * 1024 * 1024) -> DataFrame:
     """Broadcast hint for a side whose number of 8-byte values is known and small."""
     if n_values is not None and n_values * 8 <= limit_bytes:

@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featherloom.functions.seeded import Draw, hashed
-from featherloom.operators.joins import label_rows
+from featherloom.operators.joins import keep_keys, label_rows
 from featherloom.operators.metrics import error_rate
 from featherloom.operators.scaling import document_softmax
 from featherloom.operators.splits import random_split
 from featherloom.plans import sparse_ae, svm
 from featherloom.plans.settings import SparseAutoencoderSettings, SvmSettings
-from featherloom.session import seal
+from featherloom.session import seal, sealed
 
 
 def encoded_accuracy(
@@ -31,9 +31,10 @@ def encoded_accuracy(
     encoded by the trained model.
     """
     train_labels, test_labels = random_split(labels, "doc", list(weights), hashed(seed))
-    counts = seal(triples.join(labels.select("doc"), "doc", "left_semi"), "terms")
+    triples = sealed(triples, "terms")
+    counts = seal(keep_keys(triples, labels, "doc", ["col"]), "terms")
     words = seal(document_softmax(counts), "words")
-    train_words = words.join(train_labels.select("doc"), "doc", "left_semi")
+    train_words = keep_keys(words, train_labels, "doc", ["col"])
     model = sparse_ae.train(train_words, encoder)
     encoded = seal(label_rows(model.encode(words), labels), "encoded")
     as_rows = encoded.select(F.col("doc").alias("id"), "label", F.col("hidden").alias("features"))
@@ -52,11 +53,11 @@ def words_accuracy(
 ) -> DataFrame:
     """Words, softmaxed or raw, straight into the SVM; error rate of the held-out documents."""
     train_labels, test_labels = random_split(labels, "doc", list(weights), hashed(seed))
-    words = seal(triples.join(labels.select("doc"), "doc", "left_semi"), "terms")
+    words = seal(keep_keys(sealed(triples, "terms"), labels, "doc", ["col"]), "terms")
     if softmaxed:
         words = seal(document_softmax(words), "words")
-    learned = svm.train_sparse(words.join(train_labels.select("doc"), "doc", "left_semi"), train_labels, classifier)
-    held_out = words.join(test_labels.select("doc"), "doc", "left_semi")
+    learned = svm.train_sparse(keep_keys(words, train_labels, "doc", ["col"]), train_labels, classifier)
+    held_out = keep_keys(words, test_labels, "doc", ["col"])
     return error_rate(svm.predict_sparse(held_out, learned).join(test_labels, "doc"))
 
 

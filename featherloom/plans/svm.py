@@ -14,10 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featherloom.functions.vectors import margin
+from featherloom.operators.joins import keep_keys
 from featherloom.plans import blocks
 from featherloom.plans.settings import SvmSettings
 from featherloom.plans.sparse_ae import Spread
-from featherloom.session import check_state_size, seal
+from featherloom.session import check_state_size, seal, sealed
 from featherloom.sources.models import load_model, save_model
 
 
@@ -165,7 +166,7 @@ def train_sparse(triples: DataFrame, labels: DataFrame, settings: SvmSettings) -
     if settings.fraction != 1.0:
         raise ValueError("the sparse layout trains on all labelled documents")
     known = seal(labels.select("doc", "label"), "labels")
-    spread = Spread.of(triples.join(known.select("doc"), "doc", "left_semi"))
+    spread = Spread.of(keep_keys(sealed(triples, "triples"), known, "doc", ["col"]))
     weights = seal(zero_weights(spread.rows), "svm")
     columns = weights.count() * 2
     for t in range(1, settings.iterations + 1):

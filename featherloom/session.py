@@ -55,6 +55,18 @@ def sealed(df: DataFrame, label: str = "table") -> DataFrame:
     return df if getattr(df, "_sealed_at", None) else seal(df, label)
 
 
+def spread_out(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows of an input with fewer splits than cores, hashed over all cores.
+
+    A table large enough to fill the cluster has more splits than cores and is left
+    as it is, so nothing is shuffled at scale.
+    """
+    if rows.isStreaming:
+        return rows
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, *by) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def _reordered(df: DataFrame, partition_by: list[str] | None):
     """Schema of the written files: the partition columns come last."""
     tail = partition_by or []

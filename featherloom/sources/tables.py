@@ -25,8 +25,8 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line, value): 1-based line numbers over the files in path order.
 
     Line positions come from the file name and the split's start byte, so they do
-    not depend on how splits are packed into tasks.  Only one row per split is
-    gathered for the running offsets.
+    not depend on how splits are packed into tasks.  The running offsets come from a
+    table with one row per split.
     """
     raw = spark.read.text(path).select(
         "value",
@@ -37,7 +37,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     splits = raw.groupBy("file", "start").agg(F.min("at").alias("first_at"), F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    return raw.join(F.broadcast(offsets), ["file", "start"]).select(
+    return raw.join(offsets, ["file", "start"]).select(
         (F.col("offset") + F.col("at") - F.col("first_at") + 1).alias("line"), "value"
     )
 
