@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from featherloom.functions.vectors import to_entries
+
 
 def read_libsvm(spark: SparkSession, path: str, features: int | None = None) -> DataFrame:
     """label, features; ``features`` fixes the width, otherwise it is inferred.
@@ -19,10 +21,15 @@ def read_libsvm(spark: SparkSession, path: str, features: int | None = None) ->
 
 
 def write_libsvm(rows: DataFrame, path: str, label: str = "label", features: str = "features") -> None:
-    """Arrays or vectors; only non-zero entries are written, 1-based."""
-    is_array = dict(rows.dtypes)[features].startswith("array")
-    vector = array_to_vector(F.col(features).cast("array<double>")) if is_array else F.col(features)
-    rows.select(F.col(label).cast("double").alias("label"), vector.alias("features")).write.format("libsvm").save(path)
+    """Active entries only, 1-based: the non-zero ones of arrays, the stored ones of vectors."""
+    y = F.col(label).cast("double")
+    if not dict(rows.dtypes)[features].startswith("array"):
+        rows.select(y.alias("label"), F.col(features).alias("features")).write.format("libsvm").save(path)
+        return
+    entries = F.transform(
+        to_entries(features, base=1), lambda e: F.concat_ws(":", e["idx"].cast("string"), e["val"].cast("string"))
+    )
+    rows.select(F.concat_ws(" ", y.cast("string"), F.concat_ws(" ", entries)).alias("value")).write.text(path)
 
 
 def usable_lines(lines: DataFrame) -> DataFrame:
