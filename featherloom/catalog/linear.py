@@ -111,7 +111,7 @@ def svm_train_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 def svm_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = quality(spark, sf_dir)
     kept = labelled_terms(spark, sf_dir)
-    moved = svm.sparse_step(sparse_ae.Spread.of(kept), labels, svm.zero_weights(kept), 1.0, 0.01)
+    moved = svm.sparse_step(sparse_ae.Spread.of(kept), labels, seal(svm.zero_weights(kept), "weights"), 1.0, 0.01)
     return moved.select("col", r6("w").alias("w"))
 
 
@@ -153,9 +153,9 @@ def words_score_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents -> word counts -> softmax -> labels -> fixed linear score -> accuracy."""
     labels = quality(spark, sf_dir)
     kept = labelled_terms(spark, sf_dir)
-    triples = scaling.document_softmax(kept)
+    triples = seal(scaling.document_softmax(kept), "words")
     key = F.length("col") * 31 + F.ascii("col")
-    weights = triples.select("col").distinct().select("col", ((key * 17 % 101 - 40) / 500.0).alias("w"))
+    weights = seal(triples.select("col").distinct().select("col", ((key * 17 % 101 - 40) / 500.0).alias("w")), "weights")
     found = metrics.error_rate(svm.predict_sparse(triples, weights).join(labels, "doc"))
     return found.select(r6("error_rate").alias("error_rate"), r6("accuracy").alias("accuracy"), "rows")
 

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from featherloom.session import sealed_rows
+
 #: A key can only be hot when it holds more than 1/HOT_PIECES of all rows, so there
 #: are fewer than HOT_PIECES hot keys whatever the data: a proven bound for the list.
 HOT_PIECES = 4096
@@ -97,11 +99,17 @@ def keep_keys(rows: DataFrame, keys: DataFrame, key: str, spread: list[str], flo
     return find_hot(count_keys(rows, key), key, "n", HOT_PIECES, floor).join(rows, wanted, spread, "left_semi")
 
 
-def broadcast_if_small(df: DataFrame, n_values: int | None, limit_bytes: int = 64 * 1024 * 1024) -> DataFrame:
-    """Broadcast hint for a side whose number of 8-byte values is known and small."""
-    if n_values is not None and n_values * 8 <= limit_bytes:
-        return F.broadcast(df)
-    return df
+#: Largest table that is broadcast by hint.
+BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def fits_broadcast(table: DataFrame, values_per_row: int, limit: int = BROADCAST_BYTES) -> bool:
+    """True for a sealed table whose counted rows stay below ``limit`` bytes.
+
+    A row is taken as its 8-byte values plus 64 bytes of key and bookkeeping.
+    """
+    rows = sealed_rows(table)
+    return rows is not None and rows * (8 * values_per_row + 64) <= limit
 
 
 def label_rows(rows: DataFrame, labels: DataFrame, key: str = "doc") -> DataFrame:

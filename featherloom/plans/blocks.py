@@ -52,9 +52,12 @@ def with_columns(batch: pa.RecordBatch, added: dict[str, np.ndarray]) -> pa.Reco
     return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
-def sum_over_rows(rows: DataFrame, contribute: Contribution) -> DataFrame:
+def sum_over_rows(rows: DataFrame, contribute: Contribution, block_size: int | None = None) -> DataFrame:
     """(name, unit, w): the contributions of all rows, added up.
 
+    ``block_size`` bounds the rows handed to ``contribute`` at once; by default it
+    gets whole Arrow batches.
+
     A task adds its batches first and emits one row per matrix row, so the shuffle
     carries the size of the result times the number of tasks, never the data.  The
     second sum runs per (name, unit) inside the JVM, spread over all units.
@@ -65,9 +68,11 @@ def sum_over_rows(rows: DataFrame, contribute: Contribution) -> DataFrame:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            for name, value in contribute(batch).items():
-                value = np.atleast_2d(np.asarray(value, dtype=np.float64))
-                acc[name] = acc[name] + value if name in acc else value
+            size = block_size or batch.num_rows
+            for start in range(0, batch.num_rows, size):
+                for name, value in contribute(batch.slice(start, size)).items():
+                    value = np.atleast_2d(np.asarray(value, dtype=np.float64))
+                    acc[name] = acc[name] + value if name in acc else value
         names = [n for n, m in acc.items() for _ in range(len(m))]
         units = [u for m in acc.values() for u in range(len(m))]
         arrays = [row for m in acc.values() for row in m]

@@ -83,7 +83,7 @@ class Autoencoder(Estimator, _Shared):
         vectors = vector_to_array(self.getInputCol())
         rows = dataset.select(F.lit(0).cast("bigint").alias("id"), vectors.alias("label"), vectors.alias("features"))
         kind = input_kind(rows, "features").first()["kind"]
-        objective = _Objective(rows, settings)
+        objective = _Objective(rows, settings, self.getBlockSize())
         point, history = minimise(
             objective, _flat(initial_weights(settings)), self.getMaxIter(), self.getTol()
         )
@@ -141,8 +141,8 @@ def _flat(weights: list[np.ndarray]) -> np.ndarray:
 class _Objective:
     """Half mean squared error and its gradient; one Spark job per evaluation."""
 
-    def __init__(self, rows: DataFrame, settings: NetworkSettings):
-        self.rows, self.settings = rows, settings
+    def __init__(self, rows: DataFrame, settings: NetworkSettings, block_size: int):
+        self.rows, self.settings, self.block_size = rows, settings, block_size
         self.shapes = [(o, i + 1) for i, o in zip(settings.sizes, settings.sizes[1:])]
 
     def shaped(self, point: np.ndarray) -> list[np.ndarray]:
@@ -150,7 +150,9 @@ class _Objective:
         return [part.reshape(shape) for part, shape in zip(np.split(point, cuts), self.shapes)]
 
     def __call__(self, point: np.ndarray) -> tuple[float, np.ndarray]:
-        sums = blocks.collect_sums(step_sums(self.rows, self.shaped(point), self.settings, training=False))
+        weights = self.shaped(point)
+        found = step_sums(self.rows, weights, self.settings, training=False, block_size=self.block_size)
+        sums = blocks.collect_sums(found)
         squared, n = sums["loss"][0]
         return 0.5 * squared / n, _flat([sums[f"w{k}"] / n for k in range(len(self.shapes))])
 

@@ -154,6 +154,7 @@ def step_sums(
     mean_activation: list[np.ndarray] | None = None,
     gradients: bool = True,
     training: bool = True,
+    block_size: int | None = None,
 ) -> DataFrame:
     """(name, unit, w) sums over ``rows``.
 
@@ -179,7 +180,7 @@ def step_sums(
                 out[f"w{layer}"] = g
         return out
 
-    return blocks.sum_over_rows(rows.select("id", "label", "features"), contribute)
+    return blocks.sum_over_rows(rows.select("id", "label", "features"), contribute, block_size)
 
 
 def gradient_table(rows: DataFrame, weights: Weights, settings: NetworkSettings, seed: int = 0) -> DataFrame:

@@ -22,13 +22,16 @@ from pyspark.sql import functions as F
 from featherloom.functions.activations import sigmoid, sigmoid_all, sigmoid_slope
 from featherloom.functions.seeded import hashed, uniform, uniform_array
 from featherloom.functions.vectors import dot, scale
-from featherloom.operators.joins import HOT_FLOOR, HOT_PIECES, HotKeys, broadcast_if_small, count_keys, find_hot
+from featherloom.operators.joins import HOT_FLOOR, HOT_PIECES, HotKeys, count_keys, find_hot, fits_broadcast
 from featherloom.plans.settings import SparseAutoencoderSettings
-from featherloom.session import seal, sealed
+from featherloom.session import release, seal, sealed
 
 #: Up to this many array slots are summed as separate columns in generated code.
 MAX_SUM_COLUMNS = 128
 
+#: Folders the triples may be staged in for mini-batches.
+MAX_BATCHES = 256
+
 
 def initial_weight_table(triples: DataFrame, settings: SparseAutoencoderSettings) -> DataFrame:
     """Uniform weights for every column that occurs; each draw is a hash of (column, unit, seed)."""
@@ -75,12 +78,13 @@ def replicas(
 
 @dataclass(frozen=True)
 class Spread:
-    """Triples written once, placed by document, with the hot keys known.
+    """Triples written once, with the hot keys of both join columns known.
 
-    Every branch of a pass starts from the same exchange on the document, which
-    Spark plans once and reuses; sums and joins per document then need no further
-    shuffle of the triples, only the thin (doc, col, value) rows ever move.  Where a
-    key is hot its rows carry a salt for the join on that key.
+    With weights small enough to broadcast, every branch of a pass starts from the
+    same exchange of the thin (doc, col, value) rows on the document, which Spark
+    plans once and reuses; sums and joins per document then move nothing more.
+    Larger weights are joined on the column first.  Where a key is hot its rows
+    carry a salt for the join on that key.
     """
 
     rows: DataFrame
@@ -89,22 +93,20 @@ class Spread:
 
     @classmethod
     def of(cls, triples: DataFrame, pieces: int = HOT_PIECES, floor: int = HOT_FLOOR) -> Spread:
-        base = sealed(triples, "triples").select("doc", "col", "value")
+        base = sealed(triples, "triples")
         hot_cols = find_hot(count_keys(base, "col"), "col", "n", pieces, floor)
         hot_docs = find_hot(count_keys(base, "doc"), "doc", "n", pieces, floor)
-        salted = hot_docs.salt(hot_cols.salt(base, ["doc"], "_cs"), ["col"], "_ds")
-        return cls(salted.repartition(*hot_docs.on("_ds")), hot_cols, hot_docs)
+        return cls(hot_docs.salt(hot_cols.salt(base, ["doc"], "_cs"), ["col"], "_ds"), hot_cols, hot_docs)
 
     def where(self, condition: Column) -> Spread:
         return Spread(self.rows.where(condition), self.hot_cols, self.hot_docs)
 
-    def with_weights(self, table: DataFrame, table_values: int | None = None, how: str = "inner") -> DataFrame:
-        """Triples joined to their column's weights; broadcast when known to be small."""
-        if table_values is not None:
-            small = broadcast_if_small(table, table_values)
-            if small is not table:
-                return self.rows.join(small, "col", how)
-        return self.rows.join(self.hot_cols.repeat(table, "_cs"), self.hot_cols.on("_cs"), how)
+    def with_weights(self, table: DataFrame, values_per_row: int, *columns: str, how: str = "inner") -> DataFrame:
+        """Triples joined to the named weight columns of their column."""
+        weights = table.select("col", *columns)
+        if fits_broadcast(table, values_per_row):
+            return self.rows.repartition(*self.hot_docs.on("_ds")).join(F.broadcast(weights), "col", how)
+        return self.rows.join(self.hot_cols.repeat(weights, "_cs"), self.hot_cols.on("_cs"), how)
 
     def with_documents(self, rows: DataFrame, per_doc: DataFrame) -> DataFrame:
         """Join to a table with one row per document; its share of a partition is hashed, not sorted."""
@@ -166,29 +168,29 @@ def encode_rows(joined: DataFrame, hidden_bias: np.ndarray) -> DataFrame:
 
 def project(triples: DataFrame, table: DataFrame, hidden_bias: np.ndarray) -> DataFrame:
     """(doc, z): the sparse row times weight matrix product, before the activation."""
-    return project_rows(Spread.of(triples).with_weights(table), hidden_bias)
+    return project_rows(Spread.of(triples).with_weights(table, len(hidden_bias), "w_in"), hidden_bias)
 
 
-def encode(triples: DataFrame, table: DataFrame, hidden_bias: np.ndarray, table_values: int | None = None) -> DataFrame:
+def encode(triples: DataFrame, table: DataFrame, hidden_bias: np.ndarray) -> DataFrame:
     """(doc, hidden) for every document."""
-    return encode_rows(Spread.of(triples).with_weights(table, table_values), hidden_bias)
+    return encode_rows(Spread.of(triples).with_weights(table, len(hidden_bias), "w_in"), hidden_bias)
 
 
 def reconstructed(
-    spread: Spread, table: DataFrame, per_doc: DataFrame, width: int, table_values: int | None = None
+    spread: Spread, table: DataFrame, per_doc: DataFrame, width: int
 ) -> DataFrame:
     """Cells (doc, col, value, w_out, ..., out, error) from hidden vectors per document.
 
     out = sigmoid(W_out hidden + b_out) on the present columns only;
     error = (out - value) * out * (1 - out).
     """
-    cells = spread.with_documents(spread.with_weights(table.drop("w_in"), table_values), per_doc)
+    cells = spread.with_documents(spread.with_weights(table, width + 1, "w_out", "b_out"), per_doc)
     cells = cells.withColumn("out", sigmoid(_dot("w_out", "hidden", width) + F.col("b_out")))
     return cells.withColumn("error", (F.col("out") - F.col("value")) * sigmoid_slope("out"))
 
 
 def document_pass(
-    spread: Spread, table: DataFrame, hidden_bias: np.ndarray, table_values: int | None = None
+    spread: Spread, table: DataFrame, hidden_bias: np.ndarray
 ) -> DataFrame:
     """(doc, hidden, hidden_error, loss): forward and backward pass of every document.
 
@@ -196,8 +198,8 @@ def document_pass(
     over the document's words.
     """
     width = len(hidden_bias)
-    hidden = encode_rows(spread.with_weights(table.drop("w_out", "b_out"), table_values), hidden_bias)
-    cells = reconstructed(spread, table, hidden, width, table_values)
+    hidden = encode_rows(spread.with_weights(table, width, "w_in"), hidden_bias)
+    cells = reconstructed(spread, table, hidden, width)
     diff = F.col("out") - F.col("value")
     # Every row of a document carries the same hidden vector; max of each slot keeps it
     # in a fixed-width aggregation buffer.
@@ -211,7 +213,7 @@ def document_pass(
 def decode(triples: DataFrame, table: DataFrame, hidden_bias: np.ndarray) -> DataFrame:
     """(doc, col, value, out): reconstruction of the columns present in each document."""
     spread = Spread.of(triples)
-    hidden = encode_rows(spread.with_weights(table.drop("w_out", "b_out")), hidden_bias)
+    hidden = encode_rows(spread.with_weights(table, len(hidden_bias), "w_in"), hidden_bias)
     return reconstructed(spread, table, hidden, len(hidden_bias)).select("doc", "col", "value", "out")
 
 
@@ -227,11 +229,11 @@ def output_error(pairs: DataFrame, ascending: bool = False) -> DataFrame:
 
 
 def column_gradients(
-    spread: Spread, table: DataFrame, per_doc: DataFrame, width: int, table_values: int | None = None
+    spread: Spread, table: DataFrame, per_doc: DataFrame, width: int
 ) -> DataFrame:
     """(col, g_in, g_out, g_bias): gradients summed over all documents of ``per_doc``."""
     return summed_arrays(
-        reconstructed(spread, table, per_doc, width, table_values),
+        reconstructed(spread, table, per_doc, width),
         ["col"],
         {"g_in": ("hidden_error", "value"), "g_out": ("hidden", "error")},
         width,
@@ -280,11 +282,12 @@ def updated_bias(
 
 @dataclass(frozen=True)
 class Step:
-    """State after one update, and the loss before it."""
+    """State after one update, the loss before it, and the pass the update reads."""
 
     table: DataFrame
     hidden_bias: np.ndarray
     loss: float
+    per_doc: DataFrame
 
 
 def step(
@@ -292,7 +295,6 @@ def step(
     table: DataFrame,
     hidden_bias: np.ndarray,
     settings: SparseAutoencoderSettings,
-    table_values: int | None = None,
 ) -> Step | None:
     """One update over all documents of ``spread``; None when there are none.
 
@@ -300,15 +302,15 @@ def step(
     joined into the new weight table.  Only the hidden bias visits the driver.
     """
     width = len(hidden_bias)
-    per_doc = seal(document_pass(spread, table, hidden_bias, table_values), "pass")
+    per_doc = seal(document_pass(spread, table, hidden_bias), "pass")
     measured = bias_gradient(per_doc, width).first()
     if not measured["docs"]:
         return None
     docs = float(measured["docs"])
-    gradients = column_gradients(spread, table, per_doc, width, table_values)
+    gradients = column_gradients(spread, table, per_doc, width)
     moved = updated_table(table, gradients, F.lit(docs), settings)
     bias = updated_bias(hidden_bias, np.array(measured["g"]), docs, settings)
-    return Step(moved, bias, float(measured["loss"]))
+    return Step(moved, bias, float(measured["loss"]), per_doc)
 
 
 @dataclass
@@ -317,10 +319,9 @@ class SparseAutoencoderModel:
     table: DataFrame
     hidden_bias: np.ndarray
     losses: list[float] = field(default_factory=list)
-    table_values: int | None = None
 
     def encode(self, triples: DataFrame) -> DataFrame:
-        return encode(triples, self.table, self.hidden_bias, self.table_values)
+        return encode(triples, self.table, self.hidden_bias)
 
     def decode(self, triples: DataFrame) -> DataFrame:
         return decode(triples, self.table, self.hidden_bias)
@@ -331,25 +332,33 @@ def train(
 ) -> SparseAutoencoderModel:
     """``iterations`` passes of ``batches`` updates each.
 
-    The triples are written once; each new weight table is written too, so the plan
-    of a step never grows.  Updates use the mean gradient of a batch of documents;
-    the result differs from a strictly serial document-by-document descent.
-    ``losses`` holds, per pass, the mean document loss met before each update.
+    The triples are written once, foldered by batch; each new weight table is
+    written too, so the plan of a step never grows, and the table it replaces is
+    deleted.  Updates use the mean gradient of a batch of documents; the result
+    differs from a strictly serial document-by-document descent.  ``losses`` holds,
+    per pass, the mean document loss met before each update.
     """
-    whole = Spread.of(triples)
+    if not 1 <= batches <= MAX_BATCHES:
+        raise ValueError(f"batches must lie in [1, {MAX_BATCHES}]")
+    number = F.pmod(F.xxhash64("doc", F.lit(settings.seed)), F.lit(batches)).cast("int")
+    thin = triples.select("doc", "col", "value")
+    if batches > 1:
+        thin = seal(thin.withColumn("_batch", number), "triples", ["_batch"])
+    whole = Spread.of(thin)
     table = seal(initial_weight_table(whole.rows, settings), "weights")
-    table_values = table.count() * (2 * settings.hidden + 2)
     bias = initial_hidden_bias(settings)
-    model = SparseAutoencoderModel(settings, table, bias, [], table_values)
-    number = F.pmod(F.xxhash64("doc", F.lit(settings.seed)), F.lit(batches))
+    model = SparseAutoencoderModel(settings, table, bias)
     for _ in range(settings.iterations):
         losses = []
         for batch in range(batches):
-            part = whole if batches == 1 else whole.where(number == batch)
-            done = step(part, table, bias, settings, table_values)
-            if done is not None:
-                table, bias = seal(done.table, "weights"), done.hidden_bias
-                losses.append(done.loss)
+            part = whole if batches == 1 else whole.where(F.col("_batch") == batch)
+            done = step(part, table, bias, settings)
+            if done is None:
+                continue
+            old, table, bias = table, seal(done.table, "weights"), done.hidden_bias
+            release(old)
+            release(done.per_doc)
+            losses.append(done.loss)
         if losses:
             model.losses.append(sum(losses) / len(losses))
     model.table, model.hidden_bias = table, bias

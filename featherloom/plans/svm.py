@@ -18,7 +18,7 @@ from featherloom.operators.joins import keep_keys
 from featherloom.plans import blocks
 from featherloom.plans.settings import SvmSettings
 from featherloom.plans.sparse_ae import Spread
-from featherloom.session import check_state_size, seal, sealed
+from featherloom.session import check_state_size, release, seal, sealed
 from featherloom.sources.models import load_model, save_model
 
 
@@ -130,23 +130,16 @@ def train(
 # Sparse layout: triples (doc, col, value), labels (doc, label), weights (col, w).
 
 
-def sparse_margins(spread: Spread, weights: DataFrame, columns: int | None = None) -> DataFrame:
+def sparse_margins(spread: Spread, weights: DataFrame) -> DataFrame:
     """(doc, margin) of every document."""
-    joined = spread.with_weights(weights, columns)
+    joined = spread.with_weights(weights, 1, "w")
     return joined.groupBy("doc").agg(F.sum(F.col("value") * F.col("w")).alias("margin"))
 
 
-def sparse_step(
-    spread: Spread,
-    labels: DataFrame,
-    weights: DataFrame,
-    rate: float,
-    reg: float,
-    columns: int | None = None,
-) -> DataFrame:
+def sparse_step(spread: Spread, labels: DataFrame, weights: DataFrame, rate: float, reg: float) -> DataFrame:
     """(col, w) after one step over all labelled documents."""
     sign = 2.0 * require_binary("label") - 1.0
-    scored = labels.join(sparse_margins(spread, weights, columns), "doc")
+    scored = labels.join(sparse_margins(spread, weights), "doc")
     pull = scored.select("doc", F.when(sign * F.col("margin") < 1.0, -sign).otherwise(0.0).alias("pull"))
     n = pull.agg(F.count(F.lit(1))).scalar()
     cells = spread.with_documents(spread.rows, pull)
@@ -162,24 +155,27 @@ def zero_weights(triples: DataFrame) -> DataFrame:
 
 
 def train_sparse(triples: DataFrame, labels: DataFrame, settings: SvmSettings) -> DataFrame:
-    """Weight table (col, w) after ``settings.iterations`` full-batch steps."""
+    """Weight table (col, w, moved) after ``settings.iterations`` full-batch steps.
+
+    ``moved`` is the squared change of the last step.
+    """
     if settings.fraction != 1.0:
         raise ValueError("the sparse layout trains on all labelled documents")
     known = seal(labels.select("doc", "label"), "labels")
     spread = Spread.of(keep_keys(sealed(triples, "triples"), known, "doc", ["col"]))
     weights = seal(zero_weights(spread.rows), "svm")
-    columns = weights.count() * 2
     for t in range(1, settings.iterations + 1):
         rate = settings.step / float(np.sqrt(t))
-        moved = sparse_step(spread, known, weights, rate, settings.reg, columns)
+        moved = sparse_step(spread, known, weights, rate, settings.reg)
         both = seal(
-            moved.join(weights.withColumnRenamed("w", "old"), "col").select(
+            moved.join(weights.select("col", F.col("w").alias("old")), "col").select(
                 "col", "w", ((F.col("w") - F.col("old")) ** 2).alias("moved")
             ),
             "svm",
         )
         change, size = both.agg(F.sqrt(F.sum("moved")), F.sqrt(F.sum(F.col("w") ** 2))).first()
-        weights = both.select("col", "w")
+        release(weights)
+        weights = both
         if t > 1 and change < settings.tolerance * max(size, 1.0):
             break
     return weights
@@ -188,7 +184,7 @@ def train_sparse(triples: DataFrame, labels: DataFrame, settings: SvmSettings) -
 def predict_sparse(triples: DataFrame, weights: DataFrame, threshold: float | None = 0.0) -> DataFrame:
     """(doc, margin, predicted); words without a weight count as 0."""
     spread = Spread.of(triples)
-    joined = spread.with_weights(weights, how="left")
+    joined = spread.with_weights(weights, 1, "w", how="left")
     margins = joined.groupBy("doc").agg(F.sum(F.col("value") * F.coalesce("w", F.lit(0.0))).alias("margin"))
     return margins.withColumn("predicted", classify(F.col("margin"), threshold))
 

@@ -55,6 +55,30 @@ def sealed(df: DataFrame, label: str = "table") -> DataFrame:
     return df if getattr(df, "_sealed_at", None) else seal(df, label)
 
 
+def release(table: DataFrame) -> None:
+    """Delete the files of a sealed table that nothing reads any more.
+
+    Only tables written by :func:`seal` in this session are touched; anything else
+    is left alone.
+    """
+    path = getattr(table, "_sealed_at", None)
+    if path is None:
+        return
+    spark = table.sparkSession
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    location.getFileSystem(spark._jsc.hadoopConfiguration()).delete(location, True)
+    table._sealed_at = None
+
+
+def sealed_rows(table: DataFrame) -> int | None:
+    """Row count of a sealed table (counted once); None for any other DataFrame."""
+    if not getattr(table, "_sealed_at", None):
+        return None
+    if getattr(table, "_rows", None) is None:
+        table._rows = table.count()
+    return table._rows
+
+
 def spread_out(rows: DataFrame, *by: str) -> DataFrame:
     """Rows of an input with fewer splits than cores, hashed over all cores.
 
