@@ -11,6 +11,7 @@ from featherloom.operators import metrics
 from featherloom.plans import feedforward
 from featherloom.plans.estimator import Autoencoder
 from featherloom.plans.settings import NetworkSettings
+from featherloom.sources.models import weight_table
 
 SIZES = (64, 4, 2)
 SETTINGS = NetworkSettings(sizes=SIZES, output="sigm", learning_rate=0.5, momentum=0.0, l2=0.1)
@@ -144,6 +145,65 @@ def _history(spark: SparkSession, model: feedforward.TrainedNetwork, scored: Dat
     return cells.withColumn("train_loss", F.lit(last))
 
 
+def _unrolled(steps: int, rate: float, momentum: float) -> str:
+    """Full-batch training from the rational weights, step by step."""
+    text = f"""
+WITH {CELLS}, inputs AS (SELECT id, pos + 1 AS slot, x FROM cells UNION ALL SELECT vec_id, 0, 1.0 FROM embeddings),
+targets AS (
+  SELECT vec_id AS id, o.unit, CASE WHEN o.unit = 0 THEN label / CAST(10 AS DOUBLE) ELSE CAST(label % 2 AS DOUBLE) END AS y
+  FROM embeddings, (SELECT unnest(range(2)) AS unit) o
+),
+w0 AS (
+  SELECT layer, unit, slot, ((layer * 7 + unit * 17 + slot * 31) % 101 - 50) / CAST(500 AS DOUBLE) AS w, CAST(0 AS DOUBLE) AS v
+  FROM (SELECT 0 AS layer, unnest(range(4)) AS unit), (SELECT unnest(range(65)) AS slot)
+  UNION ALL
+  SELECT layer, unit, slot, ((layer * 7 + unit * 17 + slot * 31) % 101 - 50) / CAST(500 AS DOUBLE), CAST(0 AS DOUBLE)
+  FROM (SELECT 1 AS layer, unnest(range(2)) AS unit), (SELECT unnest(range(5)) AS slot)
+)"""
+    for t in range(1, steps + 1):
+        old = f"w{t - 1}"
+        text += f""",
+h{t} AS (
+  SELECT i.id, w.unit + 1 AS slot, 1 / (1 + exp(-sum(i.x * w.w))) AS a
+  FROM inputs i JOIN {old} w ON w.layer = 0 AND w.slot = i.slot GROUP BY i.id, w.unit
+  UNION ALL SELECT vec_id, 0, 1.0 FROM embeddings
+),
+p{t} AS (
+  SELECT h.id, w.unit, 1 / (1 + exp(-sum(h.a * w.w))) AS p
+  FROM h{t} h JOIN {old} w ON w.layer = 1 AND w.slot = h.slot GROUP BY h.id, w.unit
+),
+d{t} AS (
+  SELECT p.id, p.unit, -(t.y - p.p) * p.p * (1 - p.p) AS d FROM p{t} p JOIN targets t ON t.id = p.id AND t.unit = p.unit
+),
+e{t} AS (
+  SELECT h.id, h.slot - 1 AS unit, sum(d.d * w.w) * any_value(h.a * (1 - h.a)) AS d
+  FROM h{t} h JOIN {old} w ON w.layer = 1 AND w.slot = h.slot JOIN d{t} d ON d.id = h.id AND d.unit = w.unit
+  WHERE h.slot > 0 GROUP BY h.id, h.slot
+),
+g{t} AS (
+  SELECT 0 AS layer, e.unit, i.slot, avg(e.d * i.x) AS g FROM e{t} e JOIN inputs i ON i.id = e.id GROUP BY e.unit, i.slot
+  UNION ALL SELECT 1, d.unit, h.slot, avg(d.d * h.a) FROM d{t} d JOIN h{t} h ON h.id = d.id GROUP BY d.unit, h.slot
+),
+w{t} AS (
+  SELECT layer, unit, slot, w - m AS w, m AS v FROM (
+    SELECT o.layer, o.unit, o.slot, o.w,
+           {rate} * (g.g + CASE WHEN o.slot = 0 THEN 0 ELSE 0.1 * o.w END) + {momentum} * o.v AS m
+    FROM {old} o JOIN g{t} g ON g.layer = o.layer AND g.unit = o.unit AND g.slot = o.slot
+  )
+)"""
+    return text + f"\nSELECT layer, unit, slot, round(w, 6) + 0.0 AS w FROM w{steps}"
+
+
+@query(_unrolled(3, 0.5, 0.5))
+def nn_train_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights after three epochs of one batch each, with momentum and L2, from fixed weights."""
+    rows = training_rows(spark, sf_dir)
+    settings = SETTINGS.with_(momentum=0.5)
+    model = feedforward.train(rows, settings, rows.count(), epochs=3, init_weights=rational_weights(SIZES))
+    cells = weight_table(spark, model.weights).select("layer", "unit", F.posexplode("w").alias("slot", "w"))
+    return _wide_keys(cells).withColumn("w", r6("w"))
+
+
 @query()
 def nn_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = training_rows(spark, sf_dir)

@@ -12,6 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 #: form of an operator must be used.
 MAX_STATE_BYTES = 256 * 1024 * 1024
 
+#: Default size of one input split.
+SPLIT_BYTES = 128 * 1024 * 1024
+
+#: Names this run's part of the shared folder.
+RUN = uuid.uuid4().hex
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
@@ -28,9 +34,23 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def _run_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/featherloom-{RUN}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/featherloom/{label}-{uuid.uuid4().hex}"
+    """A fresh path in this run's part of the shared folder."""
+    return f"{_run_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    location.getFileSystem(spark._jsc.hadoopConfiguration()).delete(location, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete everything this run wrote to the shared folder; call it when done."""
+    _delete(spark, _run_folder(spark))
 
 
 def seal(df: DataFrame, label: str = "table", partition_by: list[str] | None = None) -> DataFrame:
@@ -64,9 +84,7 @@ def release(table: DataFrame) -> None:
     path = getattr(table, "_sealed_at", None)
     if path is None:
         return
-    spark = table.sparkSession
-    location = spark._jvm.org.apache.hadoop.fs.Path(path)
-    location.getFileSystem(spark._jsc.hadoopConfiguration()).delete(location, True)
+    _delete(table.sparkSession, path)
     table._sealed_at = None
 
 
@@ -80,15 +98,17 @@ def sealed_rows(table: DataFrame) -> int | None:
 
 
 def spread_out(rows: DataFrame, *by: str) -> DataFrame:
-    """Rows of an input with fewer splits than cores, hashed over all cores.
+    """Rows of an input too small to give every core a split, hashed over all cores.
 
-    A table large enough to fill the cluster has more splits than cores and is left
-    as it is, so nothing is shuffled at scale.
+    Decided on the planner's size estimate, without running anything.  A table that
+    fills the cluster is left as it is, so nothing is shuffled at scale.
     """
     if rows.isStreaming:
         return rows
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores, *by) if rows.rdd.getNumPartitions() < cores else rows
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    estimate = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores, *by) if estimate < cores * SPLIT_BYTES else rows
 
 
 def _reordered(df: DataFrame, partition_by: list[str] | None):

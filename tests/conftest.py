@@ -6,6 +6,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(pathlib.Path(__file__).resolve().parents[1]))
 
+from featherloom.session import clean  # noqa: E402
+
 SF_SMALL = "/root/testdata/sf0.001"
 
 
@@ -23,4 +25,5 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clean(session)
     session.stop()

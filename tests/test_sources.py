@@ -4,7 +4,7 @@ import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from featherloom.session import scratch_path, seal, sealed, shared_dir
+from featherloom.session import release, scratch_path, seal, sealed, shared_dir, spread_out
 from featherloom.sources import matrices, samples, tables, vectors
 
 
@@ -119,3 +119,19 @@ def test_sealed_tables_have_no_lineage(spark):
     assert table.columns == ["id", "part"] and table.count() == 10
     assert shared_dir(spark).removeprefix("file:") in table.inputFiles()[0]
     assert sealed(table) is table and sealed(rows) is not rows
+
+
+def test_released_tables_are_deleted_and_others_left_alone(spark):
+    table = seal(spark.range(3), "gone")
+    path = table._sealed_at
+    release(spark.range(3))
+    release(table)
+    with pytest.raises(Exception):
+        spark.read.parquet(path)
+
+
+def test_small_inputs_are_spread_and_large_ones_are_not(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert spread_out(spark.range(100).coalesce(1), "id").rdd.getNumPartitions() == cores
+    big = spark.range(10**12)
+    assert spread_out(big, "id") is big
