@@ -81,6 +81,14 @@ def count_keys(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
 
 
+def hot_of(rows: DataFrame, key: str, pieces: int = HOT_PIECES, floor: int = HOT_FLOOR) -> HotKeys:
+    """Hot keys of ``rows``; a sealed table with no more rows than ``floor`` has none."""
+    known = sealed_rows(rows)
+    if known is not None and known <= floor:
+        return HotKeys(key)
+    return find_hot(count_keys(rows, key), key, "n", pieces, floor)
+
+
 def join_skewed(
     rows: DataFrame, per_key: DataFrame, key: str, spread: list[str], pieces: int = HOT_PIECES, floor: int = HOT_FLOOR
 ) -> DataFrame:
@@ -90,13 +98,13 @@ def join_skewed(
     once per salt.  Spark broadcasts ``per_key`` by itself when its measured size
     allows.
     """
-    return find_hot(count_keys(rows, key), key, "n", pieces, floor).join(rows, per_key, spread)
+    return hot_of(rows, key, pieces, floor).join(rows, per_key, spread)
 
 
 def keep_keys(rows: DataFrame, keys: DataFrame, key: str, spread: list[str], floor: int = HOT_FLOOR) -> DataFrame:
     """Rows whose key occurs in ``keys`` (semi join), hot keys split."""
     wanted = keys.select(key).distinct()
-    return find_hot(count_keys(rows, key), key, "n", HOT_PIECES, floor).join(rows, wanted, spread, "left_semi")
+    return hot_of(rows, key, HOT_PIECES, floor).join(rows, wanted, spread, "left_semi")
 
 
 #: Largest table that is broadcast by hint.

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from featherloom.functions.activations import sigmoid, sigmoid_all, sigmoid_slope
 from featherloom.functions.seeded import hashed, uniform, uniform_array
 from featherloom.functions.vectors import dot, scale
-from featherloom.operators.joins import HOT_FLOOR, HOT_PIECES, HotKeys, count_keys, find_hot, fits_broadcast
+from featherloom.operators.joins import HOT_FLOOR, HOT_PIECES, HotKeys, fits_broadcast, hot_of
 from featherloom.plans.settings import SparseAutoencoderSettings
 from featherloom.session import release, seal, sealed
 
@@ -94,8 +94,7 @@ class Spread:
     @classmethod
     def of(cls, triples: DataFrame, pieces: int = HOT_PIECES, floor: int = HOT_FLOOR) -> Spread:
         base = sealed(triples, "triples")
-        hot_cols = find_hot(count_keys(base, "col"), "col", "n", pieces, floor)
-        hot_docs = find_hot(count_keys(base, "doc"), "doc", "n", pieces, floor)
+        hot_cols, hot_docs = hot_of(base, "col", pieces, floor), hot_of(base, "doc", pieces, floor)
         return cls(hot_docs.salt(hot_cols.salt(base, ["doc"], "_cs"), ["col"], "_ds"), hot_cols, hot_docs)
 
     def where(self, condition: Column) -> Spread:
