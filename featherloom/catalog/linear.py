@@ -111,7 +111,7 @@ def svm_train_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 def svm_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = quality(spark, sf_dir)
     kept = labelled_terms(spark, sf_dir)
-    moved = svm.sparse_step(sparse_ae.Spread.of(kept), labels, seal(svm.zero_weights(kept), "weights"), 1.0, 0.01)
+    moved, _ = svm.sparse_step(sparse_ae.Spread.of(kept), labels, seal(svm.zero_weights(kept), "weights"), 1.0, 0.01)
     return moved.select("col", r6("w").alias("w"))
 
 

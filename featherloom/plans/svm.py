@@ -18,7 +18,7 @@ from featherloom.operators.joins import keep_keys
 from featherloom.plans import blocks
 from featherloom.plans.settings import SvmSettings
 from featherloom.plans.sparse_ae import Spread
-from featherloom.session import check_state_size, release, seal, sealed
+from featherloom.session import check_state_size, release, seal, sealed, sealed_rows
 from featherloom.sources.models import load_model, save_model
 
 
@@ -136,18 +136,25 @@ def sparse_margins(spread: Spread, weights: DataFrame) -> DataFrame:
     return joined.groupBy("doc").agg(F.sum(F.col("value") * F.col("w")).alias("margin"))
 
 
-def sparse_step(spread: Spread, labels: DataFrame, weights: DataFrame, rate: float, reg: float) -> DataFrame:
-    """(col, w) after one step over all labelled documents."""
+def sparse_step(
+    spread: Spread, labels: DataFrame, weights: DataFrame, rate: float, reg: float
+) -> tuple[DataFrame, DataFrame]:
+    """(col, w) after one step over all labelled documents, and the table it reads.
+
+    The pull of each document on its words, -sign inside the margin and 0 outside,
+    is written out: the gradient and the document count both need it.
+    """
     sign = 2.0 * require_binary("label") - 1.0
     scored = labels.join(sparse_margins(spread, weights), "doc")
-    pull = scored.select("doc", F.when(sign * F.col("margin") < 1.0, -sign).otherwise(0.0).alias("pull"))
-    n = pull.agg(F.count(F.lit(1))).scalar()
+    pull = seal(scored.select("doc", F.when(sign * F.col("margin") < 1.0, -sign).otherwise(0.0).alias("pull")), "pull")
+    n = max(sealed_rows(pull), 1)
     cells = spread.with_documents(spread.rows, pull)
     gradient = cells.groupBy("col").agg((F.sum(F.col("pull") * F.col("value"))).alias("g"))
     shrunk = F.col("w") * (1.0 - rate * reg)
-    return weights.join(gradient, "col", "left").select(
-        "col", (shrunk - rate * F.coalesce("g", F.lit(0.0)) / n).alias("w")
+    moved = weights.join(gradient, "col", "left").select(
+        "col", (shrunk - rate * F.coalesce("g", F.lit(0.0)) / F.lit(float(n))).alias("w")
     )
+    return moved, pull
 
 
 def zero_weights(triples: DataFrame) -> DataFrame:
@@ -166,7 +173,7 @@ def train_sparse(triples: DataFrame, labels: DataFrame, settings: SvmSettings) -
     weights = seal(zero_weights(spread.rows), "svm")
     for t in range(1, settings.iterations + 1):
         rate = settings.step / float(np.sqrt(t))
-        moved = sparse_step(spread, known, weights, rate, settings.reg)
+        moved, pull = sparse_step(spread, known, weights, rate, settings.reg)
         both = seal(
             moved.join(weights.select("col", F.col("w").alias("old")), "col").select(
                 "col", "w", ((F.col("w") - F.col("old")) ** 2).alias("moved")
@@ -175,6 +182,7 @@ def train_sparse(triples: DataFrame, labels: DataFrame, settings: SvmSettings) -
         )
         change, size = both.agg(F.sqrt(F.sum("moved")), F.sqrt(F.sum(F.col("w") ** 2))).first()
         release(weights)
+        release(pull)
         weights = both
         if t > 1 and change < settings.tolerance * max(size, 1.0):
             break

@@ -121,6 +121,23 @@ def test_sealed_tables_have_no_lineage(spark):
     assert sealed(table) is table and sealed(rows) is not rows
 
 
+class _Session:
+    """A session that names no checkpoint folder."""
+
+    def __init__(self, master):
+        self.conf = {}
+        self.sparkContext = type("Context", (), {"master": master})()
+
+
+def test_only_local_sessions_get_a_temporary_folder():
+    assert shared_dir(_Session("local[4]")) == shared_dir(_Session("local[*]"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(_Session("spark://host:7077"))
+    named = _Session("spark://host:7077")
+    named.conf = {"spark.checkpoint.dir": "hdfs://shared/ck/"}
+    assert shared_dir(named) == "hdfs://shared/ck"
+
+
 def test_released_tables_are_deleted_and_others_left_alone(spark):
     table = seal(spark.range(3), "gone")
     path = table._sealed_at
