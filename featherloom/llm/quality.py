@@ -215,8 +215,8 @@ def learn(docs: DataFrame, labels: DataFrame, settings: QualitySettings = Qualit
 
 
 def thresholds(table: DataFrame, settings: QualitySettings) -> list[list[float]]:
-    """Candidate thresholds per statistic: quantiles of either class."""
-    points = [(k + 0.5) / settings.bins for k in range(settings.bins)]
+    """Candidate thresholds per statistic: smallest, largest and quantiles of either class among these rows."""
+    points = [0.0, *((k + 0.5) / settings.bins for k in range(settings.bins)), 1.0]
     aggregates = [
         F.percentile_approx(F.when(F.col("rejected") == y, F.get("tested", F.lit(f))), points, 1000).alias(f"t{f}_{y}")
         for f in range(len(TESTED))
@@ -226,6 +226,17 @@ def thresholds(table: DataFrame, settings: QualitySettings) -> list[list[float]]
     return [sorted({*(row[f"t{f}_0"] or ()), *(row[f"t{f}_1"] or ())}) for f in range(len(TESTED))]
 
 
+def bins_of(vector: Column, cuts: list[list[float]]) -> Column:
+    """For each statistic how many of its thresholds the value reaches."""
+
+    def reached(points: list[float], f: int) -> Column:
+        if not points:
+            return F.lit(0)
+        return F.size(F.filter(F.array(*map(F.lit, points)), lambda t: t <= F.get(vector, F.lit(f))))
+
+    return F.array(*(reached(points, f) for f, points in enumerate(cuts)))
+
+
 def step_counts(table: DataFrame, taken: Column, bins: Column) -> list:
     """Rows (prune, statistic, bin, rejects, n) of the rows in ``taken``: a few hundred at most."""
     return (
@@ -265,16 +276,14 @@ def best_condition(counts: list, cuts: list[list[float]], rejects: int, kept: in
 
 def cover(table: DataFrame, settings: QualitySettings) -> DecisionList:
     """Sequential covering over (rejected, prune, tested): grow, prune, accept, and go on with the rest."""
-    cuts = thresholds(table, settings)
     vector = F.col("tested")
-    bins = F.array(
-        *(F.size(F.filter(F.array(*map(F.lit, p)), lambda t, f=f: t <= F.get(vector, F.lit(f)))) if p else F.lit(0) for f, p in enumerate(cuts))
-    )
     rules: list[tuple[Condition, ...]] = []
     while len(rules) < settings.max_rules:
         left = F.lit(True)
         for r in rules:
             left = left & ~all_of(r, vector)
+        cuts = thresholds(table.where(left), settings)
+        bins = bins_of(vector, cuts)
         grown: list[Condition] = []
         seen: list[tuple[int, int]] = []
         while True:
