@@ -37,3 +37,22 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         v["rule"].alias("rule"),
         v["kept"].alias("kept"),
     )
+
+
+@query
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their place in sequences of 4096 tokens."""
+    from featherloom.llm import packing, tokens
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokens.vocabulary())
+
+
+@query
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as the token store's files give them back."""
+    from featherloom.llm import token_store, tokens
+    from featherloom.session import scratch_path
+
+    path = scratch_path(spark, "token-store")
+    token_store.write(table(spark, sf_dir, "documents"), path, tokens.vocabulary())
+    return token_store.checked(spark, path)
