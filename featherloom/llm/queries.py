@@ -56,3 +56,30 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-store")
     token_store.write(table(spark, sf_dir, "documents"), path, tokens.vocabulary())
     return token_store.checked(spark, path)
+
+
+@query
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of near duplicates of each document."""
+    from featherloom.llm import minhash
+
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query
+def op10_int8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of each embedding."""
+    from featherloom.llm import vector_dedup
+
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op9_gru_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each document."""
+    from featherloom.llm import language_id
+
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.predict(docs, language_id.train(docs))
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
