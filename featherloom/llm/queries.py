@@ -83,3 +83,155 @@ def op9_gru_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language_id.predict(docs, language_id.train(docs))
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each document, how many recur elsewhere, and a digest of the text without those."""
+    from featherloom.llm import line_dedup
+
+    clean, counts = line_dedup.dedupe(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    c = F.col(counts)
+    return clean.select(
+        "doc_id", c["n_lines"].alias("n_lines"), c["n_dropped"].alias("n_dropped"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5")
+    )
+
+
+SQL["op1_line_dedup"] = r"""
+WITH raw AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+  FROM documents
+), words AS (
+  SELECT doc_id, pos, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM raw
+), masked AS (
+  SELECT doc_id, pos, len(w) AS n,
+         [CASE WHEN regexp_matches(x, '[0-9]|@|://') THEN '<*>' ELSE x END FOR x IN w] AS t
+  FROM words WHERE len(w) >= 5
+), parts AS (
+  SELECT doc_id, pos, n, t, j, 2 + ((n - 2) * j) // 4 AS b, 2 + ((n - 2) * (j + 1)) // 4 AS e
+  FROM masked, (SELECT unnest([0, 1, 2, 3]) AS j) WHERE n >= 8
+), keys AS (
+  SELECT doc_id, pos, concat(n, ' ', j, ' ', array_to_string(list_concat(t[1:b], ['<*>'], t[e + 1:n]), ' ')) AS k FROM parts
+  UNION ALL
+  SELECT doc_id, pos, concat(n, ' - ', array_to_string(t, ' ')) FROM masked WHERE n < 8
+), firsts AS (
+  SELECT k, min(struct_pack(d := doc_id, p := pos)) AS f FROM keys
+  GROUP BY k HAVING min(doc_id) <> max(doc_id)
+), gone AS (
+  SELECT DISTINCT doc_id, pos FROM keys JOIN firsts USING (k) WHERE struct_pack(d := doc_id, p := pos) <> f
+)
+SELECT r.doc_id, count(*) AS n_lines, count(g.pos) AS n_dropped,
+       md5(coalesce(string_agg(r.line, chr(10) ORDER BY r.pos) FILTER (WHERE g.pos IS NULL), '')) AS text_md5
+FROM raw r LEFT JOIN gone g ON r.doc_id = g.doc_id AND r.pos = g.pos
+GROUP BY r.doc_id
+"""
+
+
+def with_domain(docs: DataFrame) -> DataFrame:
+    """``docs`` with a domain: these tables have none, so their sources are dealt to three by their number."""
+    number = F.coalesce(F.regexp_extract(F.coalesce("source", F.lit("")), "([0-9]+)$", 1).try_cast("bigint"), F.lit(0))
+    return docs.withColumn("domain", F.element_at(F.array(*map(F.lit, ("web", "books", "forums"))), (number % 3 + 1).cast("int")))
+
+
+#: Target weights: unnamed values weigh 1.
+WEIGHTS = {
+    "domain": {"web": 0.5, "books": 0.3, "forums": 0.2},
+    "lang": {"en": 0.6, "de": 0.2, "fr": 0.1, "es": 0.1},
+}
+
+
+@query
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents taken for the target weights, once for each epoch that takes them."""
+    from featherloom.llm import mixing
+    from featherloom.session import seal
+
+    docs = with_domain(table(spark, sf_dir, "documents"))
+    settings = mixing.MixSettings(weights=WEIGHTS)
+    counts = seal(mixing.counted(docs, settings), "token-counts")
+    taken, epoch = mixing.mix(counts, settings, counts)
+    return taken.select("doc_id", F.col(epoch).alias("epoch"), *settings.levels, "n_tokens")
+
+
+def _mix_level(level: str, above: list[str], weights: str) -> str:
+    """One level of the budget tree in SQL: table ``b_<level>`` (levels, budget)."""
+    own = ", ".join([*above, level])
+    part = f"PARTITION BY {', '.join(above)}" if above else ""
+    join = f"JOIN b_{above[-1]} USING ({', '.join(above)})" if above else "CROSS JOIN b_root"
+    return f"""
+n_{level} AS (
+  SELECT {own}, CAST(sum(supply) * 2 AS DOUBLE) AS cap, CAST({weights} AS DOUBLE) AS w FROM leaves GROUP BY {own}
+), o_{level} AS (
+  SELECT *, budget - coalesce(sum(cap) OVER (p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room,
+         sum(w) OVER ({part}) - coalesce(sum(w) OVER (p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS wleft
+  FROM n_{level} {join} WINDOW p AS ({part} ORDER BY cap / w, {level})
+), f_{level} AS (
+  SELECT *, cap * wleft <= room * w AS filled FROM o_{level}
+), b_{level} AS (
+  SELECT {own}, CASE WHEN filled THEN cap ELSE greatest(0, least(cap,
+           (budget - sum(CASE WHEN filled THEN cap ELSE 0 END) OVER ({part})) * w
+           / sum(CASE WHEN filled THEN 0 ELSE w END) OVER ({part}))) END AS budget
+  FROM f_{level}
+)"""
+
+
+SQL["op2_source_mix"] = (
+    r"""
+WITH rows_ AS (
+  SELECT doc_id,
+         ['web', 'books', 'forums'][1 + coalesce(try_cast(regexp_extract(coalesce(source, ''), '([0-9]+)$', 1) AS BIGINT), 0) % 3] AS domain,
+         coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens
+  FROM documents
+), leaves AS (
+  SELECT domain, lang, source, sum(n_tokens) AS supply FROM rows_ GROUP BY ALL
+), b_root AS (
+  SELECT CAST(least(sum(supply) * 2, floor(sum(supply) * 0.75)) AS DOUBLE) AS budget FROM leaves
+), """
+    + ", ".join(
+        [
+            _mix_level("domain", [], "CASE domain WHEN 'web' THEN 0.5 WHEN 'books' THEN 0.3 WHEN 'forums' THEN 0.2 ELSE 1 END"),
+            _mix_level("lang", ["domain"], "CASE lang WHEN 'en' THEN 0.6 WHEN 'de' THEN 0.2 WHEN 'fr' THEN 0.1 WHEN 'es' THEN 0.1 ELSE 1 END"),
+            _mix_level("source", ["domain", "lang"], "1"),
+        ]
+    )
+    + """, plan AS (
+  SELECT domain, lang, source, supply, CAST(floor(budget + 1e-6) AS BIGINT) AS budget FROM leaves JOIN b_source USING (domain, lang, source)
+), open_ AS (
+  SELECT *, CASE WHEN supply > 0 THEN budget // supply ELSE 0 END AS whole FROM plan
+), drawn AS (
+  SELECT r.*, whole, budget - whole * supply AS rest, supply, md5(concat('17:', whole, ':', doc_id)) AS draw
+  FROM rows_ r JOIN open_ USING (domain, lang, source)
+), summed AS (
+  SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY draw) AS s FROM drawn
+), times AS (
+  SELECT *, whole + CASE WHEN (rest > 0 OR supply = 0) AND s <= rest THEN 1 ELSE 0 END AS n FROM summed
+)
+SELECT doc_id, CAST(unnest(range(CAST(n AS BIGINT))) AS INTEGER) AS epoch, domain, lang, source, n_tokens FROM times
+"""
+)
+
+
+@query
+def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as responses, read, derived, written as derivatives and read again: one row per derived record."""
+    from featherloom.llm import warc
+    from featherloom.session import scratch_path
+
+    responses, derived = scratch_path(spark, "warc-responses"), scratch_path(spark, "warc-derived")
+    warc.write(warc.page_responses(table(spark, sf_dir, "pages")), responses)
+    warc.write(warc.derive(warc.read(spark, responses)), derived)
+    own = F.map_from_arrays("headers.name", "headers.value")
+    return warc.read(spark, derived).select(
+        own["X-Page-Id"].cast("bigint").alias("page_id"),
+        "type",
+        "record_id",
+        "refers_to",
+        "uri",
+        "date",
+        "content_type",
+        own["WARC-Source-Payload-Digest"].alias("source_payload_digest"),
+        own["WARC-Block-Digest"].alias("block_digest"),
+        F.octet_length("block").cast("bigint").alias("block_bytes"),
+    )
