@@ -22,9 +22,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featherloom.llm.words import free_name, let, text_of, words_of
+from featherloom.llm.words import WORD, free_name, let, text_of, words_of
 from featherloom.session import seal
 
+#: Marks a variable field; WORD, imported above, is what a token is.
 VARIABLE = r"[0-9]|@|://"
 WILD = "<*>"
 

@@ -235,3 +235,12 @@ def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
         own["WARC-Block-Digest"].alias("block_digest"),
         F.octet_length("block").cast("bigint").alias("block_bytes"),
     )
+
+
+@query
+def op4_lbl_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of each document under the network and under smoothed word frequencies."""
+    from featherloom.llm import language_id, lm
+
+    docs = table(spark, sf_dir, "documents")
+    return lm.score_documents(docs, language_id.held_out("doc_id", 1))
