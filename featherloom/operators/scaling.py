@@ -18,8 +18,9 @@ EXP_LIMIT = 709.0
 def document_softmax(triples: DataFrame, stable: bool = False) -> DataFrame:
     """value -> e^value / sum of e^value over the words present in the document.
 
-    A document with any value above ``EXP_LIMIT`` becomes empty and disappears.
-    ``stable`` shifts by the document's maximum instead, so none is lost.
+    A document with any value above ``EXP_LIMIT``, or whose sum of exponentials is no longer
+    finite, becomes empty and disappears; :func:`left_out` counts those.  ``stable`` shifts by the
+    document's maximum instead, so none is lost; pipelines use that form.
 
     The denominators are partial aggregates per document, written out and joined
     back with hot documents split; a window over the document would put all its
@@ -38,11 +39,22 @@ def document_softmax(triples: DataFrame, stable: bool = False) -> DataFrame:
             "sums",
         )
         hot = find_hot(sums, "doc")
-        sums = sums.where(F.col("top") <= EXP_LIMIT).select("doc", "denominator")
+        sums = sums.where(_representable()).select("doc", "denominator")
     joined = hot.join(triples, sums, ["col"])
     return joined.select("doc", "col", (F.exp("value") / F.col("denominator")).alias("value"))
 
 
+def _representable():
+    """True for documents (top, denominator) whose exponentials and their sum fit a double."""
+    return (F.col("top") <= EXP_LIMIT) & (F.col("denominator") < F.lit(float("inf")))
+
+
+def left_out(triples: DataFrame) -> DataFrame:
+    """One row (documents, left_out): how many documents the literal softmax can't express."""
+    sums = triples.groupBy("doc").agg(F.sum(F.exp("value")).alias("denominator"), F.max("value").alias("top"))
+    return sums.agg(F.count(F.lit(1)).alias("documents"), F.count_if(~_representable()).alias("left_out"))
+
+
 def column_extent(rows: DataFrame, features: str) -> DataFrame:
     """One row (lo, hi): per-position minimum and maximum as arrays."""
     summary = rows.agg(

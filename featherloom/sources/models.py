@@ -35,12 +35,30 @@ def save_model(spark: SparkSession, path: str, kind: str, matrices: list[np.ndar
     spark.createDataFrame([(json.dumps(about),)], "value STRING").coalesce(1).write.text(f"{path}/about")
 
 
-def load_model(spark: SparkSession, path: str, kind: str) -> tuple[list[np.ndarray], dict]:
-    """Weights and settings; another kind, format or version is refused."""
+def save_table_model(spark: SparkSession, path: str, kind: str, table: DataFrame, settings: dict) -> None:
+    """A model whose weights are a table of any size, and its description."""
+    table.write.parquet(f"{path}/table")
+    about = {"format": FORMAT, "version": VERSION, "kind": kind, "settings": settings}
+    spark.createDataFrame([(json.dumps(about),)], "value STRING").coalesce(1).write.text(f"{path}/about")
+
+
+def load_table_model(spark: SparkSession, path: str, kind: str) -> tuple[DataFrame, dict]:
+    """Weight table and settings; another kind, format or version is refused."""
+    about = _described(spark, path, kind)
+    return spark.read.parquet(f"{path}/table"), about["settings"]
+
+
+def _described(spark: SparkSession, path: str, kind: str) -> dict:
     about = json.loads(spark.read.text(f"{path}/about").first()["value"])
     found = (about.get("format"), about.get("version"), about.get("kind"))
     if found != (FORMAT, VERSION, kind):
         raise ValueError(f"cannot load {found} as {(FORMAT, VERSION, kind)}")
+    return about
+
+
+def load_model(spark: SparkSession, path: str, kind: str) -> tuple[list[np.ndarray], dict]:
+    """Weights and settings; another kind, format or version is refused."""
+    about = _described(spark, path, kind)
     table = spark.read.schema("layer INT, unit INT, w ARRAY<DOUBLE>").parquet(f"{path}/weights")
     size = table.agg(F.sum(F.size("w"))).first()[0] or 0
     check_state_size(size, "the stored model")

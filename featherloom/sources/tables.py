@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-TRIPLE_SCHEMA = "col INT, doc INT, value DOUBLE"
+TRIPLE_SCHEMA = "col BIGINT, doc BIGINT, value DOUBLE"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

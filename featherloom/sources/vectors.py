@@ -89,10 +89,12 @@ def read_spaced(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_tabbed(spark: SparkSession, path: str) -> DataFrame:
-    """Lines ``id y x1 ... xn`` separated by tabs."""
-    numbers = spark.read.text(path).select(_numbers(F.col("value"), "\t").alias("n"))
+    """Lines ``id y x1 ... xn`` separated by tabs; the id is read as an integer, never through a double."""
+    numbers = spark.read.text(path).select(
+        F.trim(F.get(F.split(F.trim("value"), "\t"), F.lit(0))).cast("bigint").alias("id"), _numbers(F.col("value"), "\t").alias("n")
+    )
     return numbers.select(
-        F.element_at("n", 1).cast("bigint").alias("id"),
+        "id",
         F.element_at("n", 2).alias("label"),
         F.slice("n", F.lit(3), F.size("n") - 2).alias("features"),
     )
@@ -140,7 +142,9 @@ def _parse_vector(text: Column) -> Column:
         ),
         1,
     )
-    return F.when(F.trim(text).startswith("["), dense).otherwise(sparse)
+    # sequence(0, -1) would count down: a vector without slots has none.
+    empty = F.array().cast("array<double>")
+    return F.when(F.trim(text).startswith("["), dense).when(size == 0, empty).otherwise(sparse)
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:

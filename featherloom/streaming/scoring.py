@@ -10,17 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from featherloom.session import scratch_path
-
 
 def vector_stream(spark: SparkSession, path: str, schema: StructType | str, files_per_trigger: int = 16) -> DataFrame:
     """New Parquet files of a folder as a stream."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def score_to_files(stream: DataFrame, score, output: str) -> StreamingQuery:
-    """Apply ``score`` (rows -> rows) and append the result as Parquet, exactly once."""
-    progress = scratch_path(stream.sparkSession, "progress")
+def score_to_files(stream: DataFrame, score, output: str, progress: str) -> StreamingQuery:
+    """Apply ``score`` (rows -> rows) and append the result as Parquet, exactly once.
+
+    ``progress`` is the checkpoint folder that belongs to ``output``: a later run with both goes on where this one
+    stopped.  With another folder the sink would take its first batches for ones it has written and leave them out.
+    """
     return (
         score(stream)
         .writeStream.format("parquet")

@@ -72,11 +72,17 @@ def test_streaming_scores_equal_batch_scores(spark):
 
     stream = scoring.vector_stream(spark, source, rows.schema, files_per_trigger=2)
     assert stream.isStreaming
-    scoring.score_to_files(stream, score, target).awaitTermination()
+    progress = scratch_path(spark, "progress")
+    scoring.score_to_files(stream, score, target, progress).awaitTermination()
     streamed = {r["id"]: (r["network"][0], r["predicted"]) for r in spark.read.parquet(target).collect()}
     batch = {r["id"]: (r["network"][0], r["predicted"]) for r in score(rows).collect()}
     assert streamed.keys() == batch.keys()
     assert all(streamed[k] == pytest.approx(batch[k]) for k in batch)
+    # A second run with the same folder writes what has come since, and nothing twice.
+    rows.limit(3).withColumn("id", F.col("id") + 1000).write.mode("append").parquet(source)
+    scoring.score_to_files(scoring.vector_stream(spark, source, rows.schema), score, target, progress).awaitTermination()
+    again = [r["id"] for r in spark.read.parquet(target).collect()]
+    assert len(again) == len(set(again)) == 43
 
 
 def word_documents(spark):

@@ -72,6 +72,15 @@ def test_softmax_drops_documents_that_overflow(spark):
     assert len(stable) == 5
 
 
+def test_softmax_counts_documents_it_cannot_express(spark):
+    # Each value is in range, the sum of three is not.
+    rows = triples(spark, [(1, 1, 1.0), (2, 1, 710.0), (3, 1, 709.0), (3, 2, 709.0), (3, 3, 709.0)])
+    assert {r["doc"] for r in scaling.document_softmax(rows).collect()} == {1}
+    assert tuple(scaling.left_out(rows).first()) == (3, 2)
+    stable = {(r["doc"], r["col"]): r["value"] for r in scaling.document_softmax(rows, stable=True).collect()}
+    assert stable[(3, 1)] == pytest.approx(1 / 3)
+
+
 def test_grouped_documents_are_bounded_sorted_and_complete(spark):
     data = [(d, c, float(d * c)) for d in (1, 2) for c in range(25, 0, -1)] + [(1, 7, 100.0)]
     parts = documents.group_documents(triples(spark, data), part_width=10)

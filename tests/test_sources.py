@@ -4,7 +4,7 @@ import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from featherloom.session import release, scratch_path, seal, sealed, shared_dir, spread_out
+from featherloom.session import release, scratch_path, seal, sealed, shared_dir
 from featherloom.sources import matrices, samples, tables, vectors
 
 
@@ -104,6 +104,26 @@ def test_matrix_files(spark):
         matrices.read_matrix(spark, path, 1, 1).collect()
 
 
+def test_matrix_values_keep_their_type(spark):
+    path = scratch_path(spark, "m")
+    big = 2**40
+    matrices.write_matrix(spark.createDataFrame([(0, big, 0.5), (1, 1, 2.7), (2, 2, 0.0)], "i BIGINT, j BIGINT, v DOUBLE"), path)
+    assert sorted(map(tuple, matrices.read_matrix(spark, path).collect())) == [(0, big, 0.5), (1, 1, 2.7)]
+
+
+def test_ids_beyond_double_precision(spark, tmp_path):
+    tabbed = vectors.read_tabbed(spark, write(tmp_path, "big.txt", "9007199254740993\t1\t2\n"))
+    assert tabbed.first()["id"] == 9007199254740993
+    triples = tables.read_triples(spark, write(tmp_path, "t.csv", "4294967296,8589934592,1.5\n"))
+    assert tuple(triples.first()) == (8589934592, 4294967296, 1.5)
+
+
+def test_vectors_without_slots(spark, tmp_path):
+    text = "(0,[],[])\n[]\n(2,[1],[3.0])\n"
+    found = [r["features"] for r in vectors.read_vectors(spark, write(tmp_path, "z.txt", text)).collect()]
+    assert found == [[], [], [0.0, 3.0]]
+
+
 def test_random_samples_are_reproducible(spark):
     a = samples.random_samples(spark, 50, 3, -2.0, 2.0, "rastrigin", seed=1, partitions=2)
     b = samples.random_samples(spark, 50, 3, -2.0, 2.0, "rastrigin", seed=1, partitions=5)
@@ -145,10 +165,3 @@ def test_released_tables_are_deleted_and_others_left_alone(spark):
     release(table)
     with pytest.raises(Exception):
         spark.read.parquet(path)
-
-
-def test_small_inputs_are_spread_and_large_ones_are_not(spark):
-    cores = spark.sparkContext.defaultParallelism
-    assert spread_out(spark.range(100).coalesce(1), "id").rdd.getNumPartitions() == cores
-    big = spark.range(10**12)
-    assert spread_out(big, "id") is big
