@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from featherloom.catalog.registry import CELLS, draw_sql, query, r6, vectors
 from featherloom.functions import seeded
 from featherloom.operators import masks
-from featherloom.plans import denoise
+from featherloom.plans import blocks, denoise
 from featherloom.plans.settings import DenoiseSettings
 
 HIDDEN, SEED = 3, 29
@@ -82,24 +82,45 @@ def dae_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fixed_head() -> denoise.SoftmaxHead:
+    c, p = np.arange(10)[:, None], np.arange(64)[None, :]
+    return denoise.SoftmaxHead(((c * 17 + p * 31) % 101 - 50) / 500.0, ((np.arange(10) * 11) % 7 - 3) / 10.0)
+
+
+HEAD_W = "((c * 17 + pos * 31) % 101 - 50) / CAST(500 AS DOUBLE)"
+HEAD_B = "((c * 11) % 7 - 3) / CAST(10 AS DOUBLE)"
+SCORED = f"""
+WITH {CELLS}, x AS MATERIALIZED (SELECT id, pos, CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS x FROM cells),
+classes AS (SELECT unnest(range(10)) AS c),
+raised AS MATERIALIZED (SELECT id, c, exp(sum(x * {HEAD_W}) + any_value({HEAD_B})) AS e FROM x, classes GROUP BY id, c),
+p AS MATERIALIZED (SELECT id, c, e / sum(e) OVER (PARTITION BY id) AS p FROM raised),
+gap AS MATERIALIZED (
+  SELECT p.id, p.c, CASE WHEN m.label = p.c THEN 1.0 ELSE 0.0 END::DOUBLE - p.p AS g FROM p JOIN embeddings m ON m.vec_id = p.id
+)"""
+
+
 @query(
-    f"""
-WITH {CELLS}, x AS (SELECT id, pos, CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS x FROM cells),
-classes AS (SELECT unnest(range(10)) AS c), gap AS (
-  SELECT vec_id AS id, c, CASE WHEN label = c THEN 1.0 ELSE 0.0 END::DOUBLE - CAST(0.1 AS DOUBLE) AS g FROM embeddings, classes
-)
-SELECT g.c AS unit, x.pos AS slot, round(0.1 * sum(g.g * x.x) / (SELECT count(*) FROM embeddings), 6) + 0.0 AS w
-FROM gap g JOIN x ON x.id = g.id GROUP BY g.c, x.pos"""
+    SCORED
+    + f""", n AS (SELECT count(*) AS n FROM embeddings)
+SELECT 'w' AS name, c AS unit, pos AS slot, round({HEAD_W} + 0.1 * s / n.n, 6) + 0.0 AS value
+FROM (SELECT g.c, x.pos, sum(g.g * x.x) AS s FROM gap g JOIN x ON x.id = g.id GROUP BY g.c, x.pos), n
+UNION ALL SELECT 'b', 0, c, round({HEAD_B} + 0.1 * s / n.n, 6) + 0.0 FROM (SELECT c, sum(g) AS s FROM gap GROUP BY c), n"""
 )
 def softmax_regression_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One step from zero weights, where every class has probability 0.1."""
-    head = denoise.SoftmaxHead.zero(64, 10)
-    sums = denoise.softmax_sums(one_hot(spark, sf_dir), head)
-    count = sums.where("name = 'n'").select(F.element_at("w", 1)).scalar()
-    cells = sums.where("name = 'w'").select("unit", F.posexplode("w").alias("slot", "g"))
-    return cells.select(
-        F.col("unit").cast("bigint").alias("unit"), F.col("slot").cast("bigint").alias("slot"), r6(0.1 * F.col("g") / count).alias("w")
-    )
+    """Weights and biases after one step."""
+    head = fixed_head()
+    moved = denoise.moved_head(head, blocks.collect_sums(denoise.softmax_sums(one_hot(spark, sf_dir), head)), 0.1)
+    rows = [("w", c, w.tolist()) for c, w in enumerate(moved.w)] + [("b", 0, moved.b.tolist())]
+    cells = spark.createDataFrame(rows, "name string, unit long, w array<double>")
+    cells = cells.select("name", "unit", F.posexplode("w").alias("slot", "value"))
+    return cells.select("name", "unit", F.col("slot").cast("bigint").alias("slot"), r6("value").alias("value"))
+
+
+@query(SCORED + "SELECT id, c AS pos, round(p, 6) + 0.0 AS value FROM p")
+def softmax_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = denoise.softmax_predict(bits(spark, sf_dir), fixed_head())
+    cells = found.select("id", F.posexplode("probabilities").alias("pos", "value"))
+    return cells.select("id", F.col("pos").cast("bigint").alias("pos"), r6("value").alias("value"))
 
 
 def one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:

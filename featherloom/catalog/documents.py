@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featherloom.catalog.registry import SOFTMAXED, TERMS, query, r6, table
+from featherloom.catalog.registry import LITERALLY_SOFTMAXED, TERMS, query, r6, table
 from featherloom.operators import documents, joins, metrics, pairs, scaling
 from featherloom.session import scratch_path, seal
 from featherloom.sources import tables
@@ -87,11 +87,21 @@ def row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {SOFTMAXED} SELECT doc, col, round(value, 6) + 0.0 AS value FROM soft")
+@query(f"WITH {LITERALLY_SOFTMAXED} SELECT doc, col, round(value, 6) + 0.0 AS value FROM soft")
 def doc_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scaling.document_softmax(seal(terms(spark, sf_dir), "terms")).withColumn("value", r6("value"))
 
 
+@query(
+    f"""
+WITH {TERMS}, per_doc AS (SELECT doc, max(value) AS top FROM terms GROUP BY doc)
+SELECT count(*) AS documents, count(*) FILTER (WHERE top > 709) AS left_out FROM per_doc"""
+)
+def doc_softmax_left_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that the literal softmax leaves out."""
+    return scaling.left_out(terms(spark, sf_dir))
+
+
 @query(
     f"""
 WITH {TERMS}, tops AS (SELECT doc, max(value) AS top FROM terms GROUP BY doc),
@@ -140,15 +150,10 @@ WITH cells AS (
 SELECT doc, col - 1 AS slot, value FROM cells"""
 )
 def sparse_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as ml sparse vectors, read back slot by slot."""
-    from pyspark.ml.functions import vector_to_array
-
+    """Documents as ml sparse vectors, part by part, read back from the indices they store."""
     triples = order_triples(spark, sf_dir)
     size = triples.agg(F.max("col")).first()[0]
-    parts = documents.group_documents(triples, part_width=size + 1)
-    vectors = documents.sparse_vectors(parts, size)
-    cells = vectors.select("doc", F.posexplode(vector_to_array("features")).alias("slot", "value"))
-    return cells.where("value <> 0").select("doc", F.col("slot").cast("bigint").alias("slot"), "value")
+    return documents.stored_cells(documents.sparse_vectors(documents.group_documents(triples), size))
 
 
 @query(

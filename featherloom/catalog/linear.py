@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featherloom.catalog.registry import CELLS, SOFTMAXED, TERMS, query, r6, table, vectors
+from featherloom.catalog.registry import CELLS, SOFTMAXED, TERMS, draw_sql, query, r6, table, vectors
 from featherloom.functions import seeded
 from featherloom.operators import documents, metrics, scaling, splits
 from featherloom.plans import classifiers, experiments, sparse_ae, svm
@@ -88,14 +88,14 @@ def _unrolled(steps: int) -> str:
     """Sub-queries for ``steps`` hinge steps over word counts of labelled documents, step 1, reg 0.01."""
     text = f"""
 WITH {TERMS}, labelled AS (SELECT doc_id AS doc, 2.0 * quality - 1 AS s FROM labels),
-kept AS (SELECT t.* FROM terms t JOIN labelled l ON t.doc = l.doc),
-w0 AS (SELECT DISTINCT col, CAST(0 AS DOUBLE) AS w FROM kept)"""
+kept AS MATERIALIZED (SELECT t.* FROM terms t JOIN labelled l ON t.doc = l.doc),
+w0 AS MATERIALIZED (SELECT DISTINCT col, CAST(0 AS DOUBLE) AS w FROM kept)"""
     for t in range(1, steps + 1):
         text += f""",
-m{t} AS (SELECT k.doc, sum(k.value * w.w) AS m FROM kept k JOIN w{t - 1} w ON k.col = w.col GROUP BY k.doc),
-p{t} AS (SELECT m.doc, CASE WHEN l.s * m.m < 1 THEN -l.s ELSE 0 END AS pull FROM m{t} m JOIN labelled l ON l.doc = m.doc),
-g{t} AS (SELECT k.col, sum(p.pull * k.value) / (SELECT count(*) FROM p{t}) AS g FROM kept k JOIN p{t} p ON p.doc = k.doc GROUP BY k.col),
-w{t} AS (SELECT w.col, w.w * (1 - 0.01 / sqrt({t})) - g.g / sqrt({t}) AS w FROM w{t - 1} w JOIN g{t} g ON g.col = w.col)"""
+m{t} AS MATERIALIZED (SELECT k.doc, sum(k.value * w.w) AS m FROM kept k JOIN w{t - 1} w ON k.col = w.col GROUP BY k.doc),
+p{t} AS MATERIALIZED (SELECT m.doc, CASE WHEN l.s * m.m < 1 THEN -l.s ELSE 0 END AS pull FROM m{t} m JOIN labelled l ON l.doc = m.doc),
+g{t} AS MATERIALIZED (SELECT k.col, sum(p.pull * k.value) / (SELECT count(*) FROM p{t}) AS g FROM kept k JOIN p{t} p ON p.doc = k.doc GROUP BY k.col),
+w{t} AS MATERIALIZED (SELECT w.col, w.w * (1 - 0.01 / sqrt({t})) - g.g / sqrt({t}) AS w FROM w{t - 1} w JOIN g{t} g ON g.col = w.col)"""
     return text + f"\nSELECT col, round(w, 6) + 0.0 AS w FROM w{steps}"
 
 
@@ -153,24 +153,66 @@ def words_score_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents -> word counts -> softmax -> labels -> fixed linear score -> accuracy."""
     labels = quality(spark, sf_dir)
     kept = labelled_terms(spark, sf_dir)
-    triples = seal(scaling.document_softmax(kept), "words")
+    triples = seal(scaling.document_softmax(kept, stable=True), "words")
     key = F.length("col") * 31 + F.ascii("col")
     weights = seal(triples.select("col").distinct().select("col", ((key * 17 % 101 - 40) / 500.0).alias("w")), "weights")
     found = metrics.error_rate(svm.predict_sparse(triples, weights).join(labels, "doc"))
     return found.select(r6("error_rate").alias("error_rate"), r6("accuracy").alias("accuracy"), "rows")
 
 
-@query()
+WORD_STEPS, WORD_SEED = 4, 43
+
+
+def _accuracy_sql(words: str, source: str) -> str:
+    """Hinge steps (step 1, reg 0.01) on nine tenths of the labelled documents, errors on the rest."""
+    drawn = draw_sql("doc_id", "0", WORD_SEED)
+    text = f"""
+WITH {words}, labelled AS MATERIALIZED (SELECT doc_id AS doc, quality, 2.0 * quality - 1 AS s, {drawn} < 0.9 AS train FROM labels),
+kept AS MATERIALIZED (SELECT t.*, l.s FROM {source} t JOIN labelled l ON t.doc = l.doc AND l.train),
+w0 AS MATERIALIZED (SELECT DISTINCT col, CAST(0 AS DOUBLE) AS w FROM kept)"""
+    for t in range(1, WORD_STEPS + 1):
+        text += f""",
+p{t} AS MATERIALIZED (
+  SELECT k.doc, CASE WHEN any_value(k.s) * sum(k.value * w.w) < 1 THEN -any_value(k.s) ELSE 0 END AS pull
+  FROM kept k JOIN w{t - 1} w ON k.col = w.col GROUP BY k.doc
+),
+g{t} AS MATERIALIZED (
+  SELECT k.col, sum(p.pull * k.value) / (SELECT count(*) FROM p{t}) AS g FROM kept k JOIN p{t} p ON p.doc = k.doc GROUP BY k.col
+),
+w{t} AS MATERIALIZED (
+  SELECT w.col, w.w * (1 - 0.01 / sqrt({t})) - g.g / sqrt({t}) AS w FROM w{t - 1} w JOIN g{t} g ON g.col = w.col
+)"""
+    return (
+        text
+        + f""", scored AS (
+  SELECT l.doc, any_value(l.quality) AS label, coalesce(sum(t.value * w.w), 0) AS margin
+  FROM labelled l LEFT JOIN {source} t ON t.doc = l.doc LEFT JOIN w{WORD_STEPS} w ON w.col = t.col
+  WHERE NOT l.train GROUP BY l.doc
+)
+SELECT round(avg(CAST((label = 1) <> (margin > 0) AS INTEGER)), 6) + 0.0 AS error_rate,
+       round(1 - avg(CAST((label = 1) <> (margin > 0) AS INTEGER)), 6) + 0.0 AS accuracy, count(*) AS rows FROM scored"""
+    )
+
+
+def _words_accuracy(spark: SparkSession, sf_dir: str, softmaxed: bool) -> DataFrame:
+    found = experiments.words_accuracy(
+        labelled_terms(spark, sf_dir),
+        quality(spark, sf_dir),
+        SvmSettings(iterations=WORD_STEPS, tolerance=0.0),
+        softmaxed=softmaxed,
+        draw=seeded.modular(WORD_SEED),
+    )
+    return found.select(r6("error_rate").alias("error_rate"), r6("accuracy").alias("accuracy"), "rows")
+
+
+@query(_accuracy_sql(SOFTMAXED, "soft"))
 def words_svm_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = experiments.words_accuracy(labelled_terms(spark, sf_dir), quality(spark, sf_dir), SvmSettings(iterations=4))
-    return found
+    return _words_accuracy(spark, sf_dir, True)
 
 
-@query()
+@query(_accuracy_sql(TERMS, "terms"))
 def raw_words_svm_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return experiments.words_accuracy(
-        labelled_terms(spark, sf_dir), quality(spark, sf_dir), SvmSettings(iterations=4), softmaxed=False
-    )
+    return _words_accuracy(spark, sf_dir, False)
 
 
 @query()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from featherloom.catalog.registry import CELLS, query, r6, vectors
 from featherloom.operators import metrics
-from featherloom.plans import feedforward
+from featherloom.plans import blocks, feedforward
 from featherloom.plans.estimator import Autoencoder
 from featherloom.plans.settings import NetworkSettings
 from featherloom.sources.models import weight_table
@@ -131,11 +131,12 @@ FROM gradients"""
 def nn_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights after one step with an L2 penalty."""
     weights = rational_weights(SIZES)
-    gradients = feedforward.gradient_table(training_rows(spark, sf_dir), weights, SETTINGS)
-    old = ((F.col("layer") * 7 + F.col("unit") * 17 + F.col("slot") * 31) % 101 - 50) / 500.0
-    penalty = F.when(F.col("slot") == 0, 0.0).otherwise(SETTINGS.l2 * old)
-    moved = gradients.withColumn("w", r6(old - SETTINGS.learning_rate * (F.col("gradient") + penalty)))
-    return _wide_keys(moved).select("layer", "unit", "slot", "w")
+    sums = blocks.collect_sums(feedforward.step_sums(training_rows(spark, sf_dir), weights, SETTINGS))
+    gradients = [sums[f"w{k}"] / sums["loss"][0][1] for k in range(len(weights))]
+    rate = SETTINGS.learning_rate
+    moved, _ = feedforward.apply_gradients(weights, feedforward.zero_like(weights), gradients, rate, SETTINGS)
+    cells = weight_table(spark, moved).select("layer", "unit", F.posexplode("w").alias("slot", "w"))
+    return _wide_keys(cells).select("layer", "unit", "slot", r6("w").alias("w"))
 
 
 def _history(spark: SparkSession, model: feedforward.TrainedNetwork, scored: DataFrame) -> DataFrame:

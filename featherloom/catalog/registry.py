@@ -76,16 +76,30 @@ cells AS (
 TERMS = """
 words AS (
   SELECT doc_id AS doc, unnest(string_split_regex(text, '[ \\t\\n\\r]+')) AS col FROM documents
-), terms AS (
+), terms AS MATERIALIZED (
   SELECT doc, col, CAST(count(*) AS DOUBLE) AS value FROM words WHERE col <> '' GROUP BY doc, col
 )"""
 
-#: Softmaxed word counts (doc, col, value).
+#: Softmaxed word counts (doc, col, value), shifted by each document's largest count.
 SOFTMAXED = (
+    TERMS
+    + """, tops AS MATERIALIZED (
+  SELECT doc, max(value) AS top FROM terms GROUP BY doc
+), raised AS MATERIALIZED (
+  SELECT t.doc, t.col, exp(t.value - m.top) AS e FROM terms t JOIN tops m ON t.doc = m.doc
+), sums AS MATERIALIZED (
+  SELECT doc, sum(e) AS denominator FROM raised GROUP BY doc
+), soft AS MATERIALIZED (
+  SELECT t.doc, t.col, t.e / s.denominator AS value FROM raised t JOIN sums s ON t.doc = s.doc
+)"""
+)
+
+#: The same by the literal formula; documents beyond its range are left out.
+LITERALLY_SOFTMAXED = (
     TERMS
     + """, sums AS (
-  SELECT doc, sum(exp(value)) AS denominator, max(value) AS top FROM terms
-  WHERE doc IN (SELECT doc FROM terms GROUP BY doc HAVING max(value) <= 709) GROUP BY doc
+  SELECT doc, sum(exp(value)) AS denominator FROM terms
+  WHERE doc IN (SELECT doc FROM terms GROUP BY doc HAVING max(value) <= 709) GROUP BY doc HAVING isfinite(sum(exp(value)))
 ), soft AS (
   SELECT t.doc, t.col, exp(t.value) / s.denominator AS value
   FROM terms t JOIN sums s ON t.doc = s.doc

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featherloom.catalog.registry import draw_sql, query, r6, table, vectors
+from featherloom.catalog.registry import CELLS, draw_sql, query, r6, table, vectors
 from featherloom.functions import seeded
 from featherloom.operators import metrics, order, splits
 from featherloom.plans import experiments, svm
+from featherloom.plans.settings import SvmSettings
 
 SPLIT_SEED, BATCH_SEED, FOLD_SEED, SHUFFLE_SEED = 43, 61, 67, 73
 
@@ -39,6 +40,22 @@ def mini_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("batch", splits.batch_column("id", 8, seeded.modular(BATCH_SEED)))
 
 
+@query(
+    " UNION ALL ".join(
+        f"SELECT vec_id AS id, {e} AS epoch, CAST(floor({u('vec_id', BATCH_SEED + e)} * 8) AS INTEGER) AS batch FROM embeddings"
+        for e in (0, 1)
+    )
+)
+def mini_batch_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of two epochs: every row has a new one in each."""
+    rows = vectors(spark, sf_dir).select("id")
+    epochs = [
+        rows.select("id", F.lit(e).alias("epoch"), splits.batch_column("id", 8, seeded.modular(BATCH_SEED + e)).alias("batch"))
+        for e in (0, 1)
+    ]
+    return epochs[0].unionByName(epochs[1])
+
+
 @query(
     f"""
 WITH f AS (SELECT vec_id AS id, label, CAST(floor({u('vec_id', FOLD_SEED)} * 5) AS INTEGER) AS fold FROM embeddings),
@@ -49,19 +66,11 @@ SELECT CAST(k.k AS INTEGER) AS fold, count(*) FILTER (WHERE f.fold <> k.k) AS tr
 FROM f, k GROUP BY k.k"""
 )
 def k_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = vectors(spark, sf_dir).select("id", "label")
-    n = F.count(F.lit(1))
-    parts = []
-    for fold, (train, valid) in enumerate(splits.k_fold(rows, "id", 5, seeded.modular(FOLD_SEED))):
-        sizes = train.agg(n.alias("train_rows"))
-        held = valid.agg(n.alias("valid_rows"), F.sum("label").alias("valid_labels"))
-        parts.append(
-            held.select(F.lit(fold).alias("fold"), sizes.scalar().alias("train_rows"), "valid_rows", "valid_labels")
-        )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """Sizes of the training and validation part of every fold; a fold trains on what the others validate."""
+    rows = vectors(spark, sf_dir).select(splits.fold_column("id", 5, seeded.modular(FOLD_SEED)).alias("fold"), "label")
+    sizes = rows.groupBy("fold").agg(F.count(F.lit(1)).alias("valid_rows"), F.sum("label").alias("valid_labels"))
+    whole = sizes.select(F.sum("valid_rows")).scalar()
+    return sizes.select("fold", (whole - F.col("valid_rows")).alias("train_rows"), "valid_rows", "valid_labels")
 
 
 @query(
@@ -92,36 +101,53 @@ def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.select("id", "actual", r6("predicted").alias("predicted"), r6("difference").alias("difference"))
 
 
+SWEEP_STEPS = 3
+
+
 def _sweep_sql() -> str:
-    """Error of a fixed linear score on the held-out rows of every share."""
+    """For every share a hinge SVM of a few steps from zero (step 1, reg 0.01) and its error on the other rows."""
+    text = f"""
+WITH {CELLS}, marked AS MATERIALIZED (
+  SELECT vec_id AS id, CASE WHEN label > 4 THEN 1.0 ELSE -1.0 END AS s FROM embeddings
+)"""
     branches = []
     for k, share in enumerate((0.5, 0.6, 0.7, 0.8, 0.9)):
+        drawn = u("id", 9 * k + 43)
+        text += f""",
+r{k} AS MATERIALIZED (SELECT id, s FROM marked WHERE {drawn} < {share}),
+w{k}_0 AS (SELECT DISTINCT pos, CAST(0 AS DOUBLE) AS w FROM cells)"""
+        for t in range(1, SWEEP_STEPS + 1):
+            text += f""",
+m{k}_{t} AS MATERIALIZED (
+  SELECT c.id, any_value(r.s) AS s, sum(c.x * w.w) AS m
+  FROM cells c JOIN r{k} r ON r.id = c.id JOIN w{k}_{t - 1} w ON w.pos = c.pos GROUP BY c.id
+),
+g{k}_{t} AS MATERIALIZED (
+  SELECT c.pos, sum(CASE WHEN m.s * m.m < 1 THEN -m.s ELSE 0 END * c.x) / (SELECT count(*) FROM m{k}_{t}) AS g
+  FROM cells c JOIN m{k}_{t} m ON m.id = c.id GROUP BY c.pos
+),
+w{k}_{t} AS MATERIALIZED (
+  SELECT w.pos, w.w * (1 - 0.01 / sqrt({t})) - g.g / sqrt({t}) AS w FROM w{k}_{t - 1} w JOIN g{k}_{t} g ON g.pos = w.pos
+)"""
         branches.append(
             f"""
-SELECT CAST({share} AS DOUBLE) AS train_share, count(*) AS rows, round(avg(CAST(label <> predicted AS INTEGER)), 6) + 0.0 AS error_rate
-FROM scored WHERE {u('id', 9 * (k + 1) + 43)} >= {share}"""
+SELECT CAST({share} AS DOUBLE) AS train_share, count(*) AS rows,
+       round(avg(CAST((s > 0) <> (margin > 0) AS INTEGER)), 6) + 0.0 AS error_rate
+FROM (SELECT c.id, any_value(m.s) AS s, sum(c.x * w.w) AS margin
+      FROM cells c JOIN marked m ON m.id = c.id JOIN w{k}_{SWEEP_STEPS} w ON w.pos = c.pos GROUP BY c.id)
+WHERE {drawn} >= {share}"""
         )
-    return (
-        """
-WITH scored AS (
-  SELECT vec_id AS id, CASE WHEN label > 4 THEN 1.0 ELSE 0.0 END AS label,
-         CASE WHEN list_sum(embedding::DOUBLE[]) > 0 THEN 1.0 ELSE 0.0 END AS predicted
-  FROM embeddings
-)"""
-        + " UNION ALL ".join(branches)
-    )
+    return text + " UNION ALL ".join(branches)
 
 
 @query(_sweep_sql())
 def ratio_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Split shares 0.5 to 0.9; the classifier is a fixed weight vector."""
-    import numpy as np
-
+    """Split shares 0.5 to 0.9; an SVM is trained on each training part and measured on the rest."""
     rows = vectors(spark, sf_dir).select("id", (F.col("label") > 4).cast("double").alias("label"), "features")
-    model = svm.SvmModel(np.ones(64))
     shares = [0.5, 0.6, 0.7, 0.8, 0.9]
-    draws = [seeded.modular(9 * (k + 1) + 43) for k in range(5)]
+    draws = [seeded.modular(9 * k + 43) for k in range(5)]
+    settings = SvmSettings(iterations=SWEEP_STEPS, tolerance=0.0)
     found = experiments.ratio_sweep(
-        rows, "id", shares, draws, lambda train, test: metrics.error_rate(model.predict(test))
+        rows, "id", shares, draws, lambda train, test: metrics.error_rate(svm.train(train, settings).predict(test))
     )
     return found.select("train_share", "rows", r6("error_rate").alias("error_rate"))

@@ -94,9 +94,14 @@ def feature_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.feature_count(rows).select(F.col("features").cast("bigint").alias("features"))
 
 
-@query(f"WITH {MASKED_CELLS} SELECT id, true AS ascending FROM masked GROUP BY id")
+@query(
+    f"""WITH {MASKED_CELLS} SELECT id, CASE WHEN id % 3 = 0 THEN count(*) FILTER (WHERE x <> 0) < 2 ELSE true END AS ascending
+FROM masked GROUP BY id"""
+)
 def index_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indices of every third row are turned round first."""
     indices = F.transform(V.to_entries("features"), lambda e: e["idx"])
+    indices = F.when(F.col("id") % 3 == 0, F.reverse(indices)).otherwise(indices)
     return masked(spark, sf_dir).select("id", V.is_strictly_ascending(indices).alias("ascending"))
 
 
@@ -192,13 +197,23 @@ def bernoulli_hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.select("id", "unit", r6("p").alias("probability"), seeded.bernoulli(draw, "id", "unit", "p").alias("sample"))
 
 
-@query("SELECT 'real' AS kind, 'binary' AS kind_of_bits FROM (SELECT count(*) FROM embeddings)")
+KIND = "CASE WHEN bool_and({x} IN (0, 1)) THEN 'binary' WHEN min({x}) >= 0 AND max({x}) <= 1 THEN 'real01' ELSE 'real' END"
+
+
+@query(
+    f"""WITH {CELLS} SELECT {KIND.format(x='x')} AS kind,
+  {KIND.format(x='CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END')} AS kind_of_bits,
+  {KIND.format(x='least(abs(x), 1.0)')} AS kind_of_shares FROM cells"""
+)
 def input_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = vectors(spark, sf_dir).withColumn("bits", F.transform("features", lambda x: (x > 0).cast("double")))
-    both = metrics.input_kind(rows, "features").withColumn(
-        "kind_of_bits", metrics.input_kind(rows, "bits").scalar()
+    """Kind of the vectors, of their signs and of their sizes cut at 1."""
+    rows = vectors(spark, sf_dir).select(
+        "features",
+        F.transform("features", lambda x: (x > 0).cast("double")).alias("bits"),
+        F.transform("features", lambda x: F.least(F.abs(x), F.lit(1.0))).alias("shares"),
     )
-    return both
+    kinds = {name: metrics.input_kind(rows, column) for name, column in (("kind_of_bits", "bits"), ("kind_of_shares", "shares"))}
+    return metrics.input_kind(rows, "features").withColumns({name: kind.scalar() for name, kind in kinds.items()})
 
 
 @query(

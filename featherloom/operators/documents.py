@@ -8,8 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from featherloom.session import spread_out
-
 # Separators of the text formats.
 TAB = "\t"
 WHITESPACE = "[ \\t\\n\\r]+"
@@ -25,7 +23,7 @@ def tokens(lines: DataFrame, text: str = "value", separator: str = TAB, keep: li
 
 def word_count(lines: DataFrame, text: str = "value", separator: str = TAB) -> DataFrame:
     """(word, n) over all lines; partial counts are combined before the shuffle."""
-    return tokens(spread_out(lines.select(text), text), text, separator).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return tokens(lines, text, separator).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def term_triples(
@@ -35,8 +33,7 @@ def term_triples(
 
     The word itself is the column key, so no vocabulary has to be numbered.
     """
-    source = spread_out(documents.select(doc, text), doc)
-    words = tokens(source, text, separator, keep=[F.col(doc).alias("doc")])
+    words = tokens(documents, text, separator, keep=[F.col(doc).alias("doc")])
     return (
         words.where(F.col("word") != "")
         .groupBy("doc", F.col("word").alias("col"))
@@ -130,3 +127,20 @@ def sparse_vectors(parts: DataFrame, size: int, base: int = 1, keep_slot0: bool
             )
 
     return parts.select("doc", "part", "words").mapInArrow(convert, schema)
+
+
+def stored_cells(vectors: DataFrame) -> DataFrame:
+    """(doc, slot, value) of sparse vectors, from the indices they store; nothing is made dense."""
+
+    def cells(batches):
+        for batch in batches:
+            vector = batch.column(1)
+            indices, values = vector.field("indices"), vector.field("values")
+            owner = pa.array(indices.value_lengths().to_numpy())
+            rows = pa.array([k for k, n in enumerate(owner.to_pylist()) for _ in range(n)], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(rows), indices.flatten().cast(pa.int64()), values.flatten()], names=["doc", "slot", "value"]
+            )
+
+    kind = vectors.schema["doc"].dataType.simpleString()
+    return vectors.select("doc", "features").mapInArrow(cells, f"doc {kind}, slot long, value double")

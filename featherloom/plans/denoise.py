@@ -9,13 +9,14 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from featherloom.plans import blocks
 from featherloom.plans.settings import DenoiseSettings
-from featherloom.session import check_state_size
+from featherloom.session import check_state_size, sealed
+from featherloom.sources.models import load_model, save_model
 
 
 @dataclass
@@ -111,6 +112,8 @@ def train_layer(
     rows: DataFrame, settings: DenoiseSettings, below: list[TiedLayer] | None = None
 ) -> tuple[TiedLayer, list[float]]:
     """One layer on the samples of the layers below; returns it with the error per epoch."""
+    # Every epoch reads the rows again: written once, none runs the caller's plan again.
+    rows = sealed(rows, "denoise-rows")
     visible = len(below[-1].hidden_bias) if below else _width(rows)
     layer = TiedLayer.initial(visible, settings.hidden, settings.seed)
     errors = []
@@ -189,6 +192,7 @@ def moved_head(head: SoftmaxHead, sums: dict[str, np.ndarray], rate: float) -> S
 def train_head(
     rows: DataFrame, width: int, classes: int, rate: float, epochs: int, seed: int = 0, below: list[TiedLayer] | None = None
 ) -> SoftmaxHead:
+    rows = sealed(rows, "head-rows")
     head = SoftmaxHead.zero(width, classes)
     for epoch in range(epochs):
         head = moved_head(head, blocks.collect_sums(softmax_sums(rows, head, seed + epoch, below)), rate)
@@ -215,6 +219,16 @@ class StackedModel:
 
         return _project(rows, self, compute, a="probabilities")
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        parts = [m for x in self.layers for m in (x.w, x.hidden_bias[None, :], x.visible_bias[None, :])]
+        save_model(spark, path, "stacked", [*parts, self.head.w, self.head.b[None, :]], {"layers": len(self.layers)})
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> StackedModel:
+        parts, about = load_model(spark, path, "stacked")
+        layers = [TiedLayer(parts[3 * k], parts[3 * k + 1][0], parts[3 * k + 2][0]) for k in range(about["layers"])]
+        return cls(layers, SoftmaxHead(parts[-2], parts[-1][0]))
+
 
 def train_stack(
     rows: DataFrame,
@@ -225,6 +239,7 @@ def train_stack(
     head_epochs: int = 100,
 ) -> StackedModel:
     """Greedy layer by layer, each on samples of the layers below, then the softmax head."""
+    rows = sealed(rows, "stack-rows")
     layers: list[TiedLayer] = []
     errors = []
     for depth, hidden in enumerate(hidden_sizes):

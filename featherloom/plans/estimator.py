@@ -24,6 +24,7 @@ from featherloom.operators.metrics import input_kind
 from featherloom.plans import blocks
 from featherloom.plans.feedforward import initial_weights, score, step_sums
 from featherloom.plans.settings import NetworkSettings
+from featherloom.session import release, seal
 from featherloom.sources.models import load_model, save_model
 
 #: Curvature pairs kept by the optimiser.
@@ -82,12 +83,15 @@ class Autoencoder(Estimator, _Shared):
         settings = NetworkSettings(sizes=tuple(sizes), output="sigm", seed=self.getSeed())
         vectors = vector_to_array(self.getInputCol())
         rows = dataset.select(F.lit(0).cast("bigint").alias("id"), vectors.alias("label"), vectors.alias("features"))
+        # Every evaluation reads the rows again: written once, none runs the caller's plan again.
+        rows = seal(rows, "autoencoder-rows")
         kind = input_kind(rows, "features").first()["kind"]
         objective = _Objective(rows, settings, self.getBlockSize())
         point, history = minimise(
             objective, _flat(initial_weights(settings)), self.getMaxIter(), self.getTol()
         )
         weights = objective.shaped(point)
+        release(rows)
         common = {"inputCol": self.getInputCol(), "outputCol": self.getOutputCol()}
         encoder = AutoencoderModel(sizes[:-1], weights[:-1], history, kind, **common)
         decoder = AutoencoderModel(sizes[1:], weights[1:], history, kind, **common)

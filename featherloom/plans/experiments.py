@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from featherloom.functions.activations import sigmoid_all
 from featherloom.functions.seeded import Draw, hashed
-from featherloom.operators.joins import keep_keys, label_rows
+from featherloom.operators.joins import keep_keys
 from featherloom.operators.metrics import error_rate
 from featherloom.operators.scaling import document_softmax
 from featherloom.operators.splits import random_split
@@ -33,10 +34,13 @@ def encoded_accuracy(
     train_labels, test_labels = random_split(labels, "doc", list(weights), hashed(seed))
     triples = sealed(triples, "terms")
     counts = seal(keep_keys(triples, labels, "doc", ["col"]), "terms")
-    words = seal(document_softmax(counts), "words")
+    words = seal(document_softmax(counts, stable=True), "words")
     train_words = keep_keys(words, train_labels, "doc", ["col"])
     model = sparse_ae.train(train_words, encoder)
-    encoded = seal(label_rows(model.encode(words), labels), "encoded")
+    # From the labels: a document without words has the code of an empty row.
+    empty = F.array(*[F.lit(float(b)) for b in model.hidden_bias])
+    known = labels.join(model.encode(words), "doc", "left")
+    encoded = seal(known.withColumn("hidden", F.coalesce("hidden", sigmoid_all(empty))), "encoded")
     as_rows = encoded.select(F.col("doc").alias("id"), "label", F.col("hidden").alias("features"))
     classifier_model = svm.train(as_rows.join(train_labels.select(F.col("doc").alias("id")), "id", "left_semi"), classifier)
     held_out = as_rows.join(test_labels.select(F.col("doc").alias("id")), "id", "left_semi")
@@ -50,15 +54,21 @@ def words_accuracy(
     softmaxed: bool = True,
     weights: tuple[float, float] = (0.9, 0.1),
     seed: int = 43,
+    draw: Draw | None = None,
 ) -> DataFrame:
-    """Words, softmaxed or raw, straight into the SVM; error rate of the held-out documents."""
-    train_labels, test_labels = random_split(labels, "doc", list(weights), hashed(seed))
+    """Words, softmaxed or raw, straight into the SVM; error rate of the held-out documents.
+
+    ``draw`` deals the documents to the two parts (default: hashes with ``seed``).
+    """
+    train_labels, test_labels = random_split(labels, "doc", list(weights), draw or hashed(seed))
     words = seal(keep_keys(sealed(triples, "terms"), labels, "doc", ["col"]), "terms")
     if softmaxed:
-        words = seal(document_softmax(words), "words")
+        words = seal(document_softmax(words, stable=True), "words")
     learned = svm.train_sparse(keep_keys(words, train_labels, "doc", ["col"]), train_labels, classifier)
     held_out = keep_keys(words, test_labels, "doc", ["col"])
-    return error_rate(svm.predict_sparse(held_out, learned).join(test_labels, "doc"))
+    # From the labels: a document without words has margin 0.
+    scored = test_labels.join(svm.predict_sparse(held_out, learned, None), "doc", "left")
+    return error_rate(scored.withColumn("predicted", svm.classify(F.coalesce("margin", F.lit(0.0)), 0.0)))
 
 
 def ratio_sweep(rows: DataFrame, row_id: str, shares: list[float], draw_for: list[Draw], score) -> DataFrame:

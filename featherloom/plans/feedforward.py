@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,7 +21,7 @@ from featherloom.operators.metrics import half_mean_squared_error, mean_vector
 from featherloom.operators.splits import batch_column, split_column
 from featherloom.plans import blocks
 from featherloom.plans.settings import NetworkSettings
-from featherloom.session import check_state_size, scratch_path
+from featherloom.session import check_state_size, release, seal
 from featherloom.sources.models import load_model, save_model
 
 Weights = list[np.ndarray]
@@ -246,43 +246,28 @@ class TrainedNetwork:
         return cls(NetworkSettings(**found), weights)
 
 
-#: Folders the staged batches are spread over.
-MAX_SLOTS = 256
+def stage_rows(rows: DataFrame, validation: float, seed: int) -> DataFrame:
+    """(id, label, features, held), written once; ``held`` rows are for validation."""
+    held = F.when(split_column("id", [1.0 - validation, validation], hashed(seed)) == 1, True).otherwise(False)
+    return seal(rows.select("id", "label", "features").withColumn("held", held), "rows")
 
 
-def stage_batches(rows: DataFrame, batch_size: int, validation: float, seed: int) -> tuple[DataFrame, int]:
-    """Write the rows once, foldered by batch, and return (table, number of batches).
+def batch_numbers(n_batches: int, seed: int, epoch: int) -> Column:
+    """Batch of each row in an epoch: a new draw every epoch."""
+    return batch_column("id", n_batches, hashed(seed + 1 + 1_000_003 * epoch))
 
-    Each row gets one batch; validation rows get batch -1.  A step then reads its
-    own folder only.  The shuffle key includes the row's hash, so no folder is
-    written by a single task.
-    """
-    spark = rows.sparkSession
-    held = F.when(split_column("id", [1.0 - validation, validation], hashed(seed)) == 1, True).otherwise(False)
-    marked = rows.select("id", "label", "features").withColumn("held", held)
-    n_batches = marked.where(~F.col("held")).count() // batch_size
-    number = batch_column("id", max(n_batches, 1), hashed(seed + 1))
-    slots = min(max(n_batches, 1), MAX_SLOTS)
-    staged = marked.withColumn("batch", F.when(F.col("held"), -1).otherwise(number)).withColumn(
-        "slot", F.when(F.col("held"), -1).otherwise(F.pmod("batch", F.lit(slots)))
-    )
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    files = max(1, tasks // (slots + 1))
-    path = scratch_path(spark, "batches")
-    (
-        staged.drop("held")
-        .repartition(tasks, "slot", F.pmod(F.xxhash64("id"), F.lit(files)))
-        .sortWithinPartitions("slot", "batch")
-        .write.partitionBy("slot")
-        .parquet(path)
-    )
-    schema = T.StructType([staged.schema[n] for n in ("id", "label", "features", "batch", "slot")])
-    return spark.read.schema(schema).parquet(path), n_batches
 
+def stage_batches(staged: DataFrame, n_batches: int, seed: int, epoch: int) -> DataFrame:
+    """The training rows of an epoch, written in the order of their batches.
 
-def _one_batch(table: DataFrame, batch: int, n_batches: int) -> DataFrame:
-    slot = batch % min(n_batches, MAX_SLOTS)
-    return table.where((F.col("slot") == slot) & (F.col("batch") == batch))
+    Files are ranges of (batch, row hash) of about equal size whatever the batches'
+    sizes, and sorted, so a step reads the row groups of its own batch and the
+    number of batches has no bound.
+    """
+    tasks = int(staged.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    rows = staged.where(~F.col("held")).select("id", "label", "features")
+    rows = rows.withColumn("batch", batch_numbers(n_batches, seed, epoch))
+    return seal(rows.repartitionByRange(tasks, "batch", F.xxhash64("id")).sortWithinPartitions("batch"), "batches")
 
 
 def train(
@@ -305,13 +290,15 @@ def train(
             weights[layer] = given
     velocity = zero_like(weights)
     mean_activation = [np.zeros(n) for n in settings.sizes[1:-1]]
-    table, n_batches = stage_batches(rows, batch_size, validation, settings.seed)
+    staged = stage_rows(rows, validation, settings.seed)
+    n_batches = staged.where(~F.col("held")).count() // batch_size
     model = TrainedNetwork(settings, weights)
     rate, step = settings.learning_rate, 0
-    for _ in range(epochs):
+    for epoch in range(epochs):
+        table = stage_batches(staged, n_batches, settings.seed, epoch) if n_batches else None
         for batch in range(n_batches):
             step += 1
-            part = _one_batch(table, batch, n_batches)
+            part = table.where(F.col("batch") == batch)
             p = None
             if settings.sparsity_penalty > 0:
                 sums = blocks.collect_sums(step_sums(part, weights, settings, step, gradients=False))
@@ -330,10 +317,13 @@ def train(
             gradients = [sums[f"w{k}"] / n for k in range(len(weights))]
             weights, velocity = apply_gradients(weights, velocity, gradients, rate, settings)
             model.batch_losses.append(float(0.5 * squared / n))
-        losses = _epoch_losses(table, weights, settings)
+        if table is not None:
+            release(table)
+        losses = _epoch_losses(staged, weights, settings)
         model.train_losses.append(losses[0])
         model.validation_losses.append(losses[1] if validation > 0 else 0.0)
         rate *= settings.rate_scaling
+    release(staged)
     model.weights = weights
     return model
 
@@ -343,7 +333,7 @@ def _epoch_losses(table: DataFrame, weights: Weights, settings: NetworkSettings)
     scored = predict(table, weights, settings)
     found = {
         row["held"]: row["loss"]
-        for row in scored.groupBy((F.col("batch") < 0).alias("held"))
+        for row in scored.groupBy("held")
         .agg(
             (
                 F.sum(F.aggregate("error", F.lit(0.0), lambda s, e: s + e * e)) / F.count(F.lit(1)) * 0.5

@@ -10,13 +10,13 @@ aggregate, and both joins (on the column, on the document) split hot keys.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from functools import reduce
 
 import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featherloom.functions.activations import sigmoid, sigmoid_all, sigmoid_slope
@@ -25,6 +25,7 @@ from featherloom.functions.vectors import dot, scale
 from featherloom.operators.joins import HOT_FLOOR, HOT_PIECES, HotKeys, fits_broadcast, hot_of
 from featherloom.plans.settings import SparseAutoencoderSettings
 from featherloom.session import release, seal, sealed
+from featherloom.sources.models import load_table_model, save_table_model
 
 #: Up to this many array slots are summed as separate columns in generated code.
 MAX_SUM_COLUMNS = 128
@@ -100,11 +101,18 @@ class Spread:
     def where(self, condition: Column) -> Spread:
         return Spread(self.rows.where(condition), self.hot_cols, self.hot_docs)
 
-    def with_weights(self, table: DataFrame, values_per_row: int, *columns: str, how: str = "inner") -> DataFrame:
-        """Triples joined to the named weight columns of their column."""
+    def with_weights(
+        self, table: DataFrame, values_per_row: int, *columns: str, how: str = "inner", by_doc: bool = True
+    ) -> DataFrame:
+        """Triples joined to the named weight columns of their column.
+
+        ``by_doc`` partitions them by document first, for passes whose branches share that
+        exchange; a single sum per document moves less by combining where the rows are.
+        """
         weights = table.select("col", *columns)
         if fits_broadcast(table, values_per_row):
-            return self.rows.repartition(*self.hot_docs.on("_ds")).join(F.broadcast(weights), "col", how)
+            rows = self.rows.repartition(*self.hot_docs.on("_ds")) if by_doc else self.rows
+            return rows.join(F.broadcast(weights), "col", how)
         return self.rows.join(self.hot_cols.repeat(weights, "_cs"), self.hot_cols.on("_cs"), how)
 
     def with_documents(self, rows: DataFrame, per_doc: DataFrame) -> DataFrame:
@@ -167,12 +175,12 @@ def encode_rows(joined: DataFrame, hidden_bias: np.ndarray) -> DataFrame:
 
 def project(triples: DataFrame, table: DataFrame, hidden_bias: np.ndarray) -> DataFrame:
     """(doc, z): the sparse row times weight matrix product, before the activation."""
-    return project_rows(Spread.of(triples).with_weights(table, len(hidden_bias), "w_in"), hidden_bias)
+    return project_rows(Spread.of(triples).with_weights(table, len(hidden_bias), "w_in", by_doc=False), hidden_bias)
 
 
 def encode(triples: DataFrame, table: DataFrame, hidden_bias: np.ndarray) -> DataFrame:
     """(doc, hidden) for every document."""
-    return encode_rows(Spread.of(triples).with_weights(table, len(hidden_bias), "w_in"), hidden_bias)
+    return encode_rows(Spread.of(triples).with_weights(table, len(hidden_bias), "w_in", by_doc=False), hidden_bias)
 
 
 def reconstructed(
@@ -325,6 +333,17 @@ class SparseAutoencoderModel:
     def decode(self, triples: DataFrame) -> DataFrame:
         return decode(triples, self.table, self.hidden_bias)
 
+    def save(self, path: str) -> None:
+        """Write the weight table and the rest of the model where cleaning up a run does not reach."""
+        about = {"settings": asdict(self.settings), "hidden_bias": self.hidden_bias.tolist(), "losses": self.losses}
+        save_table_model(self.table.sparkSession, path, "sparse-autoencoder", self.table, about)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> SparseAutoencoderModel:
+        table, about = load_table_model(spark, path, "sparse-autoencoder")
+        settings = SparseAutoencoderSettings(**about["settings"])
+        return cls(settings, table, np.array(about["hidden_bias"]), about["losses"])
+
 
 def train(
     triples: DataFrame, settings: SparseAutoencoderSettings, batches: int = 1

@@ -50,7 +50,8 @@ class SvmModel:
         return SvmModel(self.weights, self.intercept, None)
 
     def margin(self, features: str = "features") -> Column:
-        weights = F.array(*[F.lit(float(w)) for w in self.weights])
+        # One constant, folded once; an array of literals would be a plan node per weight.
+        weights = F.split(F.lit(" ".join(map(repr, self.weights.tolist()))), " ").cast("array<double>")
         return margin(weights, features, self.intercept)
 
     def predict(self, rows: DataFrame, features: str = "features") -> DataFrame:
@@ -103,6 +104,8 @@ def train(
     data = rows.select("id", "label", F.col("features").cast("array<double>").alias("features"))
     if intercept:
         data = data.withColumn("features", F.concat("features", F.array(F.lit(1.0))))
+    # Every step reads the rows again; written once, none runs the caller's plan again.
+    data = seal(data, "svm-rows")
     first = data.select(F.size("features")).first()
     if first is None:
         raise ValueError("no rows to train on")
@@ -122,6 +125,7 @@ def train(
         w = new
         if done:
             break
+    release(data)
     if intercept:
         return SvmModel(w[:-1], float(w[-1]))
     return SvmModel(w)
@@ -139,7 +143,7 @@ def sparse_margins(spread: Spread, weights: DataFrame) -> DataFrame:
 def sparse_step(
     spread: Spread, labels: DataFrame, weights: DataFrame, rate: float, reg: float
 ) -> tuple[DataFrame, DataFrame]:
-    """(col, w) after one step over all labelled documents, and the table it reads.
+    """(col, w, old) after one step over all labelled documents, and the table it reads.
 
     The pull of each document on its words, -sign inside the margin and 0 outside,
     is written out: the gradient and the document count both need it.
@@ -152,7 +156,7 @@ def sparse_step(
     gradient = cells.groupBy("col").agg((F.sum(F.col("pull") * F.col("value"))).alias("g"))
     shrunk = F.col("w") * (1.0 - rate * reg)
     moved = weights.join(gradient, "col", "left").select(
-        "col", (shrunk - rate * F.coalesce("g", F.lit(0.0)) / F.lit(float(n))).alias("w")
+        "col", (shrunk - rate * F.coalesce("g", F.lit(0.0)) / F.lit(float(n))).alias("w"), F.col("w").alias("old")
     )
     return moved, pull
 
@@ -174,12 +178,7 @@ def train_sparse(triples: DataFrame, labels: DataFrame, settings: SvmSettings) -
     for t in range(1, settings.iterations + 1):
         rate = settings.step / float(np.sqrt(t))
         moved, pull = sparse_step(spread, known, weights, rate, settings.reg)
-        both = seal(
-            moved.join(weights.select("col", F.col("w").alias("old")), "col").select(
-                "col", "w", ((F.col("w") - F.col("old")) ** 2).alias("moved")
-            ),
-            "svm",
-        )
+        both = seal(moved.select("col", "w", ((F.col("w") - F.col("old")) ** 2).alias("moved")), "svm")
         change, size = both.agg(F.sqrt(F.sum("moved")), F.sqrt(F.sum(F.col("w") ** 2))).first()
         release(weights)
         release(pull)
@@ -192,7 +191,7 @@ def train_sparse(triples: DataFrame, labels: DataFrame, settings: SvmSettings) -
 def predict_sparse(triples: DataFrame, weights: DataFrame, threshold: float | None = 0.0) -> DataFrame:
     """(doc, margin, predicted); words without a weight count as 0."""
     spread = Spread.of(triples)
-    joined = spread.with_weights(weights, 1, "w", how="left")
+    joined = spread.with_weights(weights, 1, "w", how="left", by_doc=False)
     margins = joined.groupBy("doc").agg(F.sum(F.col("value") * F.coalesce("w", F.lit(0.0))).alias("margin"))
     return margins.withColumn("predicted", classify(F.col("margin"), threshold))
 

@@ -13,9 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 #: form of an operator must be used.
 MAX_STATE_BYTES = 256 * 1024 * 1024
 
-#: Default size of one input split.
-SPLIT_BYTES = 128 * 1024 * 1024
-
 #: Names this run's part of the shared folder.
 RUN = uuid.uuid4().hex
 
@@ -102,20 +99,6 @@ def sealed_rows(table: DataFrame) -> int | None:
     return table._rows
 
 
-def spread_out(rows: DataFrame, *by: str) -> DataFrame:
-    """Rows of an input too small to give every core a split, hashed over all cores.
-
-    Decided on the planner's size estimate, without running anything.  A table that
-    fills the cluster is left as it is, so nothing is shuffled at scale.
-    """
-    if rows.isStreaming:
-        return rows
-    spark = rows.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    estimate = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return rows.repartition(cores, *by) if estimate < cores * SPLIT_BYTES else rows
-
-
 def _reordered(df: DataFrame, partition_by: list[str] | None):
     """Schema of the written files: the partition columns come last."""
     tail = partition_by or []

@@ -102,16 +102,28 @@ def test_dropout_scales_in_test_mode_and_masks_in_training():
     assert train.inputs[1][:, 1:] == pytest.approx(full * train.masks[1])
 
 
-def test_staged_batches_partition_the_rows(spark):
+def test_staged_batches_partition_the_rows_anew_each_epoch(spark):
     rows, _, _ = network_rows(spark, n=300)
-    table, n_batches = feedforward.stage_batches(rows, 50, 0.2, seed=1)
-    found = table.select("id", "batch").collect()
-    assert sorted(r["id"] for r in found) == list(range(300))
-    train = sum(r["batch"] >= 0 for r in found)
-    assert n_batches == train // 50
-    assert {r["batch"] for r in found} == set(range(-1, n_batches))
-    one = feedforward._one_batch(table, 0, n_batches)
-    assert one.count() == sum(r["batch"] == 0 for r in found)
+    staged = feedforward.stage_rows(rows, 0.2, seed=1)
+    train = {r["id"] for r in staged.where("NOT held").collect()}
+    assert 0 < len(train) < 300 and staged.count() == 300
+    batches = []
+    for epoch in (0, 1):
+        table = feedforward.stage_batches(staged, 5, 1, epoch)
+        batches.append({r["id"]: r["batch"] for r in table.select("id", "batch").collect()})
+        assert batches[-1].keys() == train and set(batches[-1].values()) == set(range(5))
+    assert batches[0] != batches[1]
+
+
+def test_no_file_holds_much_more_than_its_share(spark):
+    rows = spark.range(6000).select("id", F.array(F.lit(1.0)).alias("label"), F.array(F.rand(1)).alias("features"))
+    staged = feedforward.stage_rows(rows, 0.2, seed=1)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = feedforward.stage_batches(staged, 479, 1, 0)
+    sizes = [r["count"] for r in table.groupBy(F.input_file_name()).count().collect()]
+    assert max(sizes) <= 2 * sum(sizes) / tasks
+    plan = table.where(F.col("batch") == 3)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(batch), EqualTo(batch,3)]" in plan
 
 
 def test_training_learns_the_sphere_and_survives_a_round_trip(spark):
@@ -127,6 +139,42 @@ def test_training_learns_the_sphere_and_survives_a_round_trip(spark):
     assert again.loss(rows).first()["loss"] == pytest.approx(model.loss(rows).first()["loss"])
 
 
+def test_table_models_survive_a_cleaned_run(spark, tmp_path):
+    from featherloom.session import release
+
+    rows = spark.createDataFrame([(d, f"w{c}", 1.0 / (c + 1)) for d in range(6) for c in range(d + 2)], "doc INT, col STRING, value DOUBLE")
+    model = sparse_ae.train(rows, SparseAutoencoderSettings(hidden=3, iterations=1))
+    want = {r["doc"]: r["hidden"] for r in model.encode(rows).collect()}
+    path = str(tmp_path / "sae")
+    model.save(path)
+    release(model.table)
+    again = sparse_ae.SparseAutoencoderModel.load(spark, path)
+    assert again.settings == model.settings and again.losses == model.losses
+    found = {r["doc"]: r["hidden"] for r in again.encode(rows).collect()}
+    assert found.keys() == want.keys() and all(found[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_stacked_models_survive_a_round_trip(spark, tmp_path):
+    layers = [denoise.TiedLayer.initial(4, 3, 1), denoise.TiedLayer.initial(3, 2, 2)]
+    head = denoise.SoftmaxHead(np.arange(4.0).reshape(2, 2), np.array([0.5, -0.5]))
+    model = denoise.StackedModel(layers, head)
+    path = str(tmp_path / "stack")
+    model.save(spark, path)
+    rows = spark.createDataFrame([(1, [1.0, 0.0, 1.0, 0.0])], "id BIGINT, features ARRAY<DOUBLE>")
+    again = denoise.StackedModel.load(spark, path)
+    assert again.predict(rows).first()["probabilities"] == pytest.approx(model.predict(rows).first()["probabilities"])
+
+
+def test_wide_lines_are_scored_at_once(spark):
+    import time
+
+    rows = spark.range(2).select("id", F.array_repeat(F.lit(1.0), 100_000).alias("features"))
+    model = svm.SvmModel(np.full(100_000, 0.5), -1.0, None)
+    start = time.perf_counter()
+    assert [r["predicted"] for r in model.predict(rows).collect()] == [49999.0, 49999.0]
+    assert time.perf_counter() - start < 30
+
+
 def test_too_few_rows_make_no_step(spark):
     rows, _, _ = network_rows(spark, n=20)
     settings = NetworkSettings(sizes=(5, 2, 1))
