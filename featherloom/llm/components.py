@@ -7,6 +7,7 @@ graph reaches the driver but two numbers a round.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,3 +56,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     stars = down.select(F.col("u").alias("node"), F.col("v").alias("component"))
     heads = down.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return stars.unionByName(heads)
+
+
+def merge(head: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest position known to be connected with each, after links (a, b) are added."""
+    while True:
+        least = np.minimum(head[a], head[b])
+        if (head[a] == least).all() and (head[b] == least).all():
+            return head
+        for end in (a, b, head[a], head[b]):
+            np.minimum.at(head, end, least)
+        while (head[head] != head).any():
+            head = head[head]

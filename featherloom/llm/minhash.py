@@ -6,10 +6,12 @@ probability 5e-6.  The low four bits of the minima are packed in eight longs; eq
 estimate the similarity, and pairs far below the threshold (six standard deviations) go no further.  The others are
 decided on the full sets.
 
-In a bucket nobody is paired with everybody.  First every member is paired with the bucket's smallest node.  After
-the components of those links are known, a bucket is done if it lies in one component; in the others the members outside the
-bucket's largest component are compared with all members of other components, inside a join whose condition is the
-estimate, so that only likely pairs come out.  Pairs inside one component can't change it.  So no link between candidates that
+In a bucket nobody is paired with everybody.  First every member is paired with the bucket's smallest node.  Nodes that
+share buckets, directly or by a chain, are a cluster; after the components of the first links are known, a cluster is done if
+it lies in one component.  In the others the members outside the largest component are compared with all members of other
+components: both are dealt by hash to tiles of bounded size, and each pair of tiles is one group, in which the
+packed signatures are compared by bit counts and likely pairs decided on the full sets.  A group returns what is
+connected, as many rows as it has members at most, and no pairs.  Pairs inside one component can't change it.  So no link that
 matters for the components is lost, whatever the size of a bucket.
 
 Defined results: a null text counts as empty; a text without words has an empty set and is linked with nothing, and its
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from featherloom.llm.components import components
+from featherloom.llm.components import components, merge
 from featherloom.llm.words import docs_and_texts, free_name, schema_with, text_of
 from featherloom.session import release, seal
 
@@ -52,7 +54,7 @@ TABLE_WORDS = 500_000
 class NearSettings:
     """words: of a shingle; percent: similarity that links; bands, rows: of the minima; bits: kept of each minimum.
 
-    least_percent: estimates below it are not looked at any further.
+    least_percent: estimates below it are not looked at any further; tile: nodes of a tile on average.
     """
 
     words: int = 5
@@ -61,6 +63,7 @@ class NearSettings:
     rows: int = 4
     bits: int = 4
     least_percent: int = 50
+    tile: int = 512
     seed: int = 11
 
     @property
@@ -222,6 +225,102 @@ def confirmed(pairs: DataFrame, texts: DataFrame, settings: NearSettings) -> Dat
     return both.select("a", "b", "left", "right").mapInArrow(decide, "a binary, b binary")
 
 
+#: Columns of a block of the incidence product, and rows of a block of signatures compared at once.
+COLUMNS, ROWS = 4096, 64
+
+
+def shared_sizes(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set on the left with every one on the right: an incidence product."""
+    total = np.zeros((len(left), len(right)), np.float32)
+    values, column = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    border = sum(map(len, left))
+    sides = []
+    for sets, own in ((left, column[:border]), (right, column[border:])):
+        sides.append((np.repeat(np.arange(len(sets)), [len(x) for x in sets]), own))
+    both = (np.bincount(sides[0][1], minlength=len(values)) > 0) & (np.bincount(sides[1][1], minlength=len(values)) > 0)
+    place = np.cumsum(both) - 1
+    packed = []
+    for row, own in sides:
+        row, own = row[both[own]], place[own[both[own]]]
+        order = np.argsort(own, kind="stable")
+        packed.append((row[order], own[order]))
+    for begin in range(0, int(both.sum()), COLUMNS):
+        blocks = []
+        for n, (row, own) in zip((len(left), len(right)), packed):
+            a, b = np.searchsorted(own, [begin, begin + COLUMNS])
+            block = np.zeros((n, COLUMNS), np.float32)
+            block[row[a:b], own[a:b] - begin] = 1
+            blocks.append(block)
+        total += blocks[0] @ blocks[1].T
+    return total
+
+
+def likely_pairs(left: np.ndarray, right: np.ndarray, settings: NearSettings) -> np.ndarray:
+    """Whether the estimate of two packed signatures is high enough, for all rows of two tiles."""
+    out = np.zeros((len(left), len(right)), bool)
+    lowest = np.uint64(sum(1 << k for k in range(0, 64, settings.bits)))
+    chance = 2.0**-settings.bits
+    most = settings.minima * (1 - (settings.least_percent / 100 * (1 - chance) + chance))
+    for begin in range(0, len(left), ROWS):
+        x = left[begin : begin + ROWS, None, :] ^ right[None, :, :]
+        step = 1
+        while step < settings.bits:
+            x |= x >> np.uint64(step)
+            step *= 2
+        out[begin : begin + ROWS] = np.bitwise_count(x & lowest).sum(axis=2, dtype=np.int64) <= most
+    return out
+
+
+def across(members: DataFrame, groups: DataFrame, known: DataFrame, settings: NearSettings) -> DataFrame:
+    """(a, b): connections between nodes of different components that share buckets by a chain.
+
+    members: (key, node, head); groups: (node, component); known: (node, packed, text).
+    """
+    stars = members.where(F.col("node") != F.col("head")).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    clusters = components(stars).withColumnRenamed("component", "cluster")
+    tagged = clusters.join(groups, "node", "left").select("cluster", "node", F.coalesce("component", "node").alias("own"))
+    sizes = tagged.groupBy("cluster", "own").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("cluster").agg(F.max(F.struct("n", "own")).alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"))
+    tiles = lambda n: F.ceil(n / settings.tile).cast("int")
+    plan = mixed.where("parts > 1").select(
+        "cluster", F.col("main.own").alias("main"), tiles(F.col("n")).alias("all"), tiles(F.col("n") - F.col("main.n")).alias("out")
+    )
+    rows = seal(tagged.join(plan, "cluster").join(known, "node"), "mixed")
+    drawn = F.xxhash64("node")
+    outside = rows.where(F.col("own") != F.col("main")).withColumn("i", F.pmod(drawn, F.col("out")).cast("int"))
+    outside = outside.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("all") - 1))).withColumn("side", F.lit(0))
+    every = rows.withColumn("j", F.pmod(drawn, F.col("all")).cast("int"))
+    every = every.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("out") - 1))).withColumn("side", F.lit(1))
+    kept = ["cluster", "i", "j", "side", "node", "own", "packed", "text"]
+
+    def compare(group: pa.Table) -> pa.Table:
+        side = group.column("side").to_numpy()
+        node, own = group.column("node").to_pylist(), group.column("own").to_pylist()
+        number = {x: k for k, x in enumerate(dict.fromkeys(own))}
+        part = np.array([number[x] for x in own], np.int64)
+        packed = np.array(group.column("packed").to_pylist(), np.int64).view(np.uint64)
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        likely = likely_pairs(packed[a], packed[b], settings) & (part[a][:, None] != part[b][None, :])
+        a, b, likely = a[likely.any(axis=1)], b[likely.any(axis=0)], likely[likely.any(axis=1)][:, likely.any(axis=0)]
+        head = np.arange(len(node))
+        if len(a):
+            shingler = Shingler(settings)
+            text = group.column("text")
+            sets = {k: shingler.shingles(text[k].as_py().encode()) for k in (*a.tolist(), *b.tolist())}
+            left, right = [sets[k] for k in a.tolist()], [sets[k] for k in b.tolist()]
+            shared = shared_sizes(left, right)
+            whole = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right])[None, :] - shared
+            x, y = np.nonzero(likely & (100 * shared >= settings.percent * whole))
+            if len(x):
+                head = merge(head, a[x], b[y])
+        led = np.flatnonzero(head != np.arange(len(head)))
+        ends = [[node[k] for k in led.tolist()], [node[k] for k in head[led].tolist()]]
+        return pa.table({"a": pa.array(ends[0], pa.binary()), "b": pa.array(ends[1], pa.binary())})
+
+    both = outside.select(*kept).unionByName(every.select(*kept))
+    return both.groupBy("cluster", "i", "j").applyInArrow(compare, "a binary, b binary")
+
+
 def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, settings: NearSettings) -> DataFrame:
     """(node, text) of the wanted nodes, from the document that stands for each."""
 
@@ -263,20 +362,7 @@ def near_duplicates(docs: DataFrame, settings: NearSettings = NearSettings()) ->
     links = seal(confirmed(first, texts, settings), "near-links")
     groups = seal(components(links), "groups")
 
-    tagged = members.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("own"))
-    mixed = tagged.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low != high").select("key")
-    rest = seal(tagged.join(mixed, "key").join(packed, "node"), "mixed")
-    sizes = rest.groupBy("key", "own").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("n", "own"))["own"].alias("main"))
-    outside = rest.join(main, "key").where(F.col("own") != F.col("main")).drop("main")
-    x, y = outside.alias("x"), rest.alias("y")
-    across = x.join(
-        y,
-        (F.col("x.key") == F.col("y.key")) & (F.col("x.own") != F.col("y.own")) & _likely(F.col("x.packed"), F.col("y.packed"), settings),
-    )
-    more = across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    second = seal(more.join(first, ["a", "b"], "left_anti"), "pairs")
-    late = seal(confirmed(second, texts, settings), "near-links")
+    late = seal(across(members, groups, nodes.select("node", "packed").join(texts, "node"), settings), "near-links")
     if not late.isEmpty():
         groups = seal(components(links.unionByName(late)), "groups")
 
@@ -296,7 +382,7 @@ def near_duplicates(docs: DataFrame, settings: NearSettings = NearSettings()) ->
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))),
         "near-duplicates",
     )
-    for done in (found, nodes, members, first, texts, links, rest, second, late):
+    for done in (found, nodes, members, first, texts, links, late):
         release(done)
     return out
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featherloom.llm.components import components
+from featherloom.llm.components import components, merge
 from featherloom.session import release, seal
 
 
@@ -58,18 +58,6 @@ def unit_rows(vectors: np.ndarray) -> np.ndarray:
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
-def merge(head: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest position known to be connected with each, after links (a, b) are added."""
-    while True:
-        least = np.minimum(head[a], head[b])
-        if (head[a] == least).all() and (head[b] == least).all():
-            return head
-        for end in (a, b, head[a], head[b]):
-            np.minimum.at(head, end, least)
-        while (head[head] != head).any():
-            head = head[head]
-
-
 def tile_links(left: np.ndarray, right: np.ndarray, same: bool, least: float, sizes_left: np.ndarray, sizes_right: np.ndarray):
     """Links between the rows of two tiles (or inside one): weighted counts of both sides, and heads.
 
