@@ -22,10 +22,9 @@ from pyspark.sql import functions as F
 from featherloom.llm.words import WORD, free_name, let, share_of_long, text_of, words_of
 from featherloom.session import release, seal
 
-#: Statistics that the rules may test, in the order of the vector the learner sees.
+#: Statistics that the rules may test, in the order of the vector the learner sees.  All are shares of a text: lengths
+#: of texts and words tell languages and topics apart as well as junk, so a rule on them would not carry over.
 TESTED = (
-    "n_words",
-    "chars_per_word",
     "symbols_per_word",
     "dup_line_share",
     "repeat_word_share",
@@ -170,8 +169,6 @@ def statistics(text: str | Column = "text") -> Column:
             s["lines"]["dup"].cast("bigint").alias("n_dup_lines"),
             s["w"]["repeat"].cast("bigint").alias("n_repeat_words"),
             F.array(
-                n.cast("double"),
-                per(s["word_chars"], n),
                 per(s["n_symbols"], n),
                 per(s["lines"]["dup"], s["lines"]["n"]),
                 per(s["w"]["repeat"], n),
