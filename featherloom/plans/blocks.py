@@ -59,9 +59,12 @@ def sum_over_rows(rows: DataFrame, contribute: Contribution, block_size: int | N
     gets whole Arrow batches.
 
     A task adds its batches first and emits one row per matrix row, so the shuffle
-    carries the size of the result times the number of tasks, never the data.  The
-    second sum runs per (name, unit) inside the JVM, spread over all units.
+    carries the size of the result times the number of tasks, never the data.  Splits
+    are combined to two tasks per core at most: more input makes longer tasks, not more
+    partial results.  The second sum runs per (name, unit) inside the JVM, spread over
+    all units.
     """
+    rows = rows.coalesce(2 * rows.sparkSession.sparkContext.defaultParallelism)
 
     def partial(batches):
         acc: dict[str, np.ndarray] = {}

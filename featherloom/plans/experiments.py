@@ -64,7 +64,8 @@ def words_accuracy(
     words = seal(keep_keys(sealed(triples, "terms"), labels, "doc", ["col"]), "terms")
     if softmaxed:
         words = seal(document_softmax(words, stable=True), "words")
-    learned = svm.train_sparse(keep_keys(words, train_labels, "doc", ["col"]), train_labels, classifier)
+    # The training documents are chosen there, once.
+    learned = svm.train_sparse(words, train_labels, classifier)
     held_out = keep_keys(words, test_labels, "doc", ["col"])
     # From the labels: a document without words has margin 0.
     scored = test_labels.join(svm.predict_sparse(held_out, learned, None), "doc", "left")

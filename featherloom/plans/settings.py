@@ -51,7 +51,7 @@ class SparseAutoencoderSettings:
     """Autoencoder on sparse documents.
 
     ``decay_in``/``decay_out`` multiply twice the weight of every touched column;
-    ``decay_bias`` does the same for the biases.
+    ``decay_bias`` multiplies twice the hidden bias, and the output bias once.
     """
 
     hidden: int = 10

@@ -30,9 +30,6 @@ from featherloom.sources.models import load_table_model, save_table_model
 #: Up to this many array slots are summed as separate columns in generated code.
 MAX_SUM_COLUMNS = 128
 
-#: Folders the triples may be staged in for mini-batches.
-MAX_BATCHES = 256
-
 
 def initial_weight_table(triples: DataFrame, settings: SparseAutoencoderSettings) -> DataFrame:
     """Uniform weights for every column that occurs; each draw is a hash of (column, unit, seed)."""
@@ -350,18 +347,21 @@ def train(
 ) -> SparseAutoencoderModel:
     """``iterations`` passes of ``batches`` updates each.
 
-    The triples are written once, foldered by batch; each new weight table is
+    The triples are written once, in ranges of (batch, document hash) and sorted, so an
+    update reads the row groups of its batch; each new weight table is
     written too, so the plan of a step never grows, and the table it replaces is
     deleted.  Updates use the mean gradient of a batch of documents; the result
     differs from a strictly serial document-by-document descent.  ``losses`` holds,
     per pass, the mean document loss met before each update.
     """
-    if not 1 <= batches <= MAX_BATCHES:
-        raise ValueError(f"batches must lie in [1, {MAX_BATCHES}]")
+    if batches < 1:
+        raise ValueError("at least one batch is needed")
     number = F.pmod(F.xxhash64("doc", F.lit(settings.seed)), F.lit(batches)).cast("int")
     thin = triples.select("doc", "col", "value")
     if batches > 1:
-        thin = seal(thin.withColumn("_batch", number), "triples", ["_batch"])
+        tasks = int(triples.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+        ranged = thin.withColumn("_batch", number).repartitionByRange(tasks, "_batch", F.xxhash64("doc", "col"))
+        thin = seal(ranged.sortWithinPartitions("_batch"), "triples")
     whole = Spread.of(thin)
     table = seal(initial_weight_table(whole.rows, settings), "weights")
     bias = initial_hidden_bias(settings)

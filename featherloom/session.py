@@ -113,5 +113,5 @@ def check_state_size(n_values: int, what: str, limit: int = MAX_STATE_BYTES) ->
     if n_values * 8 > limit:
         raise ValueError(
             f"{what} holds {n_values} values, above the {limit // 8} allowed in a broadcast; "
-            "use the weight-table form"
+            "only the sparse autoencoder and the sparse SVM have a weight-table form"
         )
