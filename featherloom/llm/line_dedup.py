@@ -3,7 +3,8 @@
 A line is a run between newlines; its tokens are its words.  Tokens that hold a digit, an ``@`` or ``://`` are variable
 fields and become ``<*>``.  The tree's levels are the number of tokens, the ``depth`` leading tokens, which are never
 generalised, and the rest, of which one of ``blocks`` contiguous parts may be generalised as a whole; so two
-lines in one leaf differ in at most that part.  Lines too short for that are leaves as they are.  A template that
+lines in one leaf differ in at most that part.  Lines too short for that are leaves with their fields masked; lines of
+which over a third is variable are no templates and stand for themselves, word for word.  A template that
 occurs in two documents or more recurs, and of its lines only the first, by (doc_id, place), stays.
 
 All of it is DataFrame expressions and joins on 96-bit hashes of the templates.  First and last document of a template
@@ -46,13 +47,25 @@ class LineSettings:
     min_general: int = 8
 
 
-def masked(line: Column) -> Column:
+def masked(line: Column, words: Column) -> Column:
     """Tokens of a line with variable fields masked."""
+    hidden = F.transform(words, lambda w: F.when(w.rlike(VARIABLE), F.lit(WILD)).otherwise(w))
+    return F.when(line.rlike(VARIABLE), hidden).otherwise(words)
 
-    def hide(words: Column) -> Column:
-        return F.transform(words, lambda w: F.when(w.rlike(VARIABLE), F.lit(WILD)).otherwise(w))
 
-    return F.when(line.rlike(VARIABLE), hide(words_of(line))).otherwise(words_of(line))
+def line_templates(line: Column, settings: LineSettings) -> Column:
+    """Templates of a line, null if it is too short to have any."""
+
+    def of_words(words: Column) -> Column:
+        own = F.array(F.concat_ws(" ", F.size(words).cast("string"), F.lit("="), words))
+
+        def of_tokens(tokens: Column) -> Column:
+            variable = F.size(F.filter(tokens, lambda t: t == WILD))
+            return F.when(3 * variable > F.size(tokens), own).otherwise(templates(tokens, settings))
+
+        return F.when(F.size(words) >= settings.min_tokens, let(masked(line, words), of_tokens))
+
+    return let(words_of(line), of_words)
 
 
 def templates(tokens: Column, settings: LineSettings = LineSettings()) -> Column:
@@ -78,11 +91,7 @@ def with_templates(docs: DataFrame, settings: LineSettings = LineSettings()) ->
         F.xxhash64(text_of("text")).alias("text_hash"),
         F.posexplode(F.split(text_of("text"), "\n")).alias("line", "raw"),
     )
-    told = let(
-        masked(F.col("raw")),
-        lambda t: F.when(F.size(t) >= settings.min_tokens, templates(t, settings)),
-    )
-    return rows.select("doc", "text_hash", "line", F.explode(told).alias("template"))
+    return rows.select("doc", "text_hash", "line", F.explode(line_templates(F.col("raw"), settings)).alias("template"))
 
 
 def recurring(keys: DataFrame, *by: str) -> DataFrame:

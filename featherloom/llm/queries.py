@@ -104,10 +104,14 @@ WITH raw AS (
   FROM documents
 ), words AS (
   SELECT doc_id, pos, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM raw
-), masked AS (
-  SELECT doc_id, pos, len(w) AS n,
+), tokens AS (
+  SELECT doc_id, pos, w, len(w) AS n,
          [CASE WHEN regexp_matches(x, '[0-9]|@|://') THEN '<*>' ELSE x END FOR x IN w] AS t
   FROM words WHERE len(w) >= 5
+), judged AS (
+  SELECT *, 3 * len([x FOR x IN t IF x = '<*>']) > n AS own FROM tokens
+), masked AS (
+  SELECT doc_id, pos, n, t FROM judged WHERE NOT own
 ), parts AS (
   SELECT doc_id, pos, n, t, j, 2 + ((n - 2) * j) // 4 AS b, 2 + ((n - 2) * (j + 1)) // 4 AS e
   FROM masked, (SELECT unnest([0, 1, 2, 3]) AS j) WHERE n >= 8
@@ -115,6 +119,8 @@ WITH raw AS (
   SELECT doc_id, pos, concat(n, ' ', j, ' ', array_to_string(list_concat(t[1:b], ['<*>'], t[e + 1:n]), ' ')) AS k FROM parts
   UNION ALL
   SELECT doc_id, pos, concat(n, ' - ', array_to_string(t, ' ')) FROM masked WHERE n < 8
+  UNION ALL
+  SELECT doc_id, pos, concat(n, ' = ', array_to_string(w, ' ')) FROM judged WHERE own
 ), firsts AS (
   SELECT k, min(struct_pack(d := doc_id, p := pos)) AS f FROM keys
   GROUP BY k HAVING min(doc_id) <> max(doc_id)
