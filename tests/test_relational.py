@@ -44,12 +44,12 @@ def test_skewed_join_equals_plain_join(spark, floor):
     assert kept.count() == plain.count()
 
 
-@pytest.mark.parametrize("span", [3, 50, 10**6])
-def test_consecutive_pairs(spark, span):
+@pytest.mark.parametrize("span,floor", [(3, 50), (50, 50), (10**6, 50), (10, 10**6)])
+def test_consecutive_pairs(spark, span, floor):
     rng = random.Random(7)
     data = [(0 if rng.random() < 0.4 else rng.randrange(5), k, float(rng.randrange(100))) for k in range(300)]
     rows = spark.createDataFrame(data, "u INT, t INT, v DOUBLE")
-    got = {(r["u"], r["t"]): (r["previous"], r["current"]) for r in pairs.consecutive_pairs(rows, "u", "t", "v", span).collect()}
+    got = {(r["u"], r["t"]): (r["previous"], r["current"]) for r in pairs.consecutive_pairs(rows, "u", "t", "v", span, floor).collect()}
     expected, last = {}, {}
     for u, t, v in data:
         if u in last:
