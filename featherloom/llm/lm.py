@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from featherloom.llm.words import schema_with, text_of
+from featherloom.llm.words import schema_with, small, text_of
 from featherloom.session import release, seal
 
 REST = T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("n", T.LongType())]))
@@ -81,7 +81,7 @@ def count_words(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([words, pa.array(list(found.values()), pa.int64())], names=["word", "n"])
 
         found: Counter = Counter()
-        for batch in batches:
+        for batch in small(batches):
             for text in batch.column(0).cast(pa.binary()).to_pylist():
                 found.update(tokens_of(text))
                 if len(found) > 300_000:
@@ -130,7 +130,15 @@ class Vocabulary:
 def vocabulary(counts: DataFrame, ends: int, settings: LmSettings) -> Vocabulary:
     """Types and dictionary from the word counts (a written table) and the number of training documents."""
     order = [F.desc("c"), "word"]
-    top = counts.orderBy(*order).limit(settings.dictionary).collect()
+    # Words above a quantile first: a bare limit would send that many words from every task to the driver.
+    total = counts.count()
+    frequent = counts
+    if total > settings.dictionary:
+        least = counts.agg(F.percentile_approx("c", 1 - settings.dictionary / total, 10_000)).first()[0]
+        frequent = counts.where(F.col("c") > least)
+    top = frequent.orderBy(*order).limit(settings.dictionary).collect()
+    if len(top) < settings.words:
+        top = counts.orderBy(*order).limit(settings.words).collect()
     short = top[: settings.words]
     # Words not among the types; at most ``words`` rows are broadcast.
     listed = counts.sparkSession.createDataFrame([(r["word"],) for r in short], "word string")
@@ -164,7 +172,7 @@ def encode(docs: DataFrame, words: Vocabulary) -> DataFrame:
         logs = np.log10(v.counts + 0.5)
         short = v.short
         log_end = float(np.log10(v.ends + 0.5))
-        for batch in batches:
+        for batch in small(batches):
             n, known, counted, in_class, types, rest = [], [], [], [], [], []
             for text in batch.column(3).cast(pa.binary()).to_pylist():
                 tokens = tokens_of(text)

@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from featherloom.llm.components import components, merge
-from featherloom.llm.words import docs_and_texts, free_name, schema_with, text_of
+from featherloom.llm.words import docs_and_texts, free_name, schema_with, small, text_of
 from featherloom.session import release, seal
 
 LONGS = T.ArrayType(T.LongType(), False)
@@ -47,7 +47,7 @@ SKETCH = schema_with(
 )
 
 #: Words a task keeps the hashes of.
-TABLE_WORDS = 500_000
+TABLE_WORDS = 300_000
 
 
 @dataclass(frozen=True)
@@ -82,6 +82,12 @@ class _WordHashes(dict):
 _HASHES = _WordHashes()
 
 
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in small parts; a worker that is used again afterwards keeps no hashes of this task's words."""
+    yield from small(batches)
+    _HASHES.clear()
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     """64-bit finaliser."""
     x = x ^ (x >> np.uint64(30))
@@ -151,7 +157,7 @@ def sketches(docs: DataFrame, settings: NearSettings = NearSettings()) -> DataFr
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(settings)
-        for batch in batches:
+        for batch in parts(batches):
             n, node, bands, packed = [], [], [], []
             for text in batch.column(2).cast(pa.binary()).to_pylist():
                 found = shingler.shingles(text)
@@ -208,7 +214,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, settings: NearSettings) -> Dat
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(settings)
         last: tuple[bytes, np.ndarray] = (b"", np.zeros(0, np.uint64))
-        for batch in batches:
+        for batch in parts(batches):
             a, b, left, right = (c.to_pylist() for c in batch.columns)
             keep = []
             for i in range(batch.num_rows):
@@ -313,6 +319,7 @@ def across(members: DataFrame, groups: DataFrame, known: DataFrame, settings: Ne
             x, y = np.nonzero(likely & (100 * shared >= settings.percent * whole))
             if len(x):
                 head = merge(head, a[x], b[y])
+        _HASHES.clear()
         led = np.flatnonzero(head != np.arange(len(head)))
         ends = [[node[k] for k in led.tolist()], [node[k] for k in head[led].tolist()]]
         return pa.table({"a": pa.array(ends[0], pa.binary()), "b": pa.array(ends[1], pa.binary())})
@@ -326,7 +333,7 @@ def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, settings: NearS
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(settings)
-        for batch in batches:
+        for batch in parts(batches):
             texts = batch.column(1).to_pylist()
             own = [shingler.node(shingler.shingles(t.encode())) for t in texts]
             keep = [x == y for x, y in zip(own, batch.column(0).to_pylist())]

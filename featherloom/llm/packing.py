@@ -52,11 +52,10 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(path).encode
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            for a, b in tokens.slices(texts):
-                ids, offsets = encode(texts[a:b])
+            for a, texts in tokens.slices(batch.column(1)):
+                ids, offsets = encode(texts)
                 row, piece, start, length, crc = [], [], [], [], []
-                for i in range(b - a):
+                for i in range(len(texts)):
                     for n, begin in enumerate(range(offsets[i], offsets[i + 1], size)):
                         part = ids[begin : min(begin + size, offsets[i + 1])]
                         row.append(a + i)

@@ -61,12 +61,11 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(path).encode
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            for a, b in tokens.slices(texts):
-                ids, offsets = encode(texts[a:b])
+            for a, texts in tokens.slices(batch.column(1)):
+                ids, offsets = encode(texts)
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.view(np.int32), pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(np.diff(offsets), pa.int64()), lists], names=STORE.names
+                    [batch.column(0).slice(a, len(texts)), pa.array(np.diff(offsets), pa.int64()), lists], names=STORE.names
                 )
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(encode, STORE)

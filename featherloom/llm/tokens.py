@@ -14,12 +14,14 @@ from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words a task keeps before it drops those met once: about 200 bytes each.
-TABLE_WORDS = 800_000
+TABLE_WORDS = 400_000
 
 #: Bytes of text encoded in one go; a longer text is a go of its own.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 
 #: Id put after each document.
 END_ID = 1
@@ -138,16 +140,15 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about ``SLICE_BYTES``."""
+def slices(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of a text column of about ``SLICE_BYTES``: place of the first, and the texts."""
+    sizes = pc.binary_length(column).to_numpy(zero_copy_only=False)
     begin, size = 0, 0
-    for i, text in enumerate(texts):
-        size += len(text)
-        if size >= SLICE_BYTES:
-            yield begin, i + 1
+    for i, n in enumerate(sizes.tolist()):
+        size += n
+        if size >= SLICE_BYTES or i + 1 == len(sizes):
+            yield begin, column.slice(begin, i + 1 - begin).cast(pa.binary()).to_pylist()
             begin, size = i + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
 
 
 def crc_of(ids: np.ndarray) -> int:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,3 +56,10 @@ def schema_with(*fields: tuple[str, T.DataType]) -> T.StructType:
 def share_of_long(value: Column) -> Column:
     """A signed 64-bit hash as a number from 0 up to 1."""
     return value.cast("double") / F.lit(2.0**64) + F.lit(0.5)
+
+
+def small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches in parts, so that few texts are Python objects at once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
