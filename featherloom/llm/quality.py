@@ -192,6 +192,10 @@ def labelled_sample(labels: DataFrame, settings: QualitySettings, key: str = "do
     clean = clean.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
     one = clean.groupBy("doc_id").agg((1 - F.min("quality")).alias("rejected"))
     draw = F.xxhash64(F.lit(settings.seed), F.col("doc_id"))
+    # Half as many again as wanted by their hash first: a bare limit would send that many rows from every task.
+    total = one.count()
+    if total > 2 * settings.sample_rows:
+        one = one.where(share_of_long(draw) < F.lit(1.5 * settings.sample_rows / total))
     return one.orderBy(draw, "doc_id").limit(settings.sample_rows)
 
 
