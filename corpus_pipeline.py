@@ -43,7 +43,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their place in sequences of 4096 tokens."""
-    return packing.pack_documents(docs, tokens.vocabulary())
+    # Earlier stages have left their executors fuller: a smaller word table.
+    return packing.pack_documents(docs, tokens.vocabulary(), table_words=400_000)
 
 
 STAGES = [

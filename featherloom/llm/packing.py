@@ -46,11 +46,11 @@ PLAN = schema_with(
 )
 
 
-def pieces(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
+def pieces(docs: DataFrame, path: str, size: int = SIZE, table_words: int | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document's ids, cut where longer than ``size``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(path).encode
+        encode = tokens.encoder(path, table_words).encode
         for batch in batches:
             for a, texts in tokens.slices(batch.column(1)):
                 ids, offsets = encode(texts)
@@ -199,6 +199,6 @@ def pack(cut: DataFrame, size: int = SIZE, bucket_rows: int = BUCKET_ROWS) -> Da
     )
 
 
-def pack_documents(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
-    """Tokenize, cut and pack whole documents."""
-    return pack(seal(pieces(docs, path, size), "pieces"), size)
+def pack_documents(docs: DataFrame, path: str, size: int = SIZE, table_words: int | None = None) -> DataFrame:
+    """Tokenize, cut and pack whole documents; ``table_words`` bounds the word table of a task."""
+    return pack(seal(pieces(docs, path, size, table_words), "pieces"), size)

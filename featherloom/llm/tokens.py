@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words a task keeps before it drops those met once: about 200 bytes each.
-TABLE_WORDS = 400_000
+TABLE_WORDS = 1_200_000
 
 #: Bytes of text encoded in one go; a longer text is a go of its own.
 SLICE_BYTES = 2_000_000
@@ -43,8 +43,9 @@ def _byte_letters() -> dict[str, str]:
 class WordEncoder(dict):
     """Word (bytes) to its number; the ids of word k are ``flat[starts[k] : starts[k + 1]]``."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, table_words: int | None = None):
         super().__init__()
+        self.limit = table_words or TABLE_WORDS
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -63,8 +64,8 @@ class WordEncoder(dict):
     def forget(self) -> None:
         """Drop the words met once; of the others at most the more frequent half of the table stays."""
         least = 2
-        if np.count_nonzero(self.met >= 2) > TABLE_WORDS // 2:
-            least = int(np.partition(self.met, -TABLE_WORDS // 2)[-TABLE_WORDS // 2]) + 1
+        if np.count_nonzero(self.met >= 2) > self.limit // 2:
+            least = int(np.partition(self.met, -self.limit // 2)[-self.limit // 2]) + 1
         old, flat, starts, met = dict(self), self.flat, self.starts, self.met
         self.clear()
         self.flat, self.starts = array("I"), array("q", [0])
@@ -108,7 +109,7 @@ class WordEncoder(dict):
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by the end id, and where each begins (one more than texts)."""
-        if len(self) > TABLE_WORDS:
+        if len(self) > self.limit:
             self.forget()
         numbers: list[int] = []
         ends = np.empty(len(texts), np.int64)
@@ -130,14 +131,14 @@ class WordEncoder(dict):
         return out, offsets
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple[str, int | None], WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    """This process's encoder for a vocabulary file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, table_words: int | None = None) -> WordEncoder:
+    """This process's encoder for a vocabulary file; ``table_words`` bounds its table."""
+    if (path, table_words) not in _ENCODERS:
+        _ENCODERS[path, table_words] = WordEncoder(path, table_words)
+    return _ENCODERS[path, table_words]
 
 
 def slices(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
