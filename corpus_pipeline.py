@@ -15,6 +15,9 @@ from featherloom.session import scratch_path
 #: One epoch: the near-duplicate stage has just removed copies, and the mix brings none back.
 MIX = mixing.MixSettings(weights=queries.WEIGHTS, share=0.8, epochs=1)
 
+#: Short lines too: menus, buttons and bylines recur, and left alone they keep a stub of every copy.
+LINES = line_dedup.LineSettings(min_tokens=1)
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the learned decision list keep."""
@@ -24,7 +27,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines whose template occurred in an earlier document; texts left without a word go."""
-    clean, counts = line_dedup.dedupe(docs)
+    clean, counts = line_dedup.dedupe(docs, LINES)
     emptied = (F.col(counts)["n_dropped"] > 0) & ~F.col("text").rlike(line_dedup.WORD)
     clean = clean.where(~emptied).drop(counts)
     return clean.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in clean.columns else clean
