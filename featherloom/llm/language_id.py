@@ -1,12 +1,13 @@
 """Language of a text by a bidirectional gated recurrent network over bytes.
 
-The network reads runs of letters, byte by byte in both directions, and gives every position a distribution over the
-languages; a document's probabilities are the mean over its positions.  Runs are read on their own (the state starts
-anew at each), so the positions of a word are the same wherever it stands, and a task computes each word it meets once
-and keeps the sums in a table of bounded size.  All positions of whole texts count.
+The network reads runs of letters and their combining marks, byte by byte in both directions, and gives every position a
+distribution over the languages; a document's probabilities are the mean over its positions.  Runs are read on their own
+(the state starts anew at each) and whole, however long, so the positions of a word are the same wherever it stands, and a
+task computes each word it meets once and keeps the sums in a table of bounded size.  All positions of all runs count.
 
 It is trained in numpy by backpropagation through time on the letter runs of a bounded sample of labelled documents,
-chosen by hash and equally from every language; a run that several languages use gets their shares as its target.
+chosen by hash and equally from every language; a run that several languages use gets their shares as its target.  Every
+language of a labelled document with a letter has runs in the sample; only here long runs are cut, between characters.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; without any labelled row everything is
 ``und``; ties go to the first language in sorted order; repeated rows get a row each; an empty table gives no
@@ -23,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from featherloom.llm.words import share_of_long, text_of
 
@@ -34,12 +36,12 @@ class LanguageSettings:
     """Bounds of the sample and sizes of the network.
 
     documents: labelled documents per language, on average; runs: letter runs learned from, over all languages;
-    languages: at most, the most frequent; piece: bytes read at once, a longer run is read in pieces of that length.
+    rare: runs of a language that is in none of those; piece: bytes learned from at once, longer runs in such pieces.
     """
 
     documents: int = 500
     runs: int = 40_000
-    languages: int = 256
+    rare: int = 64
     piece: int = 24
     embedding: int = 12
     hidden: int = 16
@@ -49,17 +51,33 @@ class LanguageSettings:
     seed: int = 5
 
 
-def letter_runs(text: str, piece: int) -> list[bytes]:
-    """Runs of letters in lower case as UTF-8, long ones cut every ``piece`` bytes."""
+def letter_runs(text: str, piece: int | None = None) -> list[bytes]:
+    """Runs of letters and their marks in lower case as UTF-8; with ``piece``, long ones cut at or just before so many bytes."""
     import regex
 
     out = []
-    for run in regex.findall(r"\p{L}+", text.lower()):
-        raw = run.encode()
-        out.extend([raw] if len(raw) <= piece else [raw[k : k + piece] for k in range(0, len(raw), piece)])
+    for run in regex.findall(r"\p{L}[\p{L}\p{M}]*", text.lower()):
+        raw, begin = run.encode(), 0
+        while piece and len(raw) - begin > piece:
+            end = begin + piece
+            # Bytes 10xxxxxx continue a character.
+            while end > begin and raw[end] & 0xC0 == 0x80:
+                end -= 1
+            end = end if end > begin else begin + piece
+            out.append(raw[begin:end])
+            begin = end
+        out.append(raw[begin:])
     return out
 
 
+#: Steps of long runs held at once, and numbers of an array (steps, rows, languages).
+STEPS, NUMBERS = 1024, 16_000_000
+
+
+def rows_at_once(steps: int, width: int) -> int:
+    return max(1, NUMBERS // (steps * width))
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-x))
 
@@ -76,13 +94,13 @@ class ByteNetwork:
         for side in ("f", "b"):
             self.w |= {f"{side}_in": flat(e, 3 * h), f"{side}_state": flat(h, 3 * h), f"{side}_bias": np.zeros(3 * h, np.float32)}
 
-    def _run(self, side: str, data: np.ndarray, keep: bool):
+    def _run(self, side: str, data: np.ndarray, keep: bool, start: np.ndarray | None = None):
         """States (steps, rows, hidden) of one direction over bytes (rows, steps); what backward needs if ``keep``."""
         h = self.settings.hidden
         table = self.w["embed"] @ self.w[f"{side}_in"] + self.w[f"{side}_bias"]
         state_w = self.w[f"{side}_state"]
         steps = range(data.shape[1]) if side == "f" else range(data.shape[1] - 1, -1, -1)
-        state = np.zeros((len(data), h), np.float32)
+        state = np.zeros((len(data), h), np.float32) if start is None else start
         out = np.empty((data.shape[1], len(data), h), np.float32)
         kept = []
         for t in steps:
@@ -101,11 +119,34 @@ class ByteNetwork:
         forward, kept_f = self._run("f", data, keep)
         backward, kept_b = self._run("b", data, keep)
         both = np.concatenate([forward, backward], axis=2)
+        p = self._labels(both)
+        return (p, both, kept_f, kept_b) if keep else p
+
+    def _labels(self, both: np.ndarray) -> np.ndarray:
+        """Distributions (steps, rows, languages) of the states of both directions."""
         score = both @ self.w["out"] + self.w["out_bias"]
         score -= score.max(axis=2, keepdims=True)
         p = np.exp(score)
         p /= p.sum(axis=2, keepdims=True)
-        return (p, both, kept_f, kept_b) if keep else p
+        return p
+
+    def _summed(self, data: np.ndarray) -> np.ndarray:
+        """(rows, languages): probabilities summed over the steps, of which at most STEPS are held at once.
+
+        A first pass from the end leaves the backward states at the borders of the parts, so nothing is cut.
+        """
+        begins = range(0, data.shape[1], STEPS)
+        after = {begins[-1]: None}
+        for begin in reversed(begins[1:]):
+            after[begin - STEPS] = self._run("b", data[:, begin : begin + STEPS], False, after[begin])[0][0]
+        total, before = np.zeros((len(data), len(self.languages)), np.float64), None
+        for begin in begins:
+            part = data[:, begin : begin + STEPS]
+            forward = self._run("f", part, False, before)[0]
+            before = forward[-1]
+            backward = self._run("b", part, False, after[begin])[0]
+            total += self._labels(np.concatenate([forward, backward], axis=2)).sum(axis=0)
+        return total
 
     def _back(self, side: str, data: np.ndarray, kept: list, d_out: np.ndarray, grad: dict) -> None:
         """Backpropagation through time of one direction; ``d_out`` is the slope at each state."""
@@ -142,8 +183,8 @@ class ByteNetwork:
         self._back("b", data, kept_b, d_both[:, :, h:], grad)
         return loss, grad
 
-    def fit(self, runs: list[bytes], target: np.ndarray, weight: np.ndarray) -> list[float]:
-        """Adam over batches of runs of one length; returns the mean loss of each epoch."""
+    def fit(self, runs: list[bytes], shares: list[dict[int, float]], weight: np.ndarray) -> list[float]:
+        """Adam over batches of runs of one length; ``shares``: of the languages of each run. Mean loss of each epoch."""
         s = self.settings
         draw = np.random.default_rng(s.seed + 1)
         by_length: dict[int, list[int]] = defaultdict(list)
@@ -154,15 +195,19 @@ class ByteNetwork:
         step, told = 0, []
         for epoch in range(s.epochs):
             batches = []
-            for rows in by_length.values():
+            for length, rows in by_length.items():
                 rows = draw.permutation(rows)
-                batches += [rows[k : k + s.batch] for k in range(0, len(rows), s.batch)]
+                most = min(s.batch, rows_at_once(length, len(self.languages)))
+                batches += [rows[k : k + most] for k in range(0, len(rows), most)]
             total = 0.0
             rate = s.rate * (1 - epoch / s.epochs)
             for k in draw.permutation(len(batches)):
                 rows = batches[k]
                 data = np.frombuffer(b"".join(runs[i] for i in rows), np.uint8).reshape(len(rows), -1)
-                loss, grad = self.gradient(data, target[rows], weight[rows])
+                target = np.zeros((len(rows), len(self.languages)), np.float32)
+                for n, i in enumerate(rows):
+                    target[n, list(shares[i])] = list(shares[i].values())
+                loss, grad = self.gradient(data, target, weight[rows])
                 total += loss
                 step += 1
                 size = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
@@ -182,10 +227,11 @@ class ByteNetwork:
         for k, run in enumerate(runs):
             by_length[len(run)].append(k)
         for length, rows in by_length.items():
-            for k in range(0, len(rows), 2048):
-                part = rows[k : k + 2048]
+            most = min(2048, rows_at_once(min(length, STEPS), len(self.languages) + 2 * self.settings.hidden))
+            for k in range(0, len(rows), most):
+                part = rows[k : k + most]
                 data = np.frombuffer(b"".join(runs[i] for i in part), np.uint8).reshape(len(part), length)
-                out[part, :-1] = self.probabilities(data).sum(axis=0)
+                out[part, :-1] = self._summed(data)
                 out[part, -1] = length
         return out
 
@@ -227,7 +273,7 @@ class WordSums(dict):
         """Rows of the words met for the first time."""
         words, self.fresh = self.fresh, []
         number: dict[bytes, int] = {}
-        runs = [[number.setdefault(r, len(number)) for r in letter_runs(w.decode(), self.network.settings.piece)] for w in words]
+        runs = [[number.setdefault(r, len(number)) for r in letter_runs(w.decode())] for w in words]
         sums = self.network.sums(list(number))
         owner = np.repeat(np.arange(len(words)), [len(r) for r in runs])
         rows = np.zeros((len(words), sums.shape[1]), np.float32)
@@ -256,12 +302,13 @@ def held_out(key: str = "doc_id", remainder: int = 0) -> Column:
 def train(docs: DataFrame, settings: LanguageSettings = LanguageSettings()) -> ByteNetwork:
     """Network learned from the text and lang of documents that are not held out."""
     known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(settings.languages).collect()
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
     languages = sorted(r["lang"] for r in counts)
     if not languages:
         return ByteNetwork([], settings)
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, settings.documents / r["n"]))))
-    chosen = known.where(share_of_long(F.xxhash64(F.lit(settings.seed), F.col("doc_id"))) < F.element_at(share, F.col("lang")))
+    spark = docs.sparkSession
+    share = spark.createDataFrame([(r["lang"], min(1.0, settings.documents / r["n"])) for r in counts], "lang string, share double")
+    chosen = known.join(F.broadcast(share), "lang").where(share_of_long(F.xxhash64(F.lit(settings.seed), F.col("doc_id"))) < F.col("share"))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,17 +328,21 @@ def train(docs: DataFrame, settings: LanguageSettings = LanguageSettings()) -> B
     by_run = runs.groupBy("run", "lang").agg(F.sum("n").alias("n"))
     # At most ``runs`` rows, all languages of a run together since the order is by the run's hash.
     rows = by_run.orderBy(F.xxhash64(F.lit(settings.seed), "run"), "run", "lang").limit(settings.runs).collect()
+    missed = sorted(set(languages) - {r["lang"] for r in rows})
+    if missed:
+        # Languages with so few runs that none was drawn: their first runs, again with all languages of each.
+        drawn = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(settings.seed), "run"), "run")
+        few = by_run.join(F.broadcast(spark.createDataFrame([(x,) for x in missed], "lang string")), "lang")
+        few = few.withColumn("place", F.row_number().over(drawn)).where(F.col("place") <= settings.rare).select("run").distinct()
+        rows = sorted({*rows, *by_run.join(few, "run", "left_semi").collect()}, key=lambda r: (bytes(r["run"]), r["lang"]))
     place = {x: k for k, x in enumerate(languages)}
-    number: dict[bytes, int] = {}
-    for r in rows:
-        number.setdefault(bytes(r["run"]), len(number))
-    uses = np.zeros((len(number), len(languages)), np.float32)
+    uses: dict[bytes, dict[int, int]] = defaultdict(dict)
     for r in rows:
-        uses[number[bytes(r["run"])], place[r["lang"]]] += r["n"]
+        uses[bytes(r["run"])][place[r["lang"]]] = r["n"]
     network = ByteNetwork(languages, settings)
-    total = uses.sum(axis=1)
-    if len(number):
-        network.fit(list(number), uses / total[:, None], np.sqrt(total))
+    total = np.array([sum(u.values()) for u in uses.values()], np.float32)
+    if uses:
+        network.fit(list(uses), [{k: n / t for k, n in u.items()} for u, t in zip(uses.values(), total)], np.sqrt(total))
     return network
 
 
@@ -307,10 +358,11 @@ def predict(docs: DataFrame, network: ByteNetwork, key: str = "doc_id", text: st
             _TABLES.clear()
             _TABLES[stamp] = WordSums(network)
         table = _TABLES[stamp]
+        most = max(1, min(500, 128_000 // (len(network.languages) + 1)))
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
-            for a in range(0, len(texts), 500):
-                part = texts[a : a + 500]
+            for a in range(0, len(texts), most):
+                part = texts[a : a + most]
                 sums = table.pooled(part) if network.languages else np.zeros((len(part), 1))
                 mean = sums[:, :-1] / np.maximum(sums[:, -1:], 1)
                 some = sums[:, -1] > 0

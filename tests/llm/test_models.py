@@ -135,6 +135,38 @@ def test_long_runs_are_cut_but_not_dropped():
     assert [len(r) for r in runs] == [24, 24, 12, 1, 2]
 
 
+def test_marks_are_read_and_pieces_end_between_characters():
+    assert language_id.letter_runs("हिन्दी भाषा, E\u0301t\u0301 \ufe0f") == [x.encode() for x in ("हिन्दी", "भाषा", "e\u0301t\u0301")]
+    text = "भाषा" * 30
+    pieces = language_id.letter_runs(text, 25)
+    assert max(map(len, pieces)) <= 25 and "".join(p.decode() for p in pieces) == text
+
+
+def test_long_runs_are_read_whole(monkeypatch):
+    network = language_id.ByteNetwork(["a", "b"], NET)
+    text = "überlanges" * 7
+    whole = network.probabilities(np.frombuffer(text.encode(), np.uint8)[None]).sum(axis=0)[0]
+    monkeypatch.setattr(language_id, "STEPS", 16)
+    for got in (network.sums([text.encode()])[0], language_id.WordSums(network).pooled([text.encode()])[0]):
+        assert got[2] == len(text.encode()) and np.allclose(got[:2], whole, rtol=1e-5)
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    names = [f"l{k:03}" for k in range(300)]
+    rows = [(k, chr(97 + k % 26) * (2 + k // 26), names[k % 300]) for k in range(3000) if not held(k, 0)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    fit = language_id.ByteNetwork.fit
+
+    def watched(self, runs, shares, weight):
+        seen.extend(k for s in shares for k in s)
+        return fit(self, runs, shares, weight)
+
+    monkeypatch.setattr(language_id.ByteNetwork, "fit", watched)
+    network = language_id.train(table, language_id.LanguageSettings(embedding=3, hidden=4, epochs=1, runs=20))
+    assert network.languages == names and {names[k] for k in seen} == set(names)
+
+
 def test_held_out_accuracy(spark):
     table = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     network = language_id.train(table)
