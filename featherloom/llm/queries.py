@@ -250,3 +250,11 @@ def op4_lbl_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return lm.score_documents(docs, language_id.held_out("doc_id", 1))
+
+
+@query
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    from featherloom.llm import token_counts, tokens
+
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokens.vocabulary())
