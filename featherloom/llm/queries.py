@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from featherloom.llm.words import LOWER, UPPER
+
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
 SQL: dict[str, str] = {}
@@ -258,3 +260,77 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from featherloom.llm import token_counts, tokens
 
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokens.vocabulary())
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proof of every document, and what it folds to after tampering with a third of them."""
+    from featherloom.llm import merkle
+
+    return merkle.proofs(merkle.build(table(spark, sf_dir, "documents"), merkle.tampered()))
+
+
+def _merkle_level(name: str, below: str) -> str:
+    """Parents of one level in SQL, and the siblings of the nodes below; a lone node stays itself."""
+    return f"""
+{name} AS MATERIALIZED (
+  SELECT tree, i // 8 AS i, (any_value(n) + 7) // 8 AS n,
+         CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE any_value(h) END AS h
+  FROM {below} GROUP BY tree, i // 8
+), {name}_s AS MATERIALIZED (
+  SELECT a.tree, a.i, any_value(a.n) AS n,
+         coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l,
+         coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+  FROM {below} a JOIN {below} b ON a.tree = b.tree AND a.i // 8 = b.i // 8 GROUP BY a.tree, a.i
+)"""
+
+
+def _merkle_sql(tree_levels: int = 8, top_levels: int = 3) -> str:
+    """Trees of up to 8**tree_levels rows, up to 8**top_levels trees."""
+    fields = ["doc_id", "source", "lang", "n_chars"]
+    told = " || ".join(f"coalesce(strlen(CAST({f} AS VARCHAR)) || ':' || CAST({f} AS VARCHAR), '-')" for f in fields)
+    crc = """xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten([[CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]
+      FOR c IN string_split(CAST(doc_id AS VARCHAR), '')])),
+      lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295)"""
+    low = f"translate(text, '{UPPER}', '{LOWER}')"
+    levels = [_merkle_level(f"a{k + 1}", f"a{k}") for k in range(tree_levels)]
+    tops = [_merkle_level(f"b{k + 1}", f"b{k}") for k in range(top_levels)]
+    steps, fold, proof = "", "d.claim", []
+    for prefix, count, key in (("a", tree_levels, "d.tree"), ("b", top_levels, "''")):
+        for k in range(1, count + 1):
+            place = "d.i" if prefix == "a" else "t.i"
+            s = f"{prefix}{k}_s"
+            steps += f"\n  JOIN {s} ON {s}.tree = {key} AND {s}.i = {place} // {8 ** (k - 1)}"
+            proof.append(f"CASE WHEN {s}.n > 1 THEN {s}.l || {s}.r ELSE '' END")
+    # One fold a level: a column of a table of its own, so that no expression repeats itself.
+    cells = ", ".join(
+        f"{p}{k}_s.n AS {p}n{k}, {p}{k}_s.l AS {p}l{k}, {p}{k}_s.r AS {p}r{k}" for p, c in (("a", tree_levels), ("b", top_levels)) for k in range(1, c + 1)
+    )
+    folds, last = "", "f0"
+    for p, c in (("a", tree_levels), ("b", top_levels)):
+        for k in range(1, c + 1):
+            folds += f", f_{p}{k} AS (SELECT * REPLACE (CASE WHEN {p}n{k} > 1 THEN sha256({p}l{k} || claim || {p}r{k}) ELSE claim END AS claim) FROM {last})"
+            last = f"f_{p}{k}"
+    return f"""
+WITH told AS (
+  SELECT doc_id, CASE WHEN lang IS NULL THEN '0' ELSE '1' || lang END AS tree, text, {told} AS fields,
+         doc_id IS NOT NULL AND {crc} % 3 = 0 AS hit
+  FROM documents
+), leaves AS (
+  SELECT doc_id, tree, sha256(fields || coalesce(strlen(text) || ':' || text, '-')) AS h,
+         sha256(fields || coalesce(strlen(text) || ':' || CASE WHEN hit THEN {low} ELSE text END, '-')) AS claim
+  FROM told
+), placed AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM leaves
+), a0 AS (SELECT tree, i, n, h FROM placed), {", ".join(levels)},
+tops AS MATERIALIZED (SELECT tree AS name, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n, h FROM a{tree_levels}),
+b0 AS (SELECT '' AS tree, i, n, h FROM tops), {", ".join(tops)},
+f0 AS (
+  SELECT d.doc_id, d.h AS leaf, t.h AS subroot, (SELECT h FROM b{top_levels}) AS root, d.claim,
+         sha256({" || ".join(proof)}) AS proof_sha256, {cells}
+  FROM placed d JOIN tops t ON t.name = d.tree{steps}
+){folds}
+SELECT doc_id, leaf, subroot, root, proof_sha256, claim AS folded_root, claim = root AS verified FROM {last}"""
+
+
+SQL["op13_merkle_manifest"] = _merkle_sql()
