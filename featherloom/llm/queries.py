@@ -334,3 +334,36 @@ SELECT doc_id, leaf, subroot, root, proof_sha256, claim AS folded_root, claim =
 
 
 SQL["op13_merkle_manifest"] = _merkle_sql()
+
+
+@query
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents of highest score for each benchmark item."""
+    from featherloom.llm import lexical
+
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_TERMS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+SQL["op12_lexical_search"] = f"""
+WITH docs AS MATERIALIZED (
+  SELECT * FROM (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS t FROM documents) WHERE len(t) > 0
+), totals AS (
+  SELECT count(*) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS n_terms FROM docs
+), items AS MATERIALIZED (
+  SELECT k, item_id, unnest(list_distinct(t)) AS term FROM (SELECT row_number() OVER () AS k, item_id, {_TERMS} AS t FROM benchmark)
+), cells AS MATERIALIZED (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM docs) WHERE term IN (SELECT term FROM items) GROUP BY r, term
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(n_docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM cells, totals GROUP BY term
+), scored AS (
+  SELECT k, any_value(item_id) AS item_id, c.r, any_value(d.doc_id) AS doc_id,
+         CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(d.t) * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM items i JOIN cells c USING (term) JOIN weights USING (term) JOIN docs d ON d.r = c.r, totals GROUP BY k, c.r
+), placed AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+  FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 10"""
