@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from featherloom.catalog.registry import CELLS, query, r6, vectors
 from featherloom.operators import metrics
-from featherloom.plans import blocks, feedforward
+from featherloom.plans import blocks, feedforward, local_descent
 from featherloom.plans.estimator import Autoencoder
 from featherloom.plans.settings import NetworkSettings
 from featherloom.sources.models import weight_table
@@ -237,3 +237,72 @@ def autoencoder_lbfgs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scaled.select("id", array_to_vector("scaled").alias("x"))
     model = Autoencoder(layers=[64, 4, 64], inputCol="x", outputCol="code", maxIter=5).fit(rows)
     return model.transform(rows).select("id", F.posexplode(vector_to_array("code")).alias("pos", "value"))
+
+
+def _local_sql(rounds: int, rate: float, momentum: float, dealt: int = 8, batch: int = 4) -> str:
+    """Rounds of ``dealt // batch`` updates in each replica, from the rational weights."""
+    updates = dealt // batch
+    text = f"""
+WITH {CELLS}, dealt AS MATERIALIZED (
+  SELECT vec_id AS id, label, vec_id // {dealt} AS rep, (row_number() OVER (PARTITION BY vec_id // {dealt} ORDER BY vec_id) - 1) // {batch} AS place
+  FROM embeddings
+), sizes AS (SELECT rep, count(*) AS n FROM dealt GROUP BY rep),
+inputs AS MATERIALIZED (
+  SELECT d.rep, d.place, d.id, c.pos + 1 AS slot, c.x FROM dealt d JOIN cells c USING (id) UNION ALL SELECT rep, place, id, 0, 1.0 FROM dealt
+), targets AS MATERIALIZED (
+  SELECT id, unit, CASE WHEN unit = 0 THEN label / CAST(10 AS DOUBLE) ELSE CAST(label % 2 AS DOUBLE) END AS y
+  FROM dealt, (SELECT unnest(range(2)) AS unit)
+), t0 AS (
+  SELECT layer, unit, slot, {_old('layer')} AS w FROM (
+    SELECT 0 AS layer, unit, slot FROM (SELECT unnest(range(4)) AS unit), (SELECT unnest(range(65)) AS slot)
+    UNION ALL SELECT 1, unit, slot FROM (SELECT unnest(range(2)) AS unit), (SELECT unnest(range(5)) AS slot))
+)"""
+    for r in range(1, rounds + 1):
+        text += f""",
+p{r}_0 AS MATERIALIZED (SELECT rep, layer, unit, slot, w, CAST(0 AS DOUBLE) AS v FROM t{r - 1}, sizes)"""
+        for s in range(1, updates + 1):
+            own, k = f"p{r}_{s - 1}", f"{r}_{s}"
+            text += f""",
+i{k} AS MATERIALIZED (SELECT * FROM inputs WHERE place = {s - 1}),
+h{k} AS MATERIALIZED (
+  SELECT i.rep, i.id, w.unit + 1 AS slot, 1 / (1 + exp(-sum(i.x * w.w))) AS a
+  FROM i{k} i JOIN {own} w ON w.rep = i.rep AND w.layer = 0 AND w.slot = i.slot GROUP BY i.rep, i.id, w.unit
+  UNION ALL SELECT rep, id, 0, 1.0 FROM dealt WHERE place = {s - 1}
+), d{k} AS MATERIALIZED (
+  SELECT p.rep, p.id, p.unit, -(t.y - p.p) * p.p * (1 - p.p) AS d FROM (
+    SELECT h.rep, h.id, w.unit, 1 / (1 + exp(-sum(h.a * w.w))) AS p
+    FROM h{k} h JOIN {own} w ON w.rep = h.rep AND w.layer = 1 AND w.slot = h.slot GROUP BY h.rep, h.id, w.unit
+  ) p JOIN targets t ON t.id = p.id AND t.unit = p.unit
+), e{k} AS MATERIALIZED (
+  SELECT h.rep, h.id, h.slot - 1 AS unit, sum(d.d * w.w) * any_value(h.a * (1 - h.a)) AS d
+  FROM h{k} h JOIN {own} w ON w.rep = h.rep AND w.layer = 1 AND w.slot = h.slot JOIN d{k} d ON d.id = h.id AND d.unit = w.unit
+  WHERE h.slot > 0 GROUP BY h.rep, h.id, h.slot
+), g{k} AS MATERIALIZED (
+  SELECT i.rep, 0 AS layer, e.unit, i.slot, avg(e.d * i.x) AS g FROM e{k} e JOIN i{k} i ON i.id = e.id GROUP BY i.rep, e.unit, i.slot
+  UNION ALL SELECT h.rep, 1, d.unit, h.slot, avg(d.d * h.a) FROM d{k} d JOIN h{k} h ON h.id = d.id GROUP BY h.rep, d.unit, h.slot
+), p{k} AS MATERIALIZED (
+  SELECT rep, layer, unit, slot, w - m AS w, m AS v FROM (
+    SELECT o.rep, o.layer, o.unit, o.slot, o.w,
+           CASE WHEN g.g IS NULL THEN 0 ELSE {rate} * (g.g + CASE WHEN o.slot = 0 THEN 0 ELSE 0.1 * o.w END) + {momentum} * o.v END AS m
+    FROM {own} o LEFT JOIN g{k} g ON g.rep = o.rep AND g.layer = o.layer AND g.unit = o.unit AND g.slot = o.slot
+  )
+)"""
+        text += f""",
+t{r} AS MATERIALIZED (SELECT layer, unit, slot, sum(w * n) / sum(n) AS w FROM p{r}_{updates} JOIN sizes USING (rep) GROUP BY layer, unit, slot)"""
+    return text + f"\nSELECT layer, unit, slot, round(w, 6) + 0.0 AS w FROM t{rounds}"
+
+
+@query(_local_sql(2, 0.5, 0.5))
+def nn_train_local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights after two rounds of local descent, batches of four rows in replicas of eight, from fixed weights."""
+    model = local_descent.train_network(
+        training_rows(spark, sf_dir),
+        SETTINGS.with_(momentum=0.5),
+        batch_size=4,
+        rounds=2,
+        replica=F.floor(F.col("id") / 8),
+        order=F.col("id"),
+        init_weights=rational_weights(SIZES),
+    )
+    cells = weight_table(spark, model.weights).select("layer", "unit", F.posexplode("w").alias("slot", "w"))
+    return _wide_keys(cells).withColumn("w", r6("w"))

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 SUM_SCHEMA = "name STRING, unit INT, w ARRAY<DOUBLE>"
 
+#: Tasks whose partial sums are added together first.
+FAN_IN = 32
+
 #: One Arrow batch -> named arrays (vectors or matrices) to be added up.
 Contribution = Callable[[pa.RecordBatch], dict[str, np.ndarray]]
 
@@ -59,12 +62,9 @@ def sum_over_rows(rows: DataFrame, contribute: Contribution, block_size: int | N
     gets whole Arrow batches.
 
     A task adds its batches first and emits one row per matrix row, so the shuffle
-    carries the size of the result times the number of tasks, never the data.  Splits
-    are combined to two tasks per core at most: more input makes longer tasks, not more
-    partial results.  The second sum runs per (name, unit) inside the JVM, spread over
-    all units.
+    carries the size of the result times the number of tasks, never the data.  The
+    splits stay as they are read: a lost task repeats one split.
     """
-    rows = rows.coalesce(2 * rows.sparkSession.sparkContext.defaultParallelism)
 
     def partial(batches):
         acc: dict[str, np.ndarray] = {}
@@ -76,17 +76,35 @@ def sum_over_rows(rows: DataFrame, contribute: Contribution, block_size: int | N
                 for name, value in contribute(batch.slice(start, size)).items():
                     value = np.atleast_2d(np.asarray(value, dtype=np.float64))
                     acc[name] = acc[name] + value if name in acc else value
-        names = [n for n, m in acc.items() for _ in range(len(m))]
-        units = [u for m in acc.values() for u in range(len(m))]
-        arrays = [row for m in acc.values() for row in m]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.string()), pa.array(units, pa.int32()), pa.array(arrays, pa.list_(pa.float64()))],
-            names=["name", "unit", "w"],
-        )
-
-    partials = rows.mapInArrow(partial, SUM_SCHEMA)
-    sums = partials.groupBy("name", "unit").agg(Summarizer.sum(array_to_vector(F.col("w"))).alias("_v"))
-    return sums.select("name", "unit", vector_to_array("_v").alias("w"))
+        yield sum_rows(acc)
+
+    return added_up(rows.mapInArrow(partial, SUM_SCHEMA))
+
+
+def sum_rows(acc: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """Named matrices as rows of ``SUM_SCHEMA``."""
+    names = [n for n, m in acc.items() for _ in range(len(m))]
+    units = [u for m in acc.values() for u in range(len(m))]
+    arrays = [row for m in acc.values() for row in m]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(names, pa.string()), pa.array(units, pa.int32()), pa.array(arrays, pa.list_(pa.float64()))],
+        names=["name", "unit", "w"],
+    )
+
+
+def added_up(partials: DataFrame) -> DataFrame:
+    """Partial sums of all tasks added in two levels, spread over all units.
+
+    The sums of ``FAN_IN`` neighbouring tasks meet first, and what they come to is added
+    once more: no task reads a row from every other, however many splits the data has.
+    """
+    group = F.floor(F.spark_partition_id() / FAN_IN)
+
+    def total(table: DataFrame, *keys: str) -> DataFrame:
+        sums = table.groupBy(*keys).agg(Summarizer.sum(array_to_vector(F.col("w"))).alias("_v"))
+        return sums.select(*keys, vector_to_array("_v").alias("w"))
+
+    return total(total(partials.withColumn("_group", group), "name", "unit", "_group"), "name", "unit")
 
 
 def collect_sums(sums: DataFrame) -> dict[str, np.ndarray]:

@@ -6,7 +6,7 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 #: Largest model state (weights, gradients, column bounds) that may pass through
 #: the driver or a broadcast.  Data never does; beyond this the weight-table
@@ -90,6 +90,13 @@ def release(table: DataFrame) -> None:
     table._sealed_at = None
 
 
+def part_of(table: DataFrame, condition: Column) -> DataFrame:
+    """The rows of a sealed table that meet ``condition``: sealed as well, and released together with it."""
+    part = table.where(condition)
+    part._sealed_at = getattr(table, "_sealed_at", None)
+    return part
+
+
 def sealed_rows(table: DataFrame) -> int | None:
     """Row count of a sealed table (counted once); None for any other DataFrame."""
     if not getattr(table, "_sealed_at", None):
