@@ -111,13 +111,13 @@ def keep_keys(rows: DataFrame, keys: DataFrame, key: str, spread: list[str], flo
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def fits_broadcast(table: DataFrame, values_per_row: int, limit: int = BROADCAST_BYTES) -> bool:
+def fits_broadcast(table: DataFrame, values_per_row: int, limit: int | None = None) -> bool:
     """True for a sealed table whose counted rows stay below ``limit`` bytes.
 
     A row is taken as its 8-byte values plus 64 bytes of key and bookkeeping.
     """
     rows = sealed_rows(table)
-    return rows is not None and rows * (8 * values_per_row + 64) <= limit
+    return rows is not None and rows * (8 * values_per_row + 64) <= (BROADCAST_BYTES if limit is None else limit)
 
 
 def label_rows(rows: DataFrame, labels: DataFrame, key: str = "doc") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from featherloom.functions.seeded import Draw
 from featherloom.operators.splits import cell
+from featherloom.session import seal
 
 # Fixed value: rows shown by the preview.
 PREVIEW_ROWS = 200
@@ -35,3 +36,22 @@ def preview(predictions: DataFrame, row_id: str, label: str, predicted: str, n:
         F.col(predicted).alias("predicted"),
         (F.col(predicted) - F.col(label)).alias("difference"),
     )
+
+
+def numbered(table: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``table``, written out, with a column ``name`` of dense numbers from 0, and its number of rows.
+
+    Rows are numbered where they lie: what moves is one count per task that wrote them.
+    """
+    placed = seal(table.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftrightunsigned("_at", 33)
+    runs = placed.groupBy(part.alias("part")).agg(F.min("_at").alias("first"), F.count(F.lit(1)).alias("n")).collect()
+    shifts, rows = [], 0
+    for run in sorted(runs):
+        shifts.append((run["part"], run["first"] - rows))
+        rows += run["n"]
+    listed = table.sparkSession.createDataFrame(shifts, "_part BIGINT, _shift BIGINT")
+    found = placed.withColumn("_part", part).join(F.broadcast(listed), "_part")
+    found = found.withColumn(name, F.col("_at") - F.col("_shift")).select(*table.columns, name)
+    found._sealed_at = placed._sealed_at
+    return found, rows

@@ -6,6 +6,7 @@ vocabulary; only the hidden bias, one number per hidden unit, lives on the drive
 
 A document is reconstructed on its own columns alone.  Every sum is a partial
 aggregate, and both joins (on the column, on the document) split hot keys.
+Weights that do not fit a broadcast are worked off in slices (:mod:`sliced_ae`).
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from featherloom.functions.activations import sigmoid, sigmoid_all, sigmoid_slop
 from featherloom.functions.seeded import hashed, uniform, uniform_array
 from featherloom.functions.vectors import dot, scale
 from featherloom.operators.joins import HOT_FLOOR, HOT_PIECES, HotKeys, fits_broadcast, hot_of
+from featherloom.plans import sliced_ae
 from featherloom.plans.settings import SparseAutoencoderSettings
 from featherloom.session import release, seal, sealed
 from featherloom.sources.models import load_table_model, save_table_model
@@ -172,11 +174,15 @@ def encode_rows(joined: DataFrame, hidden_bias: np.ndarray) -> DataFrame:
 
 def project(triples: DataFrame, table: DataFrame, hidden_bias: np.ndarray) -> DataFrame:
     """(doc, z): the sparse row times weight matrix product, before the activation."""
+    if not fits_broadcast(table, len(hidden_bias)):
+        return sliced_ae.encode(triples, table, hidden_bias, activated=False)
     return project_rows(Spread.of(triples).with_weights(table, len(hidden_bias), "w_in", by_doc=False), hidden_bias)
 
 
 def encode(triples: DataFrame, table: DataFrame, hidden_bias: np.ndarray) -> DataFrame:
     """(doc, hidden) for every document."""
+    if not fits_broadcast(table, len(hidden_bias)):
+        return sliced_ae.encode(triples, table, hidden_bias)
     return encode_rows(Spread.of(triples).with_weights(table, len(hidden_bias), "w_in", by_doc=False), hidden_bias)
 
 
@@ -202,6 +208,8 @@ def document_pass(
     over the document's words.
     """
     width = len(hidden_bias)
+    if not fits_broadcast(table, width + 1):
+        return sliced_ae.document_pass(spread.rows, table, hidden_bias)
     hidden = encode_rows(spread.with_weights(table, width, "w_in"), hidden_bias)
     cells = reconstructed(spread, table, hidden, width)
     diff = F.col("out") - F.col("value")
@@ -216,6 +224,8 @@ def document_pass(
 
 def decode(triples: DataFrame, table: DataFrame, hidden_bias: np.ndarray) -> DataFrame:
     """(doc, col, value, out): reconstruction of the columns present in each document."""
+    if not fits_broadcast(table, len(hidden_bias) + 1):
+        return sliced_ae.decode(triples, table, hidden_bias)
     spread = Spread.of(triples)
     hidden = encode_rows(spread.with_weights(table, len(hidden_bias), "w_in"), hidden_bias)
     return reconstructed(spread, table, hidden, len(hidden_bias)).select("doc", "col", "value", "out")
@@ -223,6 +233,8 @@ def decode(triples: DataFrame, table: DataFrame, hidden_bias: np.ndarray) -> Dat
 
 def decode_hidden(hidden: DataFrame, triples: DataFrame, table: DataFrame, width: int) -> DataFrame:
     """As :func:`decode`, from given hidden vectors (doc, hidden)."""
+    if not fits_broadcast(table, width + 1):
+        return sliced_ae.decode_hidden(hidden, triples, table, width)
     return reconstructed(Spread.of(triples), table, hidden, width).select("doc", "col", "value", "out")
 
 
@@ -286,12 +298,12 @@ def updated_bias(
 
 @dataclass(frozen=True)
 class Step:
-    """State after one update, the loss before it, and the pass the update reads."""
+    """State after one update, the loss before it, and the pass the update reads (None where it read slices)."""
 
     table: DataFrame
     hidden_bias: np.ndarray
     loss: float
-    per_doc: DataFrame
+    per_doc: DataFrame | None
 
 
 def step(
@@ -306,6 +318,10 @@ def step(
     joined into the new weight table.  Only the hidden bias visits the driver.
     """
     width = len(hidden_bias)
+    if not fits_broadcast(table, width + 1):
+        slices = sliced_ae.cut(table, width)
+        sliced = sliced_ae.step(sliced_ae.documents(spread.rows, slices), slices, hidden_bias, settings)
+        return None if sliced is None else Step(sliced_ae.whole_table(sliced.slices), sliced.hidden_bias, sliced.loss, None)
     per_doc = seal(document_pass(spread, table, hidden_bias), "pass")
     measured = bias_gradient(per_doc, width).first()
     if not measured["docs"]:
@@ -366,6 +382,8 @@ def train(
     table = seal(initial_weight_table(whole.rows, settings), "weights")
     bias = initial_hidden_bias(settings)
     model = SparseAutoencoderModel(settings, table, bias)
+    if not fits_broadcast(table, settings.hidden + 1):
+        return _train_sliced(model, thin, batches)
     for _ in range(settings.iterations):
         losses = []
         for batch in range(batches):
@@ -381,3 +399,27 @@ def train(
             model.losses.append(sum(losses) / len(losses))
     model.table, model.hidden_bias = table, bias
     return model
+
+
+def _train_sliced(model: SparseAutoencoderModel, thin: DataFrame, batches: int) -> SparseAutoencoderModel:
+    """The loop of :func:`train` on slices; the weights become one table again at the end."""
+    settings = model.settings
+    slices, bias = sliced_ae.cut(model.table, settings.hidden), model.hidden_bias
+    release(model.table)
+    parts = [thin if batches == 1 else thin.where(F.col("_batch") == k) for k in range(batches)]
+    docs = [sliced_ae.documents(part, slices) for part in parts]
+    for _ in range(settings.iterations):
+        losses = []
+        for part in docs:
+            done = sliced_ae.step(part, slices, bias, settings)
+            if done is not None:
+                slices.release()
+                slices, bias = done.slices, done.hidden_bias
+                losses.append(done.loss)
+        if losses:
+            model.losses.append(sum(losses) / len(losses))
+    for part in docs:
+        release(part)
+    model.table, model.hidden_bias = seal(sliced_ae.whole_table(slices), "weights"), bias
+    slices.release()
+    return model
