@@ -336,7 +336,9 @@ def search_block(docs: DataFrame, items: Items, top: int) -> DataFrame:
     search = Search.of(items, weight, top)
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = impact_vectors(counted, n_docs, n_terms or 1).repartitionByRange(parts, F.desc("norm"))
+    # Copies have equal lengths: the row's number lets a range end among them.
+    told = impact_vectors(counted, n_docs, n_terms or 1).withColumn("_row", F.monotonically_increasing_id())
+    ranged = told.repartitionByRange(parts, F.desc("norm"), "_row").drop("_row")
     vectors = seal(ranged.sortWithinPartitions(F.desc("norm")), "search-vectors")
     release(counted)
     cut = vectors.agg(F.percentile_approx("norm", 1 - FIRST_SHARE)).first()[0]
