@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from featherloom.catalog.registry import CELLS, draw_sql, long_form, query, r6, table, vectors
 from featherloom.functions import activations, seeded, surfaces
 from featherloom.functions import vectors as V
-from featherloom.operators import documents, joins, masks, metrics, scaling
+from featherloom.operators import distances, documents, joins, masks, metrics, scaling
 from featherloom.sources import samples
 
 MASK_SEED, NOISE_SEED, DROP_SEED, SAMPLE_SEED = 11, 23, 37, 53
@@ -357,3 +357,19 @@ def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.trim(F.concat(F.lit(" "), "event_type", F.lit(" "))).alias("t"),
         F.startswith("event_type", F.lit("c")).alias("s"),
     )
+
+
+@query(
+    f"""
+WITH {CELLS}, centres AS MATERIALIZED (SELECT label AS centre, pos, avg(x) AS c FROM cells GROUP BY label, pos),
+pairs AS (
+  SELECT v.id, k.centre, sum((v.x - k.c) * (v.x - k.c)) AS d FROM cells v JOIN centres k ON v.pos = k.pos GROUP BY v.id, k.centre
+), placed AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, centre) AS place FROM pairs)
+SELECT id, centre AS nearest, round(d, 6) + 0.0 AS distance FROM placed WHERE place = 1"""
+)
+def nearest_centre(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every vector the label whose mean vector is closest, and how far it is."""
+    rows = vectors(spark, sf_dir)
+    centres = metrics.mean_vector(rows, "features", "vector", ["label"]).withColumnRenamed("label", "centre")
+    found = distances.nearest_centre(rows.select("id", "features"), centres)
+    return found.select("id", "nearest", r6("distance").alias("distance"))

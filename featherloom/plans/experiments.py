@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,12 +68,3 @@ def words_accuracy(
     # From the labels: a document without words has margin 0.
     scored = test_labels.join(svm.predict_sparse(held_out, learned, None), "doc", "left")
     return error_rate(scored.withColumn("predicted", svm.classify(F.coalesce("margin", F.lit(0.0)), 0.0)))
-
-
-def ratio_sweep(rows: DataFrame, row_id: str, shares: list[float], draw_for: list[Draw], score) -> DataFrame:
-    """``score(train, test)`` (one row each) for every training share, tagged ``train_share``."""
-    results = []
-    for share, draw in zip(shares, draw_for):
-        train, test = random_split(rows, row_id, [share, 1.0 - share], draw)
-        results.append(score(train, test).withColumn("train_share", F.lit(share)))
-    return reduce(DataFrame.unionByName, results)
