@@ -25,9 +25,13 @@ NONE = np.int32(2**31 - 1)
 #: Sequences with more symbols than this are linked.
 LONG_SYMBOLS = 256
 
-#: The pattern of the word vocabulary, and what it comes to on lower-case ASCII bytes.
+#: The pattern of the word vocabulary, and what it comes to on the UTF-8 bytes of lower-cased words in Latin letters:
+#: ASCII and the letters of Latin-1, none of which the normaliser joins to another.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-ASCII_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0D\x20a-z0-9]+|\x20")
+LATIN = re.compile(r"[\x00-\x7f\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
+LATIN_PIECES = re.compile(
+    rb"'s|'t|'re|'ve|'m|'ll|'d|(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf]|\xc2[\xaa\xb5\xba])+|[0-9]|[^\x09-\x0D\x20a-z0-9\x80-\xff]+|\x20"
+)
 
 
 def byte_characters() -> str:
@@ -63,7 +67,7 @@ class RaggedBpe:
         told = [p for p, _ in cut.pre_tokenize_str(normal.normalize_str("aB \t é"))] if normal and cut else []
         if told != ["ab", "".join(characters[b] for b in "é".encode())]:
             raise ValueError("only byte-level vocabularies that lower-case and drop white space are read")
-        self.fast_ascii = spec["pre_tokenizer"]["pretokenizers"][0].get("pattern") == {"Regex": WORD_PATTERN}
+        self.fast_latin = spec["pre_tokenizer"]["pretokenizers"][0].get("pattern") == {"Regex": WORD_PATTERN}
         self.special_ids = {t["content"]: t["id"] for t in added}
         self.special = re.compile("(" + "|".join(map(re.escape, self.special_ids)) + ")") if added else None
 
@@ -193,13 +197,13 @@ class RaggedBpe:
 
     def pieces(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bytes of all pre-tokens, their lengths and the word each belongs to, for words without added tokens."""
-        plain = [k for k, w in enumerate(words) if w.isascii()] if self.fast_ascii else []
+        plain = [k for k, w in enumerate(words) if w.isascii() or LATIN.fullmatch(w)] if self.fast_latin else []
         found = []
         if plain:
             joined = " ".join([words[k] for k in plain]).lower().encode()
             data = np.frombuffer(joined, np.uint8)
             # Pieces and spaces tile the text, since white space is what words are split at.
-            sizes = np.fromiter(map(len, ASCII_PIECES.findall(joined)), np.int64)
+            sizes = np.fromiter(map(len, LATIN_PIECES.findall(joined)), np.int64)
             space = data[np.cumsum(sizes) - sizes] == 32
             owner = np.array(plain)[np.cumsum(space)]
             found.append((data[np.repeat(~space, sizes)], sizes[~space], owner[~space]))

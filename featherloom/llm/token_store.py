@@ -17,12 +17,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from featherloom.llm import tokens
+from featherloom.llm.token_counts import slices
+from featherloom.llm.word_table import word_table
 from featherloom.llm.words import docs_and_texts, schema_with
 
 STORE = schema_with(("doc_id", T.LongType()), ("n_tokens", T.LongType()), ("ids", T.ArrayType(T.IntegerType(), False)))
@@ -59,13 +61,14 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids) of whole texts, the end id included."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(path).encode
+        table = word_table(path)
         for batch in batches:
-            for a, texts in tokens.slices(batch.column(1)):
-                ids, offsets = encode(texts)
+            sizes = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+            for a, b in slices(sizes):
+                ids, offsets = table.encode(batch.column(1).slice(a, b - a))
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.view(np.int32), pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, len(texts)), pa.array(np.diff(offsets), pa.int64()), lists], names=STORE.names
+                    [batch.column(0).slice(a, b - a), pa.array(np.diff(offsets), pa.int64()), lists], names=STORE.names
                 )
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(encode, STORE)

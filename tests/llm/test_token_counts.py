@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from featherloom.llm import ragged_bpe, token_counts, tokens
+from featherloom.llm import ragged_bpe, token_counts, tokens, word_table
 
 from .rows import ODD, docs, empty
 
@@ -48,6 +48,12 @@ def test_any_texts(texts):
     assert counts(texts) == [library(t) for t in texts]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.characters(max_codepoint=0x17F), max_size=20), max_size=6))
+def test_latin_texts(texts):
+    assert counts(texts) == [library(t) for t in texts]
+
+
 @pytest.mark.parametrize("bound", [1, 8, 256])
 def test_linked_and_ragged_sequences_agree_with_the_library(monkeypatch, bound):
     monkeypatch.setattr(ragged_bpe, "LONG_SYMBOLS", bound)
@@ -67,6 +73,32 @@ def test_merged_ids_are_the_librarys():
         assert got == TOKENIZER.encode(w, add_special_tokens=False).ids
 
 
+def own_ids(table, text):
+    return table.encode(pa.array([text]))[0].tolist()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.characters(exclude_categories=["Cs"]), max_size=30), max_size=5))
+def test_ids_from_a_word_table(texts):
+    got, offsets = word_table.word_table(PATH).encode(pa.array(texts, pa.string()))
+    for k, t in enumerate(texts):
+        assert got[offsets[k] : offsets[k + 1]].tolist() == [*TOKENIZER.encode(t, add_special_tokens=False).ids, 1]
+
+
+def test_hard_ids_and_a_table_that_is_always_full():
+    table = word_table.WordTable(PATH, table_bytes=2000)
+    texts = [*HARD, *[f"the same words and new{chr(97 + k)} ones{chr(97 + k)} here" for k in range(26)], "ab" * 4000, *HARD]
+    for t in texts:
+        assert own_ids(table, t) == [*TOKENIZER.encode(t, add_special_tokens=False).ids, 1]
+        assert len(table.young) < 60 and all(len(w) <= word_table.LONG_BYTES for w in table.young)
+
+
+def test_texts_without_spaces_stay_out_of_the_table():
+    table = word_table.WordTable(PATH)
+    own_ids(table, " ".join("你好世界" * 200 + chr(0x4E00 + k) for k in range(50)))
+    assert len(table.young) == 0
+
+
 def test_a_vocabulary_with_white_space_in_its_pieces_is_refused():
     with pytest.raises(ValueError):
         ragged_bpe.RaggedBpe(tokens.vocabulary("byte_bpe_50k.json"))
