@@ -66,14 +66,19 @@ def counted(docs: DataFrame, settings: MixSettings) -> DataFrame:
 
 
 def budgets(leaves: DataFrame, settings: MixSettings) -> DataFrame:
-    """(levels, supply, budget) of each leaf from (levels, supply)."""
+    """(levels, supply, budget) of each leaf from (levels, supply).
+
+    Capacities count from the leaves up: what lies under a weight of 0 can't be taken, so no node has a budget for it.
+    """
     levels = list(settings.levels)
-    capacity = (F.col("supply") * settings.epochs).cast("double")
+    taken = reduce(lambda a, b: a & b, [weight_of(level, F.col(level), settings) > 0 for level in levels])
+    leaves = leaves.withColumn("usable", F.when(taken, F.col("supply") * settings.epochs).otherwise(0))
+    capacity = F.col("usable").cast("double")
     wanted = F.lit(settings.tokens) if settings.tokens is not None else F.sum("supply") * settings.share
     parents = leaves.agg(F.least(F.sum(capacity), F.floor(wanted).cast("double")).alias("budget"))
     for k, level in enumerate(levels):
         above, own = levels[:k], levels[: k + 1]
-        nodes = leaves.groupBy(*own).agg(F.sum("supply").alias("supply")).withColumn("weight", weight_of(level, F.col(level), settings))
+        nodes = leaves.groupBy(*own).agg(F.sum("usable").alias("usable")).withColumn("weight", weight_of(level, F.col(level), settings))
         met = nodes.join(parents, above) if above else nodes.crossJoin(F.broadcast(parents))
         siblings = Window.partitionBy(*above)
         # Those that fill up first come first: capacity over weight.

@@ -192,3 +192,13 @@ def test_mixing_odd_rows_and_empty_tables(spark):
     assert epoch not in table.columns and taken.columns == [*table.columns, epoch]
     assert taken.count() == len(ODD)
     assert mixing.mix(empty(spark), settings)[0].count() == 0
+
+
+@pytest.mark.parametrize("weights", [{"lang": {"xx": 0.0}}, {"source": {"none": 0.0}}])
+def test_weight_0_leaves_its_budget_to_others(spark, weights):
+    """A domain that holds nothing but weight 0 has no budget: all of it goes to the other."""
+    rows = [("d1", "xx" if "lang" in weights else "a", "none", 100), ("d2", "b", "s", 300)]
+    leaves = spark.createDataFrame(rows, "domain STRING, lang STRING, source STRING, supply BIGINT")
+    settings = mixing.MixSettings(weights={"domain": {"d1": 1.0, "d2": 1.0}, **weights}, tokens=200, epochs=1)
+    got = {r["domain"]: r["budget"] for r in mixing.budgets(leaves, settings).collect()}
+    assert got == {"d1": 0, "d2": 200}
