@@ -107,6 +107,41 @@ def svm_train_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weights.select("col", r6("w").alias("w"))
 
 
+SAMPLE_SEED = 83
+
+
+def _sampled(steps: int, fraction: float) -> str:
+    """As above, each step over the documents whose draw lies in its window."""
+    u = draw_sql("doc", "0", SAMPLE_SEED)
+    text = f"""
+WITH {TERMS}, labelled AS (SELECT doc, s, {u} AS u FROM (SELECT doc_id AS doc, 2.0 * quality - 1 AS s FROM labels)),
+kept AS MATERIALIZED (SELECT t.*, l.s, l.u FROM terms t JOIN labelled l ON t.doc = l.doc),
+w0 AS MATERIALIZED (SELECT DISTINCT col, CAST(0 AS DOUBLE) AS w FROM kept)"""
+    for t in range(1, steps + 1):
+        low, high = svm.window_bounds(t, fraction)
+        inside = f"u >= {low!r} AND u < {high!r}" if high <= 1.0 else f"(u >= {low!r} OR u < {high - 1.0!r})"
+        text += f""",
+m{t} AS MATERIALIZED (
+  SELECT k.doc, any_value(k.s) AS s, sum(k.value * w.w) AS m FROM kept k JOIN w{t - 1} w ON k.col = w.col WHERE {inside} GROUP BY k.doc
+),
+g{t} AS MATERIALIZED (
+  SELECT k.col, sum(CASE WHEN m.s * m.m < 1 THEN -m.s ELSE 0 END * k.value) / (SELECT count(*) FROM m{t}) AS g
+  FROM kept k JOIN m{t} m ON m.doc = k.doc GROUP BY k.col
+),
+w{t} AS MATERIALIZED (
+  SELECT w.col, w.w * (1 - 0.01 / sqrt({t})) - coalesce(g.g, 0) / sqrt({t}) AS w FROM w{t - 1} w LEFT JOIN g{t} g ON g.col = w.col
+)"""
+    return text + f"\nSELECT col, round(w, 6) + 0.0 AS w FROM w{steps}"
+
+
+@query(_sampled(5, 0.3))
+def svm_train_words_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five steps over three tenths of the documents each; the fourth window goes on from the beginning."""
+    settings = SvmSettings(iterations=5, fraction=0.3, tolerance=0.0)
+    weights = svm.train_sparse(labelled_terms(spark, sf_dir), quality(spark, sf_dir), settings, seeded.modular(SAMPLE_SEED))
+    return weights.select("col", r6("w").alias("w"))
+
+
 @query(_unrolled(1))
 def svm_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = quality(spark, sf_dir)

@@ -28,11 +28,16 @@ def matrix(batch: pa.RecordBatch, name: str, dtype=np.float64) -> np.ndarray:
     column = batch.column(batch.schema.get_field_index(name))
     if column.null_count:
         raise ValueError(f"column {name} holds NULL vectors")
+    return stacked(column, f"column {name}", dtype)
+
+
+def stacked(column: pa.Array, what: str = "the column", dtype=np.float64) -> np.ndarray:
+    """(rows, width) from lists of the same length, none of them null."""
     sizes = np.diff(column.offsets.to_numpy())
     if len(sizes) == 0:
         return np.empty((0, 0), dtype)
     if (sizes != sizes[0]).any():
-        raise ValueError(f"column {name} holds vectors of different lengths")
+        raise ValueError(f"{what} holds vectors of different lengths")
     return column.flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(len(sizes), sizes[0])
 
 

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from featherloom.operators.metrics import input_kind
-from featherloom.plans import blocks
-from featherloom.plans.feedforward import initial_weights, score, step_sums
+from featherloom.plans import blocks, scoring
+from featherloom.plans.feedforward import initial_weights, step_sums
 from featherloom.plans.settings import NetworkSettings
 from featherloom.session import release, seal
 from featherloom.sources.models import load_model, save_model
@@ -119,12 +119,8 @@ class AutoencoderModel(Model, _Shared):
         """Adds the vector column; a projection, also for streaming DataFrames."""
         self._check(dataset.schema)
         settings = NetworkSettings(sizes=tuple(self.getLayers()), output="sigm")
-        rows = dataset.withColumn("features_", vector_to_array(self.getInputCol()))
-        inner = rows.select(
-            F.struct(*[F.col(c) for c in dataset.columns]).alias("row"), F.col("features_").alias("features")
-        )
-        scored = score(inner, self.weights, settings)
-        return scored.select("row.*", array_to_vector("predicted").alias(self.getOutputCol()))
+        encode = scoring.network(dataset.sparkSession, self.weights, settings)
+        return dataset.withColumn(self.getOutputCol(), array_to_vector(encode(vector_to_array(self.getInputCol()))))
 
     def save(self, spark: SparkSession, path: str) -> None:
         about = {"inputCol": self.getInputCol(), "outputCol": self.getOutputCol(), "kind": self.kind}

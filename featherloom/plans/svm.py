@@ -13,15 +13,21 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from featherloom.functions.seeded import Draw, hashed
 from featherloom.functions.vectors import margin
 from featherloom.operators.joins import keep_keys
-from featherloom.plans import blocks
+from featherloom.operators.splits import cell
+from featherloom.plans import blocks, scoring
 from featherloom.plans.settings import SvmSettings
 from featherloom.plans.sparse_ae import Spread
 from featherloom.session import check_state_size, release, seal, sealed, sealed_rows
 from featherloom.sources.models import load_model, save_model
 
 
+#: Weights that may stand in a plan as one constant.
+LITERAL_WEIGHTS = 4096
+
+
 def classify(score: Column, threshold: float | None) -> Column:
     """1.0 above the threshold, else 0.0; without a threshold the raw margin."""
     if threshold is None:
@@ -50,6 +56,9 @@ class SvmModel:
         return SvmModel(self.weights, self.intercept, None)
 
     def margin(self, features: str = "features") -> Column:
+        """The margin as an expression; more than ``LITERAL_WEIGHTS`` weights are broadcast and kept out of the plan."""
+        if len(self.weights) > LITERAL_WEIGHTS:
+            return scoring.linear(SparkSession.active(), self.weights, self.intercept)(F.col(features).cast("array<double>"))
         # One constant, folded once; an array of literals would be a plan node per weight.
         weights = F.split(F.lit(" ".join(map(repr, self.weights.tolist()))), " ").cast("array<double>")
         return margin(weights, features, self.intercept)
@@ -165,19 +174,32 @@ def zero_weights(triples: DataFrame) -> DataFrame:
     return triples.select("col").distinct().withColumn("w", F.lit(0.0))
 
 
-def train_sparse(triples: DataFrame, labels: DataFrame, settings: SvmSettings) -> DataFrame:
-    """Weight table (col, w, moved) after ``settings.iterations`` full-batch steps.
+def train_sparse(triples: DataFrame, labels: DataFrame, settings: SvmSettings, draw: Draw | None = None) -> DataFrame:
+    """Weight table (col, w, moved) after ``settings.iterations`` steps.
 
-    ``moved`` is the squared change of the last step.
+    ``moved`` is the squared change of the last step.  With ``fraction`` below 1 a step takes the documents whose number
+    (``draw``, by default a hash with the seed) lies in a window of that width; windows follow one another around [0, 1),
+    so every document has its turn before any has its next.  Triples are written in ranges of that number, and a step
+    reads the row groups of its window.
     """
-    if settings.fraction != 1.0:
-        raise ValueError("the sparse layout trains on all labelled documents")
-    known = seal(labels.select("doc", "label"), "labels")
-    spread = Spread.of(keep_keys(sealed(triples, "triples"), known, "doc", ["col"]))
+    sampled = settings.fraction < 1.0
+    place = cell(draw or hashed(settings.seed), "doc")
+    known = labels.select("doc", "label")
+    known = seal(known.withColumn("_u", place) if sampled else known, "labels")
+    kept = keep_keys(sealed(triples, "triples"), known, "doc", ["col"])
+    if sampled:
+        tasks = int(triples.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+        ranged = kept.withColumn("_u", place).repartitionByRange(tasks, "_u", "doc", F.xxhash64("col"))
+        kept = seal(ranged.sortWithinPartitions("_u"), "triples")
+    spread = Spread.of(kept)
     weights = seal(zero_weights(spread.rows), "svm")
     for t in range(1, settings.iterations + 1):
         rate = settings.step / float(np.sqrt(t))
-        moved, pull = sparse_step(spread, known, weights, rate, settings.reg)
+        part, drawn = spread, known
+        if sampled:
+            inside = window(t, settings.fraction)
+            part, drawn = spread.where(inside), known.where(inside).drop("_u")
+        moved, pull = sparse_step(part, drawn, weights, rate, settings.reg)
         both = seal(moved.select("col", "w", ((F.col("w") - F.col("old")) ** 2).alias("moved")), "svm")
         change, size = both.agg(F.sqrt(F.sum("moved")), F.sqrt(F.sum(F.col("w") ** 2))).first()
         release(weights)
@@ -188,6 +210,18 @@ def train_sparse(triples: DataFrame, labels: DataFrame, settings: SvmSettings) -
     return weights
 
 
+def window_bounds(t: int, fraction: float) -> tuple[float, float]:
+    """Where the window of step ``t`` begins in [0, 1) and where it ends (above 1: it goes on from 0)."""
+    low = ((t - 1) * fraction) % 1.0
+    return low, low + fraction
+
+
+def window(t: int, fraction: float) -> Column:
+    low, high = window_bounds(t, fraction)
+    u = F.col("_u")
+    return (u >= low) & (u < high) if high <= 1.0 else (u >= low) | (u < high - 1.0)
+
+
 def predict_sparse(triples: DataFrame, weights: DataFrame, threshold: float | None = 0.0) -> DataFrame:
     """(doc, margin, predicted); words without a weight count as 0."""
     spread = Spread.of(triples)

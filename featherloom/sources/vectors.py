@@ -55,8 +55,10 @@ def _entries(text: Column, separator: str, base: int) -> Column:
 
 
 def read_entries(spark: SparkSession, path: str, base: int = 1, keep_empty: bool = False) -> DataFrame:
-    """Unlabelled ``i:v i:v`` rows; a blank line is an empty vector, dropped by default."""
-    rows = spark.read.text(path).select(_entries(F.col("value"), " +", base).alias("entries"))
+    """Unlabelled ``i:v i:v`` rows without ``#`` lines; a blank line is an empty vector, dropped by default."""
+    lines = spark.read.text(path)
+    lines = lines.where(~F.ltrim("value").startswith("#")) if keep_empty else usable_lines(lines)
+    rows = lines.select(_entries(F.col("value"), " +", base).alias("entries"))
     return rows if keep_empty else rows.where(F.size("entries") > 0)
 
 
@@ -68,8 +70,8 @@ def write_entries(rows: DataFrame, path: str, entries: str = "entries", base: in
 
 
 def read_labelled_text(spark: SparkSession, path: str) -> DataFrame:
-    """Lines ``L,f1 f2 ...``."""
-    return spark.read.text(path).select(
+    """Lines ``L,f1 f2 ...``; blank and ``#`` lines are skipped, as in the readers below."""
+    return usable_lines(spark.read.text(path)).select(
         F.split_part("value", F.lit(","), F.lit(1)).cast("double").alias("label"),
         _numbers(F.split_part("value", F.lit(","), F.lit(2)), " +").alias("features"),
     )
@@ -82,7 +84,7 @@ def write_labelled_text(rows: DataFrame, path: str, label: str = "label", featur
 
 def read_spaced(spark: SparkSession, path: str) -> DataFrame:
     """Lines ``label f1 f2 ...`` separated by spaces."""
-    numbers = spark.read.text(path).select(_numbers(F.col("value"), " +").alias("n"))
+    numbers = usable_lines(spark.read.text(path)).select(_numbers(F.col("value"), " +").alias("n"))
     return numbers.select(
         F.element_at("n", 1).alias("label"), F.slice("n", F.lit(2), F.size("n") - 1).alias("features")
     )
@@ -90,7 +92,7 @@ def read_spaced(spark: SparkSession, path: str) -> DataFrame:
 
 def read_tabbed(spark: SparkSession, path: str) -> DataFrame:
     """Lines ``id y x1 ... xn`` separated by tabs; the id is read as an integer, never through a double."""
-    numbers = spark.read.text(path).select(
+    numbers = usable_lines(spark.read.text(path)).select(
         F.trim(F.get(F.split(F.trim("value"), "\t"), F.lit(0))).cast("bigint").alias("id"), _numbers(F.col("value"), "\t").alias("n")
     )
     return numbers.select(
