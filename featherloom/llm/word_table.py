@@ -48,8 +48,11 @@ def word_ids(bpe: RaggedBpe, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def gathered(flat: np.ndarray, first: np.ndarray, sizes: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     """The runs of ``flat`` that ``chosen`` names, one after another."""
     lengths = sizes[chosen]
-    before = np.cumsum(lengths) - lengths
-    return flat[np.repeat(first[chosen] - before, lengths) + np.arange(lengths.sum())]
+    total = int(lengths.sum())
+    kind = np.int32 if max(total, len(flat)) < 2**31 else np.int64
+    place = np.repeat((first[chosen] - (np.cumsum(lengths) - lengths)).astype(kind), lengths)
+    place += np.arange(total, dtype=kind)
+    return flat[place]
 
 
 class Generation(dict):
@@ -118,17 +121,17 @@ class WordTable:
         """Ids of all texts, each followed by the end id, and where each begins (one more than texts)."""
         split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
         coded = split.flatten().dictionary_encode()
-        number = self.numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
+        known = self.numbers(coded.dictionary.to_pylist())
         flat, first, sizes = self.young.arrays()
-        plain = gathered(flat, first, sizes, number)
+        # The end is one more word, put after the words of each text.
+        flat, first, sizes = np.append(flat, np.int32(END_ID)), np.append(first, len(flat)), np.append(sizes, 1)
+        ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False)) + np.arange(len(texts))
+        number = np.full(len(coded) + len(texts), len(sizes) - 1, np.int64)
+        inside = np.ones(len(number), bool)
+        inside[ends] = False
+        number[inside] = known[coded.indices.to_numpy(zero_copy_only=False)]
         before = np.concatenate([[0], np.cumsum(sizes[number])])
-        ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
-        offsets = np.concatenate([[0], before[ends]]) + np.arange(len(texts) + 1)
-        out = np.full(offsets[-1], END_ID, np.uint32)
-        keep = np.ones(offsets[-1], bool)
-        keep[offsets[1:] - 1] = False
-        out[keep] = plain
-        return out, offsets
+        return gathered(flat, first, sizes, number).view(np.uint32), before[np.concatenate([[0], ends + 1])]
 
 
 _TABLES: dict[str, WordTable] = {}
