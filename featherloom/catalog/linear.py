@@ -198,8 +198,8 @@ def words_score_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 WORD_STEPS, WORD_SEED = 4, 43
 
 
-def _accuracy_sql(words: str, source: str) -> str:
-    """Hinge steps (step 1, reg 0.01) on nine tenths of the labelled documents, errors on the rest."""
+def _accuracy_sql(words: str, source: str, final: str | None = None) -> str:
+    """Hinge steps (step 1, reg 0.01) on nine tenths of the labelled documents, errors (or ``final``) on the rest."""
     drawn = draw_sql("doc_id", "0", WORD_SEED)
     text = f"""
 WITH {words}, labelled AS MATERIALIZED (SELECT doc_id AS doc, quality, 2.0 * quality - 1 AS s, {drawn} < 0.9 AS train FROM labels),
@@ -224,8 +224,9 @@ w{t} AS MATERIALIZED (
   FROM labelled l LEFT JOIN {source} t ON t.doc = l.doc LEFT JOIN w{WORD_STEPS} w ON w.col = t.col
   WHERE NOT l.train GROUP BY l.doc
 )
-SELECT round(avg(CAST((label = 1) <> (margin > 0) AS INTEGER)), 6) + 0.0 AS error_rate,
-       round(1 - avg(CAST((label = 1) <> (margin > 0) AS INTEGER)), 6) + 0.0 AS accuracy, count(*) AS rows FROM scored"""
+"""
+        + (final or """SELECT round(avg(CAST((label = 1) <> (margin > 0) AS INTEGER)), 6) + 0.0 AS error_rate,
+       round(1 - avg(CAST((label = 1) <> (margin > 0) AS INTEGER)), 6) + 0.0 AS accuracy, count(*) AS rows FROM scored""")
     )
 
 
@@ -250,6 +251,32 @@ def raw_words_svm_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _words_accuracy(spark, sf_dir, False)
 
 
+def _words_margins(spark: SparkSession, sf_dir: str, softmaxed: bool) -> DataFrame:
+    found = experiments.words_margins(
+        labelled_terms(spark, sf_dir),
+        quality(spark, sf_dir),
+        SvmSettings(iterations=WORD_STEPS, tolerance=0.0),
+        softmaxed=softmaxed,
+        draw=seeded.modular(WORD_SEED),
+    )
+    return found.select("doc", r6("margin").alias("margin"))
+
+
+MARGIN_OF_EACH = "SELECT doc, round(margin, 6) + 0.0 AS margin FROM scored"
+
+
+@query(_accuracy_sql(SOFTMAXED, "soft", MARGIN_OF_EACH))
+def words_svm_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Margin of every held-out document under the model of softmaxed words."""
+    return _words_margins(spark, sf_dir, True)
+
+
+@query(_accuracy_sql(TERMS, "terms", MARGIN_OF_EACH))
+def raw_words_svm_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Margin of every held-out document under the model of raw counts."""
+    return _words_margins(spark, sf_dir, False)
+
+
 @query()
 def encoded_svm_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoder = SparseAutoencoderSettings(hidden=8, learning_rate=0.1, iterations=2, decay_in=0.01, decay_out=0.01)

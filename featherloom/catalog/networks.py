@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from featherloom.catalog.registry import CELLS, query, r6, vectors
 from featherloom.operators import metrics
 from featherloom.plans import blocks, feedforward, local_descent
-from featherloom.plans.estimator import Autoencoder
+from featherloom.plans.estimator import Autoencoder, AutoencoderModel
 from featherloom.plans.settings import NetworkSettings
 from featherloom.sources.models import weight_table
 
@@ -239,6 +239,17 @@ def autoencoder_lbfgs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.transform(rows).select("id", F.posexplode(vector_to_array("code")).alias("pos", "value"))
 
 
+@query(FORWARD + "SELECT id, h AS pos, round(a, 6) + 0.0 AS value FROM hidden")
+def autoencoder_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code column of the estimator's model with fixed weights."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rows = vectors(spark, sf_dir).select("id", array_to_vector("features").alias("x"))
+    model = AutoencoderModel([64, 4], rational_weights((64, 4)), inputCol="x", outputCol="code")
+    cells = model.transform(rows).select("id", F.posexplode(vector_to_array("code")).alias("pos", "value"))
+    return cells.select("id", F.col("pos").cast("bigint").alias("pos"), r6("value").alias("value"))
+
+
 def _local_sql(rounds: int, rate: float, momentum: float, dealt: int = 8, batch: int = 4) -> str:
     """Rounds of ``dealt // batch`` updates in each replica, from the rational weights."""
     updates = dealt // batch

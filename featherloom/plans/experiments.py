@@ -54,7 +54,21 @@ def words_accuracy(
     seed: int = 43,
     draw: Draw | None = None,
 ) -> DataFrame:
-    """Words, softmaxed or raw, straight into the SVM; error rate of the held-out documents.
+    """Words, softmaxed or raw, straight into the SVM; error rate of the held-out documents."""
+    scored = words_margins(triples, labels, classifier, softmaxed, weights, seed, draw)
+    return error_rate(scored.withColumn("predicted", svm.classify(F.col("margin"), 0.0)))
+
+
+def words_margins(
+    triples: DataFrame,
+    labels: DataFrame,
+    classifier: SvmSettings,
+    softmaxed: bool = True,
+    weights: tuple[float, float] = (0.9, 0.1),
+    seed: int = 43,
+    draw: Draw | None = None,
+) -> DataFrame:
+    """(doc, label, margin) of the held-out documents under an SVM of the others' words.
 
     ``draw`` deals the documents to the two parts (default: hashes with ``seed``).
     """
@@ -67,4 +81,4 @@ def words_accuracy(
     held_out = keep_keys(words, test_labels, "doc", ["col"])
     # From the labels: a document without words has margin 0.
     scored = test_labels.join(svm.predict_sparse(held_out, learned, None), "doc", "left")
-    return error_rate(scored.withColumn("predicted", svm.classify(F.coalesce("margin", F.lit(0.0)), 0.0)))
+    return scored.select("doc", "label", F.coalesce("margin", F.lit(0.0)).alias("margin"))

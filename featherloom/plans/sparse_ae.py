@@ -359,9 +359,13 @@ class SparseAutoencoderModel:
 
 
 def train(
-    triples: DataFrame, settings: SparseAutoencoderSettings, batches: int = 1
+    triples: DataFrame,
+    settings: SparseAutoencoderSettings,
+    batches: int = 1,
+    table: DataFrame | None = None,
+    hidden_bias: np.ndarray | None = None,
 ) -> SparseAutoencoderModel:
-    """``iterations`` passes of ``batches`` updates each.
+    """``iterations`` passes of ``batches`` updates each, from random weights or the given ones.
 
     The triples are written once, in ranges of (batch, document hash) and sorted, so an
     update reads the row groups of its batch; each new weight table is
@@ -379,8 +383,9 @@ def train(
         ranged = thin.withColumn("_batch", number).repartitionByRange(tasks, "_batch", F.xxhash64("doc", "col"))
         thin = seal(ranged.sortWithinPartitions("_batch"), "triples")
     whole = Spread.of(thin)
-    table = seal(initial_weight_table(whole.rows, settings), "weights")
-    bias = initial_hidden_bias(settings)
+    start = initial_weight_table(whole.rows, settings) if table is None else table
+    table = seal(start, "weights")
+    bias = initial_hidden_bias(settings) if hidden_bias is None else hidden_bias
     model = SparseAutoencoderModel(settings, table, bias)
     if not fits_broadcast(table, settings.hidden + 1):
         return _train_sliced(model, thin, batches)
