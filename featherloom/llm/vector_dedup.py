@@ -2,7 +2,7 @@
 
 Equal vectors of a label are one class.  The classes of a label are dealt by hash to tiles of bounded size; every pair
 of tiles meets in one task.  There both tiles are normalised and quantised to int8; the product of the quantised tiles
-is exact in float32 (at most 64 Ki components), and for each vector the norm of its quantisation error is known:
+is exact in float32 up to 1040 components (beyond them what float32 may lose is added to the bound), and for each vector the norm of its quantisation error is known:
 
     |x.y - x'.y'| <= |x - x'| |y| + |x'| |y - y'|
 
@@ -39,6 +39,15 @@ class VectorSettings:
 #: Allowance for the rounding of float32 and float64 sums, added to each bound.
 ROUNDING = 1e-5
 
+#: Components whose int8 products add up below 2**24, so exactly in float32.
+EXACT_WIDTH = 2**24 // 127**2
+
+
+def allowance(width: int) -> float:
+    """Rounding to allow for in a product of ``width`` components: a float32 sum of that many terms may lose width * 2**-24."""
+    return ROUNDING + (0.0 if width <= EXACT_WIDTH else 1.1 * width * 2.0**-24)
+
+
 #: Rows of a block of the product inside a task.
 BLOCK = 1024
 
@@ -72,7 +81,7 @@ def tile_links(left: np.ndarray, right: np.ndarray, same: bool, least: float, si
         end = min(begin + BLOCK, len(left))
         about = (ql[begin:end] @ qr.T) * (sl[begin:end, None] * sr[None, :])
         bound = el[begin:end, None] + nl[begin:end, None] * er[None, :]
-        i, j = np.nonzero(about + bound >= least - ROUNDING)
+        i, j = np.nonzero(about + bound >= least - allowance(left.shape[1]))
         i += begin
         if same:
             upper = i < j

@@ -199,3 +199,14 @@ def test_bounds_hold():
     about = (q @ q.T) * scale[:, None] * scale[None, :]
     bound = error[:, None] + norm[:, None] * error[None, :] + vector_dedup.ROUNDING
     assert (np.abs(unit @ unit.T - about) <= bound).all()
+
+
+def test_wide_vectors_stay_inside_their_allowance():
+    """Worst case of the float32 sum: all components large and of one sign."""
+    assert vector_dedup.allowance(64) == vector_dedup.ROUNDING
+    for width in (1040, 1041, 20_000, 100_000):
+        q = np.full((2, width), 127, np.float32)
+        q[1, ::3] = 126
+        exact = float(q[0].astype(np.float64) @ q[1].astype(np.float64))
+        size = np.linalg.norm(q[0].astype(np.float64)) * np.linalg.norm(q[1].astype(np.float64))
+        assert abs(float(q[0] @ q[1]) - exact) / size <= vector_dedup.allowance(width)
