@@ -67,14 +67,19 @@ def test_every_operation_equals_the_broadcast_form(monkeypatch, triples, table,
 
     def results():
         done = sparse_ae.step(spread, table, BIAS, SETTINGS)
-        return {
-            "z": (sparse_ae.project(triples, table, BIAS), ["doc"], ["z"]),
-            "hidden": (sparse_ae.encode(triples, table, BIAS), ["doc"], ["hidden"]),
-            "out": (sparse_ae.decode(triples, table, BIAS), ["doc", "col"], ["value", "out"]),
-            "given": (sparse_ae.decode_hidden(hidden, triples, table, 3), ["doc", "col"], ["value", "out"]),
+        found = {
             "pass": (sparse_ae.document_pass(spread, table, BIAS), ["doc"], ["hidden", "hidden_error", "loss"]),
             "step": (done.table, ["col"], ["w_in", "w_out", "b_out"]),
-        }, done
+        }
+        if limit == LIMITS[0]:
+            found |= {
+                "z": (sparse_ae.project(triples, table, BIAS), ["doc"], ["z"]),
+                "hidden": (sparse_ae.encode(triples, table, BIAS), ["doc"], ["hidden"]),
+                "out": (sparse_ae.decode(triples, table, BIAS), ["doc", "col"], ["value", "out"]),
+            }
+        else:
+            found["given"] = sparse_ae.decode_hidden(hidden, triples, table, 3), ["doc", "col"], ["value", "out"]
+        return found, done
 
     plain, whole = results()
     plain = {k: (seal(d, "plain"), *rest) for k, (d, *rest) in plain.items()}
