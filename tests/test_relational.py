@@ -198,3 +198,23 @@ def test_label_helpers(spark):
     rows = spark.createDataFrame([(1, 1), (2, 2), (3, 5)], "doc INT, label INT")
     shifted = rows.withColumn("label", joins.shifted_label("label"))
     assert [r["doc"] for r in metrics.illegal_labels(shifted).collect()] == [3]
+
+
+def test_words_are_counted_without_a_shuffle_and_repeated_ids_together(spark):
+    texts = [(1, "b a  b\ta"), (2, " "), (3, None), (4, "b"), (4, "b c"), (5, "a"), (None, "x"), (None, "x y")]
+    rows = spark.createDataFrame(texts, "doc_id INT, text STRING")
+    got = {(r["doc"], r["col"]): r["value"] for r in documents.term_triples(rows).collect()}
+    assert got == {(1, "a"): 2.0, (1, "b"): 2.0, (4, "b"): 2.0, (4, "c"): 1.0, (5, "a"): 1.0, (None, "x"): 2.0, (None, "y"): 1.0}
+    once = documents.term_triples(rows.where("doc_id < 4"))
+    assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("stable", [False, True])
+def test_softmax_of_rows_equals_that_of_triples(spark, stable):
+    texts = [(1, "b a b"), (2, ""), (3, "w " * 800 + "v"), (4, "b"), (4, "b c"), (None, "x")]
+    rows = spark.createDataFrame(texts, "doc_id INT, text STRING")
+    found = scaling.softmaxed_terms(*documents.term_rows(rows), stable)
+    wanted = scaling.document_softmax(documents.term_triples(rows), stable)
+    got, expected = ({(r["doc"], r["col"]): r["value"] for r in df.collect()} for df in (found, wanted))
+    assert got.keys() == expected.keys() and ((3, "v") in got) == stable
+    assert all(got[k] == pytest.approx(expected[k], abs=1e-12) for k in got)
