@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +19,9 @@ WHITESPACE = "[ \\t\\n\\r]+"
 #: Columns covered by one part of a grouped document.
 PART_WIDTH = 4096
 
+#: Texts whose words are held at once.
+TEXTS_AT_ONCE = 256
+
 
 def tokens(lines: DataFrame, text: str = "value", separator: str = TAB, keep: list[str] | None = None) -> DataFrame:
     """One row per token; the separator is a regular expression."""
@@ -29,24 +34,32 @@ def word_count(lines: DataFrame, text: str = "value", separator: str = TAB) -> D
 
 
 def _word_arrays(documents: DataFrame, doc: str, text: str, separator: str) -> DataFrame:
-    """(doc, words): the sorted (col, value) of each row, counted inside it; NULL for a row without a word.
+    """(doc, words): the (col, value) of each row, counted inside it."""
+    kind = T.StructType([T.StructField("col", T.StringType()), T.StructField("value", T.DoubleType())])
+    schema = T.StructType([T.StructField("doc", documents.schema[doc].dataType), T.StructField("words", T.ArrayType(kind))])
 
-    Equal words lie side by side once sorted: a count is the distance to where the next word begins.
-    """
-    split = F.sort_array(F.array_remove(F.split(F.col(text), separator), ""))
-    rows = documents.select(F.col(doc).alias("doc"), split.alias("_s"))
-    begins = F.filter(F.sequence(F.lit(0), F.size("_s") - 1), lambda i: (i == 0) | (F.get("_s", i) != F.get("_s", i - 1)))
-    rows = rows.select("doc", "_s", F.when(F.size("_s") > 0, begins).alias("_at"))
-    count = lambda i, k: F.coalesce(F.get("_at", k + 1), F.size("_s")) - i
-    words = F.transform("_at", lambda i, k: F.struct(F.get("_s", i).alias("col"), count(i, k).cast("double").alias("value")))
-    return rows.select("doc", words.alias("words"))
+    def count(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch.slice(k, TEXTS_AT_ONCE)
+                split = pc.split_pattern_regex(part.column(1), separator)
+                words = pa.table({"row": pc.list_parent_indices(split), "col": pc.list_flatten(split)})
+                words = words.filter(pc.not_equal(words["col"], ""))
+                found = words.group_by(["row", "col"], use_threads=False).aggregate([([], "count_all")]).sort_by("row").combine_chunks()
+                sizes = np.bincount(found["row"].to_numpy(), minlength=part.num_rows)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+                cols, values = (found[c].combine_chunks() for c in ("col", "count_all"))
+                cells = pa.StructArray.from_arrays([cols.cast(pa.string()), values.cast(pa.float64())], names=["col", "value"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, cells)], names=["doc", "words"])
+
+    return documents.select(doc, text).mapInArrow(count, schema)
 
 
 def unrolled(rows: DataFrame, *keep: str) -> DataFrame:
     """(doc, ..., col, value) of (doc, words).
 
-    The outer form with a condition behind it: Spark would push one on ``words`` down to the texts, and count them anew
-    for each word.
+    The outer form with a condition behind it: one on ``words`` would be pushed below what is computed from them, and
+    that would be computed twice.
     """
     return rows.select("doc", *keep, F.inline_outer("words")).where(F.col("col").isNotNull())
 
