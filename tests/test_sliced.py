@@ -123,3 +123,19 @@ def test_no_documents(spark, triples, table):
     slices = sliced_ae.cut(table, 3, LIMITS[0])
     docs = sliced_ae.documents(triples.where(F.col("doc") < 0), slices)
     assert sliced_ae.step(docs, slices, BIAS, SETTINGS) is None
+
+
+def test_a_step_on_slices_equals_the_one_by_frequent_words(monkeypatch, triples, table):
+    """Narrow layers join rare words' weights instead of working off a job a tile; both give the same weights."""
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 2950)
+    spread = sparse_ae.Spread.of(triples)
+    assert not sparse_ae.in_slices(table, 3) and 0 < spread.frequent(30).count() <= 30
+    joined = sparse_ae.step(spread, table, BIAS, SETTINGS)
+    monkeypatch.setattr(sparse_ae, "SLICED_UNITS", 1)
+    assert sparse_ae.in_slices(table, 3)
+    sliced = sparse_ae.step(spread, table, BIAS, SETTINGS)
+    same(joined.table, sliced.table, ["col"], ["w_in", "w_out", "b_out"])
+    assert joined.hidden_bias == pytest.approx(sliced.hidden_bias, abs=1e-12)
+    # Blocks of columns, whose number grows with the vocabulary, are never taken.
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 1000)
+    assert not sparse_ae.in_slices(table, 3)
