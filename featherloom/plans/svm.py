@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 
 from featherloom.functions.seeded import Draw, hashed
 from featherloom.functions.vectors import margin
-from featherloom.operators.joins import keep_keys
+from featherloom.operators.joins import fits_broadcast, keep_keys
 from featherloom.operators.splits import cell
 from featherloom.plans import blocks, scoring
 from featherloom.plans.settings import SvmSettings
 from featherloom.plans.sparse_ae import Spread
-from featherloom.session import check_state_size, release, seal, sealed, sealed_rows
+from featherloom.session import check_state_size, part_of, release, seal, sealed, sealed_rows
 from featherloom.sources.models import load_model, save_model
 
 
@@ -155,13 +155,16 @@ def sparse_step(
     """(col, w, old) after one step over all labelled documents, and the table it reads.
 
     The pull of each document on its words, -sign inside the margin and 0 outside,
-    is written out: the gradient and the document count both need it.
+    is written out: the gradient and the document count both need it.  Documents without a
+    pull add nothing; the others are broadcast where they fit, and no cell moves for them.
     """
     sign = 2.0 * require_binary("label") - 1.0
     scored = labels.join(sparse_margins(spread, weights), "doc")
     pull = seal(scored.select("doc", F.when(sign * F.col("margin") < 1.0, -sign).otherwise(0.0).alias("pull")), "pull")
     n = max(sealed_rows(pull), 1)
-    cells = spread.with_documents(spread.rows, pull)
+    active = part_of(pull, F.col("pull") != 0)
+    small = fits_broadcast(active, 1)
+    cells = spread.rows.join(F.broadcast(active), "doc") if small else spread.with_documents(spread.rows, active)
     gradient = cells.groupBy("col").agg((F.sum(F.col("pull") * F.col("value"))).alias("g"))
     shrunk = F.col("w") * (1.0 - rate * reg)
     moved = weights.join(gradient, "col", "left").select(
