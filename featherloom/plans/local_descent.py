@@ -6,13 +6,14 @@ learned from.  Sums per weight, divided by the rows, are the next common weights
 the number of jobs does not depend on the number of updates.
 
 A replica's rows are streamed through its task in order, so it may have any number of them.  In memory are the private
-weights: a whole network, or of a sparse autoencoder the columns that the replica's documents hold.
+weights: a whole network, or of a sparse autoencoder the columns that the replica's documents hold.  Autoencoder
+replicas that are read together take their steps together, and a task hands on the sums of all its replicas.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +21,18 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featherloom.operators.joins import fits_broadcast
+from featherloom.operators import joins
+from featherloom.operators.joins import HotKeys, count_keys, fits_broadcast
 from featherloom.plans import blocks, feedforward, sparse_ae
 from featherloom.plans.feedforward import Weights
 from featherloom.plans.settings import NetworkSettings, SparseAutoencoderSettings
 from featherloom.session import check_state_size, part_of, release, seal
 
-#: Rows of learned weights handed on at once.
-OUT_ROWS = 1024
+#: Cells of documents, at least, whose columns are looked up together.
+LOOKUP_CELLS = 1 << 20
+
+#: Bytes of private weights that are updated or handed on together.
+BLOCK_BYTES = 16 * 1024 * 1024
 
 
 def dealt(key: str, replicas: int, seed: int) -> Column:
@@ -74,127 +79,229 @@ def weight_rows(touched: DataFrame, table: DataFrame) -> DataFrame:
     )
 
 
-@dataclass
-class Private:
-    """A replica's copy of the weights, and how many of its documents have changed each column."""
+@dataclass(frozen=True)
+class Common:
+    """Weights that every replica starts from: one row (w_in, w_out, b_out) of ``w`` for each of ``cols``, and the hidden bias."""
 
     cols: pa.Array
-    w_in: np.ndarray
-    w_out: np.ndarray
-    b_out: np.ndarray
+    w: np.ndarray
     bias: np.ndarray
-    met: np.ndarray = field(init=False)
-    docs: int = 0
-    loss: float = 0.0
 
-    def __post_init__(self) -> None:
-        self.met = np.zeros(len(self.cols), np.int64)
 
-    def copy(self) -> Private:
-        return Private(self.cols, self.w_in.copy(), self.w_out.copy(), self.b_out.copy(), self.bias.copy())
+@dataclass
+class Open:
+    """A replica whose documents may go on: its private weights and how many of its documents have changed each column."""
+
+    number: int
+    codes: np.ndarray
+    w: np.ndarray
+    met: np.ndarray
+    bias: np.ndarray
+    docs: int
+    loss: float
+
+
+class Walk:
+    """The replicas of one task, each with private weights of the columns that its documents hold.
+
+    Replicas don't depend on each other, so those that are read together take their steps together: all first documents,
+    then all second ones.  What they have learned is added up in the task; only the replica read last stays open.
 
-    def back_to(self, start: Private) -> None:
-        """The starting weights again; only columns that have moved are copied."""
-        moved = np.flatnonzero(self.met)
-        self.w_in[moved], self.w_out[moved], self.b_out[moved] = start.w_in[moved], start.w_out[moved], start.b_out[moved]
-        self.bias, self.docs, self.loss = start.bias.copy(), 0, 0.0
-        self.met[moved] = 0
+    A column's code is its place in ``common``, or else follows these by its place in ``names``.
+    """
 
-    def learn(self, at: np.ndarray, value: np.ndarray, s: SparseAutoencoderSettings) -> None:
-        """One update from one document, on its own columns."""
-        w_in, w_out, b_out = self.w_in[at], self.w_out[at], self.b_out[at]
-        hidden = blocks.sigmoid(value @ w_in + self.bias)
-        out = blocks.sigmoid(w_out @ hidden + b_out)
+    def __init__(self, common: Common, settings: SparseAutoencoderSettings) -> None:
+        self.common, self.settings = common, settings
+        self.known, self.width = len(common.cols), settings.hidden
+        self.at_once = max(1, BLOCK_BYTES // (8 * (2 * self.width + 1)))
+        self.names = common.cols.slice(0, 0)
+        self.open: Open | None = None
+        self.sums, self.n = np.zeros((self.known, 2 * self.width + 1)), np.zeros(self.known)
+        self.bias, self.loss, self.docs = np.zeros(self.width), 0.0, 0
+
+    def read(self, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Rows in the order of :func:`descend`, worked off in blocks; what is learned of columns not in ``common``."""
+        replica, kind = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+        sizes = pc.list_value_length(rows.column(4)).to_numpy()
+        codes = self._coded(rows.column(4).flatten())
+        value = rows.column(5).flatten().to_numpy()
+        given = rows.column(6).flatten().to_numpy().reshape(-1, 2 * self.width + 1)
+        # Cells, values and given weights before each row.
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        values = np.concatenate([[0], np.cumsum(np.where(kind == 1, sizes, 0))])
+        weights = np.concatenate([[0], np.cumsum(kind == 0)])
+        a = 0
+        while a < len(sizes):
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] + self.at_once, "right")) - 1)
+            yield from self._block(
+                replica[a:b], kind[a:b], sizes[a:b], codes[ends[a] : ends[b]], value[values[a] : values[b]], given[weights[a] : weights[b]]
+            )
+            a = b
+
+    def _coded(self, cols: pa.Array) -> np.ndarray:
+        """Codes of the columns; the open replica's codes are brought up to the new names."""
+        other = np.empty(0, np.int64) if self.open is None else np.flatnonzero(self.open.codes >= self.known)
+        if len(other):
+            cols = pa.concat_arrays([self.names.take(pa.array(self.open.codes[other] - self.known)), cols])
+        found = cols.dictionary_encode()
+        self.names = found.dictionary
+        place = pc.index_in(self.names, value_set=self.common.cols.cast(self.names.type))
+        place = place.fill_null(-1).to_numpy().astype(np.int64)
+        place = np.where(place < 0, self.known + np.arange(len(place)), place)
+        codes = place[found.indices.to_numpy()]
+        if len(other):
+            self.open.codes[other] = codes[: len(other)]
+        return codes[len(other) :]
+
+    def _block(
+        self, replica: np.ndarray, kind: np.ndarray, sizes: np.ndarray, codes: np.ndarray, value: np.ndarray, given: np.ndarray
+    ) -> Iterator[pa.RecordBatch]:
+        """Rows of one or more replicas: weights given to them (kind 0) and documents (kind 1)."""
+        if self.open is not None and self.open.number != replica[0]:
+            yield from self._close()
+        number = np.concatenate([[0], np.cumsum(np.diff(replica) != 0)])
+        last = int(number[-1])
+        span = self.known + len(self.names)
+        before = np.empty(0, np.int64) if self.open is None else self.open.codes
+        slots, at = np.unique(np.concatenate([before, np.repeat(number, sizes) * span + codes]), return_inverse=True)
+        owner, code = slots // span, slots % span
+        at, carried = at[len(before) :], at[: len(before)]
+        is_given = np.repeat(kind == 0, sizes)
+
+        w, met = np.empty((len(slots), 2 * self.width + 1)), np.zeros(len(slots), np.int64)
+        has = code < self.known
+        w[has] = self.common.w[code[has]]
+        bias, docs, loss = np.tile(self.common.bias, (last + 1, 1)), np.zeros(last + 1, np.int64), np.zeros(last + 1)
+        if self.open is not None:
+            w[carried], met[carried], has[carried] = self.open.w, self.open.met, True
+            bias[0], docs[0], loss[0] = self.open.bias, self.open.docs, self.open.loss
+        w[at[is_given]], has[at[is_given]] = given, True
+        if not has.all():
+            raise ValueError("a document holds a column without weights")
+
+        mine, lengths, at = number[kind == 1], sizes[kind == 1], at[~is_given]
+        step = np.arange(len(mine)) - np.searchsorted(mine, mine)
+        order = np.argsort(step, kind="stable")
+        begins = (np.cumsum(lengths) - lengths)[order]
+        mine, lengths = mine[order], lengths[order]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        cells = np.arange(ends[-1]) + np.repeat(begins - ends[:-1], lengths)
+        at, value = at[cells], value[cells]
+        a = 0
+        for b in np.cumsum(np.bincount(step)).tolist():
+            part = slice(ends[a], ends[b])
+            self._learn(w, bias, loss, at[part], value[part], mine[a:b], lengths[a:b])
+            met[at[part]] += 1
+            docs[mine[a:b]] += 1
+            a = b
+
+        done = owner < last
+        yield from self._add(code[done], w[done], met[done])
+        self._add_bias(bias[:last], docs[:last], loss[:last])
+        self.open = Open(int(replica[-1]), code[~done], w[~done], met[~done], bias[last], int(docs[last]), float(loss[last]))
+
+    def _learn(
+        self, w: np.ndarray, bias: np.ndarray, loss: np.ndarray, at: np.ndarray, value: np.ndarray, mine: np.ndarray, lengths: np.ndarray
+    ) -> None:
+        """One update of each replica in ``mine`` from one document, on its own columns."""
+        s, k = self.settings, self.width
+        starts = np.cumsum(lengths) - lengths
+        own = w[at]
+        w_in, w_out, b_out = own[:, :k], own[:, k:-1], own[:, -1]
+        hidden = blocks.sigmoid(np.add.reduceat(value[:, None] * w_in, starts) + bias[mine])
+        met_hidden = np.repeat(hidden, lengths, axis=0)
+        out = blocks.sigmoid(np.einsum("ij,ij->i", w_out, met_hidden) + b_out)
         error = (out - value) * out * (1.0 - out)
-        back = (error @ w_out) * hidden * (1.0 - hidden)
+        back = np.add.reduceat(error[:, None] * w_out, starts) * hidden * (1.0 - hidden)
         rate = s.learning_rate
-        self.w_in[at] = w_in - rate * (np.outer(value, back) + 2.0 * s.decay_in * w_in)
-        self.w_out[at] = w_out - rate * (np.outer(error, hidden) + 2.0 * s.decay_out * w_out)
-        self.b_out[at] = b_out - rate * (error + s.decay_bias * b_out)
-        self.bias = self.bias - rate * (back + 2.0 * s.decay_bias * self.bias)
-        self.met[at] += 1
-        self.docs += 1
-        self.loss += float(((out - value) ** 2).mean())
+        step = np.empty_like(own)
+        step[:, :k] = value[:, None] * np.repeat(back, lengths, axis=0) + 2.0 * s.decay_in * w_in
+        step[:, k:-1] = error[:, None] * met_hidden + 2.0 * s.decay_out * w_out
+        step[:, -1] = error + s.decay_bias * b_out
+        w[at] = own - rate * step
+        loss[mine] += np.add.reduceat((out - value) ** 2, starts) / lengths
+        bias[mine] -= rate * (back + 2.0 * s.decay_bias * bias[mine])
+
+    def _add(self, codes: np.ndarray, w: np.ndarray, met: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Changed weights of finished replicas, added up by column; those not in ``common`` are handed on."""
+        moved = np.flatnonzero(met)
+        if not len(moved):
+            return
+        moved = moved[np.argsort(codes[moved], kind="stable")]
+        found = codes[moved]
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(found) != 0]))
+        n = np.add.reduceat(met[moved], starts).astype(np.float64)
+        sums = np.add.reduceat(w[moved] * met[moved, None], starts)
+        found = found[starts]
+        known = int(np.searchsorted(found, self.known))
+        self.sums[found[:known]] += sums[:known]
+        self.n[found[:known]] += n[:known]
+        yield from self._told(self.names, found[known:] - self.known, sums[known:], n[known:])
+
+    def _add_bias(self, bias: np.ndarray, docs: np.ndarray, loss: np.ndarray) -> None:
+        self.bias += docs @ bias
+        self.docs += int(docs.sum())
+        self.loss += float(loss.sum())
+
+    def _close(self) -> Iterator[pa.RecordBatch]:
+        own, self.open = self.open, None
+        yield from self._add(own.codes, own.w, own.met)
+        self._add_bias(own.bias[None, :], np.array([own.docs]), np.array([own.loss]))
+
+    def _told(self, cols: pa.Array, places: np.ndarray, sums: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """(col, w_in, w_out, b_out, n) with mean weights."""
+        for a in range(0, len(places), self.at_once):
+            b = a + self.at_once
+            mean = sums[a:b] / n[a:b, None]
+            yield self._batch(cols.take(pa.array(places[a:b])), mean, n[a:b])
+
+    def _batch(self, cols: pa.Array, w: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        k = self.width
+        told = [cols, blocks.array_column(w[:, :k]), blocks.array_column(w[:, k:-1]), pa.array(w[:, -1]), pa.array(n)]
+        return pa.RecordBatch.from_arrays(told, names=["col", "w_in", "w_out", "b_out", "n"])
 
     def learned(self) -> Iterator[pa.RecordBatch]:
-        """(col, w_in, w_out, b_out, n) of the changed columns; the row without a column holds hidden bias and loss."""
-        moved = np.flatnonzero(self.met)
-        for k in range(0, len(moved), OUT_ROWS):
-            at = moved[k : k + OUT_ROWS]
-            told = [
-                self.cols.take(pa.array(at)),
-                blocks.array_column(self.w_in[at]),
-                blocks.array_column(self.w_out[at]),
-                pa.array(self.b_out[at]),
-                pa.array(self.met[at].astype(np.float64)),
-            ]
-            yield pa.RecordBatch.from_arrays(told, names=["col", "w_in", "w_out", "b_out", "n"])
+        """What is left to tell; the row without a column holds hidden bias and loss."""
+        if self.open is not None:
+            yield from self._close()
+        places = np.flatnonzero(self.n)
+        yield from self._told(self.common.cols, places, self.sums[places], self.n[places])
         if self.docs:
-            told = [
-                pa.nulls(1, self.cols.type),
-                blocks.array_column(self.bias[None, :]),
-                blocks.array_column(np.zeros((1, len(self.bias)))),
-                pa.array([self.loss / self.docs]),
-                pa.array([float(self.docs)]),
-            ]
-            yield pa.RecordBatch.from_arrays(told, names=["col", "w_in", "w_out", "b_out", "n"])
+            w = np.concatenate([self.bias, np.zeros(self.width), [self.loss]])[None, :] / self.docs
+            yield self._batch(pa.nulls(1, self.common.cols.type), w, np.array([float(self.docs)]))
 
 
-def descend(stream: DataFrame, start: Private | np.ndarray, settings: SparseAutoencoderSettings) -> DataFrame:
-    """(col, w_in, w_out, b_out, n) that every replica has learned from its documents.
+def descend(stream: DataFrame, start: Common, settings: SparseAutoencoderSettings) -> DataFrame:
+    """(col, w_in, w_out, b_out, n) that replicas have learned from their documents; a task's replicas are averaged.
 
-    ``start`` holds all weights, or the hidden bias alone when the stream brings each replica its own weights first.
+    Weights of columns that ``start`` doesn't hold come in the stream, to each replica its own and before its documents.
     """
     bound = stream.sparkSession.sparkContext.broadcast(start)
     kind = stream.schema["cols"].dataType.elementType.simpleString()
-    width = settings.hidden
-
-    def private(cols: list[pa.Array], weights: list[np.ndarray], bias: np.ndarray) -> Private:
-        w = np.concatenate(weights)
-        return Private(pa.concat_arrays(cols), w[:, :width].copy(), w[:, width:-1].copy(), w[:, -1].copy(), bias.copy())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = bound.value
-        whole = isinstance(common, Private)
-        own = common.copy() if whole else None
-        replica, cols, weights = None, [], []
+        walk = Walk(bound.value, settings)
+        waiting, cells = [], 0
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            numbers = batch.column(0).to_numpy()
-            for a, b in runs(numbers):
-                if numbers[a] != replica:
-                    if own is not None and own.docs:
-                        yield from own.learned()
-                    if whole:
-                        own.back_to(common)
-                    else:
-                        own, cols, weights = None, [], []
-                    replica = numbers[a]
-                part = batch.slice(a, b - a)
-                n = int((part.column(1).to_numpy() == 0).sum())
-                if n:
-                    cols.append(part.column(4).slice(0, n).flatten())
-                    weights.append(blocks.matrix(part.slice(0, n), "w"))
-                if n == b - a:
-                    continue
-                if own is None:
-                    own = private(cols, weights, common)
-                docs = part.slice(n)
-                at = pc.index_in(docs.column(4).flatten(), value_set=own.cols)
-                if at.null_count:
-                    raise ValueError("a document holds a column without weights")
-                at, value = at.to_numpy(), docs.column(5).flatten().to_numpy()
-                ends = np.cumsum(pc.list_value_length(docs.column(4)).to_numpy())
-                for begin, end in zip([0, *ends[:-1].tolist()], ends.tolist()):
-                    own.learn(at[begin:end], value[begin:end], settings)
-        if own is not None and own.docs:
-            yield from own.learned()
+            waiting.append(batch)
+            cells += len(batch.column(4).flatten())
+            if cells >= LOOKUP_CELLS:
+                yield from walk.read(_together(waiting))
+                waiting, cells = [], 0
+        if waiting:
+            yield from walk.read(_together(waiting))
+        yield from walk.learned()
 
     found = stream.repartition("replica").sortWithinPartitions("replica", "kind", "place", "doc")
     return found.mapInArrow(run, f"col {kind}, w_in array<double>, w_out array<double>, b_out double, n double")
 
 
+def _together(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
 def averaged(learned: DataFrame, width: int) -> DataFrame:
     """(col, w_in, w_out, b_out): weights of all replicas, each counting the documents that have changed it."""
     sums = sparse_ae.summed_arrays(
@@ -204,11 +311,23 @@ def averaged(learned: DataFrame, width: int) -> DataFrame:
     return sums.withColumns({**whole, "b_out": F.col("b_out") / F.col("n")}).drop("n")
 
 
-def _collected(table: DataFrame, bias: np.ndarray) -> Private:
+def _collected(table: DataFrame, bias: np.ndarray) -> Common:
     """A weight table small enough to broadcast, as arrays."""
-    rows = table.select("col", "w_in", "w_out", "b_out").toArrow().combine_chunks().to_batches()[0]
-    cells = [blocks.matrix(rows, name) for name in ("w_in", "w_out")]
-    return Private(rows.column(0), *cells, blocks.vector(rows, "b_out").copy(), bias)
+    found = table.select("col", F.concat("w_in", "w_out", F.array("b_out")).alias("w")).toArrow().combine_chunks()
+    if not found.num_rows:
+        return Common(pa.array([], found.schema.field("col").type), np.empty((0, 2 * len(bias) + 1)), bias)
+    rows = found.to_batches()[0]
+    return Common(rows.column(0), blocks.matrix(rows, "w"), bias)
+
+
+def _parted(cells: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """(col) of the most frequent columns, whose weights fit a broadcast, and (replica, col, doc) of all others."""
+    counts = seal(count_keys(cells, "col"), "columns")
+    spread = sparse_ae.Spread(cells, HotKeys("col"), HotKeys("doc"), counts)
+    near = seal(spread.frequent(joins.BROADCAST_BYTES // (8 * (2 * width + 1) + 64)), "frequent")
+    release(counts)
+    others = cells.join(F.broadcast(near), "col", "left_anti")
+    return near, seal(others.groupBy("replica", "col").agg(F.min("doc").alias("doc")), "touched")
 
 
 def train_sparse(
@@ -226,8 +345,8 @@ def train_sparse(
     by default both are hashes.  A weight is the mean over the replicas that changed it, counted by the documents they
     did it with; ``losses`` holds the mean document loss of each round, met before the updates.
 
-    Weights that fit a broadcast go to the tasks that way, and the documents move once a round.  Wider ones travel with
-    the documents: each replica is sent the columns it needs.
+    Weights that fit a broadcast go to the tasks that way, and the documents move once a round.  Of wider ones the most
+    frequent columns' do; others travel with the documents: each replica is sent those it needs.
     """
     dealing = dealt("doc", replicas, settings.seed) if replica is None else replica
     places = F.xxhash64("doc", F.lit(settings.seed + 1)) if order is None else order
@@ -237,16 +356,16 @@ def train_sparse(
     current = seal(sparse_ae.initial_weight_table(cells, settings), "weights") if not given else table
     bias = sparse_ae.initial_hidden_bias(settings) if hidden_bias is None else hidden_bias
     width = settings.hidden
-    touched = None
+    near = touched = None
     model = sparse_ae.SparseAutoencoderModel(settings, current, bias)
     for turn in range(settings.iterations):
         if fits_broadcast(current, 2 * width + 1):
             learned = descend(rows, _collected(current, bias), settings)
         else:
             if touched is None:
-                own = cells.groupBy("replica", "col").agg(F.min("doc").alias("doc"))
-                touched = seal(own, "touched")
-            learned = descend(rows.unionByName(weight_rows(touched, current)), bias, settings)
+                near, touched = _parted(cells, width)
+            shared = _collected(current.join(F.broadcast(near), "col", "left_semi"), bias)
+            learned = descend(rows.unionByName(weight_rows(touched, current)), shared, settings)
         means = averaged(learned, width)
         old = current.select("col", *[F.col(c).alias(f"_{c}") for c in ("w_in", "w_out", "b_out")])
         kept = [F.coalesce(c, f"_{c}").alias(c) for c in ("w_in", "w_out", "b_out")]
@@ -259,8 +378,9 @@ def train_sparse(
             bias = np.array(common["w_in"])
             model.losses.append(common["b_out"])
     release(rows)
-    if touched is not None:
-        release(touched)
+    for part in (near, touched):
+        if part is not None:
+            release(part)
     model.table, model.hidden_bias = current, bias
     return model
 
