@@ -12,7 +12,7 @@ replicas that are read together take their steps together, and a task hands on t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +26,7 @@ from featherloom.operators.joins import HotKeys, count_keys, fits_broadcast
 from featherloom.plans import blocks, feedforward, sparse_ae
 from featherloom.plans.feedforward import Weights
 from featherloom.plans.settings import NetworkSettings, SparseAutoencoderSettings
-from featherloom.session import check_state_size, part_of, release, seal
+from featherloom.session import check_state_size, part_of, release, seal, sealed
 
 #: Cells of documents, at least, whose columns are looked up together.
 LOOKUP_CELLS = 1 << 20
@@ -52,20 +52,96 @@ def runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
 # Sparse autoencoder.
 
 
-def document_rows(words: DataFrame, replica: Column, order: Column) -> DataFrame:
-    """(replica, kind, place, doc, cols, vals, w): whole documents; a document holds a column once."""
-    cells = words.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("col", "value"))).alias("cells"))
-    return cells.select(
+def document_rows(words: DataFrame, replica: Column, order: Column, known: pa.Array | None = None) -> DataFrame:
+    """(replica, kind, place, doc, ids, cols, vals, w): whole documents; a document holds a column once.
+
+    Columns in ``known`` are told by their places there (``ids``), others by name (``cols``); ``vals`` has the values of
+    the former, then of the latter.
+    """
+    found = _fragments(words, known).groupBy("doc").agg(F.collect_list(F.struct("ids", "cols", "id_vals", "col_vals")).alias("parts"))
+
+    def merged(keys: str, values: str) -> Column:
+        """Pairs of a document that came in several parts, sorted as the pairs of one part are."""
+        pairs = F.transform("parts", lambda p: F.zip_with(p[keys], p[values], lambda k, v: F.struct(k.alias("k"), v.alias("v"))))
+        return F.sort_array(F.flatten(pairs))
+
+    def either(keys: str, values: str, field: str) -> Column:
+        whole = F.col("parts")[0][keys if field == "k" else values]
+        return F.when(F.size("parts") > 1, F.transform(merged(keys, values), lambda x: x[field])).otherwise(whole)
+
+    return found.select(
         replica.cast("bigint").alias("replica"),
         F.lit(1).alias("kind"),
         order.cast("bigint").alias("place"),
         "doc",
-        F.col("cells.col").alias("cols"),
-        F.col("cells.value").cast("array<double>").alias("vals"),
+        either("ids", "id_vals", "k").alias("ids"),
+        either("cols", "col_vals", "k").alias("cols"),
+        F.concat(either("ids", "id_vals", "v"), either("cols", "col_vals", "v")).alias("vals"),
         F.array().cast("array<double>").alias("w"),
     )
 
 
+def _fragments(words: DataFrame, known: pa.Array | None) -> DataFrame:
+    """(doc, ids, cols, id_vals, col_vals): cells of a document that lie near each other, sorted; one row or more a document."""
+    bound = words.sparkSession.sparkContext.broadcast(known)
+    doc, col = (words.schema[c].dataType.simpleString() for c in ("doc", "col"))
+
+    def lists(values: pa.Array, counts: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), values)
+
+    def fragments(rows: pa.RecordBatch) -> pa.RecordBatch:
+        docs, cols = (rows.column(k).dictionary_encode(null_encoding="encode") for k in (0, 1))
+        names, n = cols.dictionary, len(docs.dictionary)
+        place = np.full(len(names), -1)
+        if bound.value is not None:
+            found = pc.index_in(names, value_set=bound.value.cast(names.type), skip_nulls=True)
+            place = found.fill_null(-1).to_numpy().astype(np.int64)
+        # Places of known columns, then the rank of the name.
+        other, top = np.flatnonzero(place < 0), int(place.max(initial=-1)) + 1
+        place[other[pc.sort_indices(names.take(pa.array(other))).to_numpy()]] = top + np.arange(len(other))
+        own = docs.indices.to_numpy().astype(np.int64)
+        code = place[cols.indices.to_numpy()]
+        at = np.argsort(own * (top + len(other)) + code)
+        held = code[at] < top
+        near, far = at[held], at[~held]
+        values = rows.column(2).to_numpy()
+        counts = [np.bincount(own[part], minlength=n) for part in (near, far)]
+        told = [
+            docs.dictionary,
+            lists(pa.array(code[near], pa.int32()), counts[0]),
+            lists(rows.column(1).take(pa.array(far)), counts[1]),
+            lists(pa.array(values[near]), counts[0]),
+            lists(pa.array(values[far]), counts[1]),
+        ]
+        return pa.RecordBatch.from_arrays(told, names=["doc", "ids", "cols", "id_vals", "col_vals"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _gathered(batches, lambda batch: batch.num_rows):
+            yield fragments(rows)
+
+    cells = words.select("doc", "col", F.col("value").cast("double"))
+    return cells.mapInArrow(run, f"doc {doc}, ids array<int>, cols array<{col}>, id_vals array<double>, col_vals array<double>")
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], cells: Callable[[pa.RecordBatch], int]) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they hold ``LOOKUP_CELLS`` cells."""
+    waiting, held = [], 0
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        waiting.append(batch)
+        held += cells(batch)
+        if held >= LOOKUP_CELLS:
+            yield _together(waiting)
+            waiting, held = [], 0
+    if waiting:
+        yield _together(waiting)
+
+
+def _together(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
 def weight_rows(touched: DataFrame, table: DataFrame) -> DataFrame:
     """Weights of every replica's own columns in the layout of :func:`document_rows`, to come before its documents."""
     return touched.join(table, "col").select(
@@ -73,6 +149,7 @@ def weight_rows(touched: DataFrame, table: DataFrame) -> DataFrame:
         F.lit(0).alias("kind"),
         F.lit(None).cast("bigint").alias("place"),
         F.lit(None).cast(touched.schema["doc"].dataType).alias("doc"),
+        F.array().cast("array<int>").alias("ids"),
         F.array("col").alias("cols"),
         F.array().cast("array<double>").alias("vals"),
         F.concat("w_in", "w_out", F.array("b_out")).alias("w"),
@@ -122,10 +199,14 @@ class Walk:
     def read(self, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         """Rows in the order of :func:`descend`, worked off in blocks; what is learned of columns not in ``common``."""
         replica, kind = rows.column(0).to_numpy(), rows.column(1).to_numpy()
-        sizes = pc.list_value_length(rows.column(4)).to_numpy()
-        codes = self._coded(rows.column(4).flatten())
-        value = rows.column(5).flatten().to_numpy()
-        given = rows.column(6).flatten().to_numpy().reshape(-1, 2 * self.width + 1)
+        ids, cols = (pc.list_value_length(rows.column(k)).to_numpy() for k in (4, 5))
+        sizes = ids + cols
+        codes = np.empty(sizes.sum(), np.int64)
+        is_id = np.arange(len(codes)) < np.repeat(np.cumsum(sizes) - cols, sizes)
+        codes[is_id] = rows.column(4).flatten().to_numpy()
+        codes[~is_id] = self._coded(rows.column(5).flatten())
+        value = rows.column(6).flatten().to_numpy()
+        given = rows.column(7).flatten().to_numpy().reshape(-1, 2 * self.width + 1)
         # Cells, values and given weights before each row.
         ends = np.concatenate([[0], np.cumsum(sizes)])
         values = np.concatenate([[0], np.cumsum(np.where(kind == 1, sizes, 0))])
@@ -139,16 +220,13 @@ class Walk:
             a = b
 
     def _coded(self, cols: pa.Array) -> np.ndarray:
-        """Codes of the columns; the open replica's codes are brought up to the new names."""
+        """Codes of columns outside ``common``; the open replica's codes are brought up to the new names."""
         other = np.empty(0, np.int64) if self.open is None else np.flatnonzero(self.open.codes >= self.known)
         if len(other):
             cols = pa.concat_arrays([self.names.take(pa.array(self.open.codes[other] - self.known)), cols])
         found = cols.dictionary_encode()
         self.names = found.dictionary
-        place = pc.index_in(self.names, value_set=self.common.cols.cast(self.names.type))
-        place = place.fill_null(-1).to_numpy().astype(np.int64)
-        place = np.where(place < 0, self.known + np.arange(len(place)), place)
-        codes = place[found.indices.to_numpy()]
+        codes = self.known + found.indices.to_numpy().astype(np.int64)
         if len(other):
             self.open.codes[other] = codes[: len(other)]
         return codes[len(other) :]
@@ -274,34 +352,22 @@ class Walk:
 def descend(stream: DataFrame, start: Common, settings: SparseAutoencoderSettings) -> DataFrame:
     """(col, w_in, w_out, b_out, n) that replicas have learned from their documents; a task's replicas are averaged.
 
-    Weights of columns that ``start`` doesn't hold come in the stream, to each replica its own and before its documents.
+    Documents tell columns of ``start`` by their places in it.  Weights of others come in the stream, to each replica its
+    own and before its documents.
     """
     bound = stream.sparkSession.sparkContext.broadcast(start)
     kind = stream.schema["cols"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         walk = Walk(bound.value, settings)
-        waiting, cells = [], 0
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            waiting.append(batch)
-            cells += len(batch.column(4).flatten())
-            if cells >= LOOKUP_CELLS:
-                yield from walk.read(_together(waiting))
-                waiting, cells = [], 0
-        if waiting:
-            yield from walk.read(_together(waiting))
+        for rows in _gathered(batches, lambda batch: sum(len(batch.column(k).flatten()) for k in (4, 5))):
+            yield from walk.read(rows)
         yield from walk.learned()
 
     found = stream.repartition("replica").sortWithinPartitions("replica", "kind", "place", "doc")
     return found.mapInArrow(run, f"col {kind}, w_in array<double>, w_out array<double>, b_out double, n double")
 
 
-def _together(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
-    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
-
-
 def averaged(learned: DataFrame, width: int) -> DataFrame:
     """(col, w_in, w_out, b_out): weights of all replicas, each counting the documents that have changed it."""
     sums = sparse_ae.summed_arrays(
@@ -311,23 +377,40 @@ def averaged(learned: DataFrame, width: int) -> DataFrame:
     return sums.withColumns({**whole, "b_out": F.col("b_out") / F.col("n")}).drop("n")
 
 
-def _collected(table: DataFrame, bias: np.ndarray) -> Common:
-    """A weight table small enough to broadcast, as arrays."""
+def _collected(table: DataFrame, bias: np.ndarray, cols: pa.Array | None = None) -> Common:
+    """A weight table small enough to broadcast, as arrays in the order of ``cols``."""
     found = table.select("col", F.concat("w_in", "w_out", F.array("b_out")).alias("w")).toArrow().combine_chunks()
     if not found.num_rows:
         return Common(pa.array([], found.schema.field("col").type), np.empty((0, 2 * len(bias) + 1)), bias)
     rows = found.to_batches()[0]
-    return Common(rows.column(0), blocks.matrix(rows, "w"), bias)
+    w = blocks.matrix(rows, "w")
+    if cols is None:
+        return Common(rows.column(0), w, bias)
+    at = pc.index_in(cols, value_set=rows.column(0))
+    if at.null_count:
+        raise ValueError("a document holds a column without weights")
+    return Common(cols, w[at.to_numpy()], bias)
+
 
+def _names(table: DataFrame) -> pa.Array:
+    """The columns of a small table, sorted."""
+    found = table.select("col").toArrow().column("col").combine_chunks()
+    return found.take(pc.sort_indices(found))
 
-def _parted(cells: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    """(col) of the most frequent columns, whose weights fit a broadcast, and (replica, col, doc) of all others."""
-    counts = seal(count_keys(cells, "col"), "columns")
-    spread = sparse_ae.Spread(cells, HotKeys("col"), HotKeys("doc"), counts)
+
+def _frequent(words: DataFrame, width: int) -> DataFrame:
+    """(col) of the most frequent columns, whose weights fit a broadcast."""
+    counts = seal(count_keys(words, "col"), "columns")
+    spread = sparse_ae.Spread(words, HotKeys("col"), HotKeys("doc"), counts)
     near = seal(spread.frequent(joins.BROADCAST_BYTES // (8 * (2 * width + 1) + 64)), "frequent")
     release(counts)
-    others = cells.join(F.broadcast(near), "col", "left_anti")
-    return near, seal(others.groupBy("replica", "col").agg(F.min("doc").alias("doc")), "touched")
+    return near
+
+
+def _touched(rows: DataFrame) -> DataFrame:
+    """(replica, col, doc) of the columns that documents tell by name."""
+    cells = rows.select("replica", "doc", F.explode("cols").alias("col"))
+    return seal(cells.groupBy("replica", "col").agg(F.min("doc").alias("doc")), "touched")
 
 
 def train_sparse(
@@ -350,21 +433,24 @@ def train_sparse(
     """
     dealing = dealt("doc", replicas, settings.seed) if replica is None else replica
     places = F.xxhash64("doc", F.lit(settings.seed + 1)) if order is None else order
-    rows = seal(document_rows(words.select("doc", "col", "value"), dealing, places), "documents")
-    cells = rows.select("replica", "doc", F.explode("cols").alias("col"))
+    base = sealed(words, "triples")
     given = table is not None
-    current = seal(sparse_ae.initial_weight_table(cells, settings), "weights") if not given else table
+    current = seal(sparse_ae.initial_weight_table(base, settings), "weights") if not given else table
     bias = sparse_ae.initial_hidden_bias(settings) if hidden_bias is None else hidden_bias
     width = settings.hidden
-    near = touched = None
+    whole = fits_broadcast(current, 2 * width + 1)
+    near = None if whole else _frequent(base, width)
+    cols = _names(current if whole else near)
+    rows = seal(document_rows(base, dealing, places, cols), "documents")
+    if base is not words:
+        release(base)
+    touched = None if whole else _touched(rows)
     model = sparse_ae.SparseAutoencoderModel(settings, current, bias)
     for turn in range(settings.iterations):
-        if fits_broadcast(current, 2 * width + 1):
-            learned = descend(rows, _collected(current, bias), settings)
+        if whole:
+            learned = descend(rows, _collected(current, bias, cols), settings)
         else:
-            if touched is None:
-                near, touched = _parted(cells, width)
-            shared = _collected(current.join(F.broadcast(near), "col", "left_semi"), bias)
+            shared = _collected(current.join(F.broadcast(near), "col", "left_semi"), bias, cols)
             learned = descend(rows.unionByName(weight_rows(touched, current)), shared, settings)
         means = averaged(learned, width)
         old = current.select("col", *[F.col(c).alias(f"_{c}") for c in ("w_in", "w_out", "b_out")])
